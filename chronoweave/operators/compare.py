@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions.medians import exact_medians
 from chronoweave.functions.ordered import by_group
 from chronoweave.operators.rollup import matched_days
+from chronoweave.session import cut_lineage
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -34,7 +35,9 @@ def overlap_details(matched: DataFrame, entity: str, day: str) -> DataFrame:
 
 def compare_sources(left: DataFrame, right: DataFrame, *, entity: str, day: str, tolerance: float = 1e-8) -> DataFrame:
     """One row per entity: coverage, price equality, return agreement, volume scale."""
-    matched = matched_days(left, right, [entity, day], ("left", "right"))
+    # Five results hang on the matched days; they are daily rows, so write them once
+    # instead of building the bars of both sources again for each.
+    matched = cut_lineage(matched_days(left, right, [entity, day], ("left", "right")))
     coverage = matched.groupBy(entity).agg(
         F.count_if(F.col("day_status") == "both").alias("overlap_rows"),
         F.count_if(F.col("day_status") == "left_only").alias("left_only_rows"),

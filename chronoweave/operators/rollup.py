@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.medians import exact_medians
+from chronoweave.session import cut_lineage
 
 FIELDS = ["open", "high", "low", "close", "volume"]
 
@@ -62,7 +63,7 @@ def rollup_differences(rolled: DataFrame, daily: DataFrame, keys: list[str]) ->
 def rollup_audit(rolled: DataFrame, daily: DataFrame, keys: list[str], by: list[str], *, tolerance: float = 1e-8) -> DataFrame:
     """Per group: day coverage, exact days per field and together, largest differences,
     median and largest relative volume difference."""
-    days = rollup_differences(rolled, daily, keys)
+    days = cut_lineage(rollup_differences(rolled, daily, keys))  # daily rows, used by four results
     both = F.col("day_status") == "both"
     exact = {f: F.abs(f"{f}_diff") <= tolerance for f in FIELDS}
     ohlc = exact["open"] & exact["high"] & exact["low"] & exact["close"]

@@ -1,4 +1,4 @@
 """Queries bound to the driver's tables and the scheduled jobs."""
 
 from chronoweave.plans.registry import ORACLES, QUERIES
-from chronoweave.plans import market  # noqa: F401  (registers its queries)
+from chronoweave.plans import graph, market  # noqa: F401  (they register their queries)
