@@ -29,6 +29,12 @@ def decimal_text(col: Column) -> Column:
     return F.when(F.abs(col) < 1e7, col.cast("string")).otherwise(plain)
 
 
+def zero_padded(col: Column, length: int = 6) -> Column:
+    """Text filled with zeros on the left; longer text stays whole."""
+    text = F.trim(col.cast("string"))
+    return F.when(F.length(text) < length, F.lpad(text, length, "0")).otherwise(text)
+
+
 def project_symbol(symbol: Column) -> Column:
     """Code with exchange suffix, from a suffix, a lower-case prefix or the first digit."""
     value = F.trim(symbol.cast("string"))
@@ -75,7 +81,7 @@ def symbol_from_prefixed(code: Column) -> Column:
 def security_id(code: Column) -> Column:
     """Instrument id from a bare code; five digits are Hong Kong codes."""
     value = F.trim(code.cast("string"))
-    padded = F.when(F.length(value) < 6, F.lpad(value, 6, "0")).otherwise(value)
+    padded = zero_padded(value)
     return (
         F.when(value.rlike(r"^\d{5}$"), F.concat(value, F.lit(".HK")))
         .when(padded.rlike("^6"), F.concat(padded, F.lit(".SH")))

@@ -23,21 +23,22 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def _runs(words: Column, length: int) -> Column:
-    """All runs of ``length`` consecutive words as hashes; empty when there are too few words."""
-    last = F.size(words) - length
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(length)), " "))),
-    ).otherwise(F.array().cast("array<bigint>"))
+def _runs(items: Column, length: int, glue: str) -> Column:
+    """Hashes of all runs of ``length`` neighbouring items; empty when there are too few.
+
+    The array is zipped with itself, shifted by one place per item of the run, so each text
+    is walked a fixed number of times however long it is.
+    """
+    runs = items
+    for shift in range(1, length):
+        rest = F.slice(items, F.lit(shift + 1), F.greatest(F.size(items) - shift, F.lit(0)))
+        runs = F.zip_with(runs, rest, lambda left, right: F.concat(left, F.lit(glue), right))
+    return F.transform(F.array_compact(runs), lambda run: F.xxhash64(run))
 
 
 def _windows(text: Column, length: int) -> Column:
-    last = F.length(text) - length
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.substr(text, i, F.lit(length)))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of all character windows."""
+    return _runs(F.split(text, ""), length, "")
 
 
 def _inner(words: Column) -> Column:
@@ -71,12 +72,12 @@ def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, nee
     parts = usable.select(needle_id, F.col(needle).alias("_needle"), _inner(_words(F.col(needle))).alias("_inner"))
     found = []
     long = parts.filter(F.size("_inner") >= RUN)
-    options = long.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), RUN))).alias("_anchor"))
-    found.append(_pairs(texts, text_id, long, needle_id, options, _runs(_words(F.col(text)), RUN)))
+    options = long.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), RUN, " "))).alias("_anchor"))
+    found.append(_pairs(texts, text_id, long, needle_id, options, _runs(_words(F.col(text)), RUN, " ")))
     medium = parts.filter((F.size("_inner") > 0) & (F.size("_inner") < RUN))
     if not medium.isEmpty():
-        options = medium.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), 1))).alias("_anchor"))
-        found.append(_pairs(texts, text_id, medium, needle_id, options, _runs(_words(F.col(text)), 1)))
+        options = medium.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), 1, " "))).alias("_anchor"))
+        found.append(_pairs(texts, text_id, medium, needle_id, options, _runs(_words(F.col(text)), 1, " ")))
     short = parts.filter((F.size("_inner") <= 0) & (F.length("_needle") >= WINDOW))
     if not short.isEmpty():
         options = short.select(needle_id, F.explode(F.array_distinct(_windows(F.col("_needle"), WINDOW))).alias("_anchor"))
@@ -85,7 +86,7 @@ def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, nee
     lengths = [row[0] for row in tiny.select(F.length("_needle")).distinct().collect()]  # at most WINDOW - 1 values
     for length in lengths:
         same = tiny.filter(F.length("_needle") == length)
-        options = same.select(needle_id, F.xxhash64("_needle").alias("_anchor"))
+        options = same.select(needle_id, F.explode(_windows(F.col("_needle"), length)).alias("_anchor"))
         found.append(_pairs(texts, text_id, same, needle_id, options, _windows(F.col(text), length)))
     pairs = found[0]
     for more in found[1:]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave import schemas
 from chronoweave.constraints import ContractError, require_columns, require_unique
-from chronoweave.functions.ids import security_id, stable_id
+from chronoweave.functions.ids import security_id, stable_id, zero_padded
 from chronoweave.functions.rows import row_array
 
 # Statuses of landed third-party data.
@@ -25,8 +25,7 @@ STATUS_LEFT = "left_disclosed_set_actual_current_position_unknown"
 
 
 def fund_code(col: Column) -> Column:
-    text = F.trim(col.cast("string"))
-    return F.when(F.length(text) < 6, F.lpad(text, 6, "0")).otherwise(text)
+    return zero_padded(col)
 
 
 def fund_id(code: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronoweave import schemas
 from chronoweave.constraints import is_blank, require_columns, require_references, require_unique
-from chronoweave.functions.ids import board_of, decimal_text, exchange_of, stable_id, symbol_from_prefixed
+from chronoweave.functions.ids import board_of, decimal_text, exchange_of, stable_id, symbol_from_prefixed, zero_padded
 from chronoweave.functions.latest import first_per_key, last_per_key, upsert
 from chronoweave.functions.times import as_of, instant, iso_utc, utc_datetime, valid_at
 from chronoweave.operators import lifecycle
@@ -294,7 +294,7 @@ def resolve_identity(tables: NetworkTables, registry: DataFrame, *, available_ti
     mapping and concentration. Row order is the old primary key order.
     """
     require_columns(registry, ["code", "orgId", "zwjc", "category"], "issuer registry")
-    padded = registry.filter(F.col("category") == category).withColumn("code", F.lpad(F.col("code").cast("string"), 6, "0"))
+    padded = registry.filter(F.col("category") == category).withColumn("code", zero_padded(F.col("code")))
     seq = F.col("ingest_seq") if "ingest_seq" in registry.columns else F.monotonically_increasing_id()
     issuers = last_per_key(padded.withColumn("_seq", seq), ["code"], [F.col("_seq")]).select(
         F.col("code").alias("security_code"), F.col("orgId").alias("issuer_org_id"), F.col("zwjc").alias("issuer_name"))
