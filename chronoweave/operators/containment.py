@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import cut_lineage
+from chronoweave.session import cut_lineage, spread
 
 RUN = 3
 WINDOW = 4
@@ -23,22 +23,28 @@ def _words(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def _runs(items: Column, length: int, glue: str) -> Column:
+def _runs(items: Column, length: int) -> Column:
     """Hashes of all runs of ``length`` neighbouring items; empty when there are too few.
 
-    The array is zipped with itself, shifted by one place per item of the run, so each text
-    is walked a fixed number of times however long it is.
+    The items are hashed once, then the array is zipped with itself, shifted by one place
+    per item of the run, so a text is walked a fixed number of times however long it is.
+    The lambda over a one-element array binds the hashes, else they would be built again
+    for every shift.
     """
-    runs = items
-    for shift in range(1, length):
-        rest = F.slice(items, F.lit(shift + 1), F.greatest(F.size(items) - shift, F.lit(0)))
-        runs = F.zip_with(runs, rest, lambda left, right: F.concat(left, F.lit(glue), right))
-    return F.transform(F.array_compact(runs), lambda run: F.xxhash64(run))
+
+    def chained(hashes: Column) -> Column:
+        runs = hashes
+        for shift in range(1, length):
+            rest = F.slice(hashes, F.lit(shift + 1), F.greatest(F.size(hashes) - shift, F.lit(0)))
+            runs = F.zip_with(runs, rest, lambda left, right: F.when(right.isNotNull(), F.xxhash64(left, right)))
+        return F.array_distinct(F.array_compact(runs))
+
+    return F.transform(F.array(F.transform(items, lambda item: F.xxhash64(item))), chained)[0]
 
 
 def _windows(text: Column, length: int) -> Column:
     """Hashes of all character windows."""
-    return _runs(F.split(text, ""), length, "")
+    return _runs(F.split(text, ""), length)
 
 
 def _inner(words: Column) -> Column:
@@ -48,7 +54,7 @@ def _inner(words: Column) -> Column:
 
 def _anchored(texts: DataFrame, text_id: str, anchors: DataFrame, hashes: Column) -> DataFrame:
     """(text id, anchor) pairs where the text holds the anchor; each pair once per text."""
-    held = texts.select(text_id, F.explode(F.array_distinct(hashes)).alias("_anchor"))
+    held = texts.select(text_id, F.explode(hashes).alias("_anchor"))
     return held.join(anchors.select("_anchor").distinct(), "_anchor", "left_semi")
 
 
@@ -68,19 +74,20 @@ def _pairs(texts: DataFrame, text_id: str, needles: DataFrame, needle_id: str, o
 
 def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
     """Pairs (text id, needle id) where the text contains the needle exactly. Empty needles match nothing."""
+    texts = spread(texts.select(text_id, text))
     usable = needles.filter(F.col(needle).isNotNull() & (F.col(needle) != ""))
     parts = usable.select(needle_id, F.col(needle).alias("_needle"), _inner(_words(F.col(needle))).alias("_inner"))
     found = []
     long = parts.filter(F.size("_inner") >= RUN)
-    options = long.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), RUN, " "))).alias("_anchor"))
-    found.append(_pairs(texts, text_id, long, needle_id, options, _runs(_words(F.col(text)), RUN, " ")))
+    options = long.select(needle_id, F.explode(_runs(F.col("_inner"), RUN)).alias("_anchor"))
+    found.append(_pairs(texts, text_id, long, needle_id, options, _runs(_words(F.col(text)), RUN)))
     medium = parts.filter((F.size("_inner") > 0) & (F.size("_inner") < RUN))
     if not medium.isEmpty():
-        options = medium.select(needle_id, F.explode(F.array_distinct(_runs(F.col("_inner"), 1, " "))).alias("_anchor"))
-        found.append(_pairs(texts, text_id, medium, needle_id, options, _runs(_words(F.col(text)), 1, " ")))
+        options = medium.select(needle_id, F.explode(_runs(F.col("_inner"), 1)).alias("_anchor"))
+        found.append(_pairs(texts, text_id, medium, needle_id, options, _runs(_words(F.col(text)), 1)))
     short = parts.filter((F.size("_inner") <= 0) & (F.length("_needle") >= WINDOW))
     if not short.isEmpty():
-        options = short.select(needle_id, F.explode(F.array_distinct(_windows(F.col("_needle"), WINDOW))).alias("_anchor"))
+        options = short.select(needle_id, F.explode(_windows(F.col("_needle"), WINDOW)).alias("_anchor"))
         found.append(_pairs(texts, text_id, short, needle_id, options, _windows(F.col(text), WINDOW)))
     tiny = parts.filter((F.size("_inner") <= 0) & (F.length("_needle") < WINDOW))
     lengths = [row[0] for row in tiny.select(F.length("_needle")).distinct().collect()]  # at most WINDOW - 1 values
