@@ -176,7 +176,7 @@ def enrich_identity(spark: SparkSession, path: str, registry: DataFrame, profile
         business_activities=upsert(resolved.business_activities, activities, ["activity_id"], incoming_wins=False))
     network.validate(enriched)
     store.write_bundle(enriched, path, source_description="network enriched with issuer identity")
-    audit.write.mode("overwrite").parquet(f"{path}/_identity_map")
+    store.commit_tables(spark, path, {"identity_map": audit}, description="issuer identity map")
     return store.read_bundle(spark, path), audit
 
 
@@ -221,7 +221,7 @@ def import_named_relations(spark: SparkSession, path: str, records: DataFrame, p
     if missing:
         raise ContractError(f"quotes not on their page: {[(r['doc_id'], r['page_no']) for r in missing]}")
     named, relations = evidence.named_relations(records, bundle.companies, when)
-    merged = store.upsert_table(named, f"{path}/_named_evidence", ["evidence_id"], schemas.NAMED_EVIDENCE)
+    merged = store.upsert_table(named, path, "named_evidence", ["evidence_id"], schemas.NAMED_EVIDENCE)
     changed = bundle.replace(relations=upsert(bundle.relations, relations, ["relation_id"]))
     network.validate(changed)
     store.write_bundle(changed, path, source_description="network plus named counterparty relations")
@@ -230,8 +230,8 @@ def import_named_relations(spark: SparkSession, path: str, records: DataFrame, p
 
 def crosscheck_relations(spark: SparkSession, path: str, records: DataFrame, *, when) -> DataFrame:
     """Corroborate named relations from the counterparty's filing; relations stay as they are."""
-    normal, available = evidence.corroborations(records, spark.read.parquet(f"{path}/_named_evidence"), when)
-    store.upsert_table(normal, f"{path}/_corroborations", ["corroboration_id"], schemas.CORROBORATIONS)
+    normal, available = evidence.corroborations(records, store.read_table(spark, path, "named_evidence", schemas.NAMED_EVIDENCE), when)
+    store.upsert_table(normal, path, "corroborations", ["corroboration_id"], schemas.CORROBORATIONS)
     return available
 
 
@@ -258,17 +258,13 @@ def snapshot_network(spark: SparkSession, path: str, out: str, *, when, include_
 
 # --- signals -------------------------------------------------------------------------------------------------
 
-def _save_events(path: str, events: DataFrame) -> None:
-    cut_lineage(events).write.mode("overwrite").parquet(f"{path}/events")
-
-
 def import_lifecycle_signals(spark: SparkSession, network_path: str, signal_path: str, requested: DataFrame) -> DataFrame:
     held = store.load_signal_store(spark, signal_path)
     incoming = signals.lifecycle_signals(store.read_bundle(spark, network_path).lifecycle_events, requested=requested)
     merged = signals.merge_lifecycle_signals(held.events, incoming)
     signals.check_events(merged, held.signal_types)
-    _save_events(signal_path, merged)
-    return spark.read.parquet(f"{signal_path}/events")
+    store.commit_tables(spark, signal_path, {"events": merged}, description="life-cycle signals")
+    return store.load_signal_store(spark, signal_path).events
 
 
 def import_production_signals(spark: SparkSession, network_path: str, signal_path: str, requested: DataFrame) -> DataFrame:
@@ -277,10 +273,8 @@ def import_production_signals(spark: SparkSession, network_path: str, signal_pat
     merged = signals.merge_events(held.events, events)
     signals.check_events(merged, held.signal_types)
     merged_facts, marked = signals.merge_evidence(held.evidence, facts, merged)
-    facts_out = cut_lineage(merged_facts)
-    _save_events(signal_path, marked)
-    facts_out.write.mode("overwrite").parquet(f"{signal_path}/evidence")
-    return spark.read.parquet(f"{signal_path}/events")
+    store.commit_tables(spark, signal_path, {"events": marked, "evidence": merged_facts}, description="production signals")
+    return store.load_signal_store(spark, signal_path).events
 
 
 def verify_listing_signals(spark: SparkSession, signal_path: str, payloads: DataFrame, requests: DataFrame) -> DataFrame:
@@ -288,10 +282,8 @@ def verify_listing_signals(spark: SparkSession, signal_path: str, payloads: Data
     held = store.load_signal_store(spark, signal_path)
     facts = signals.exchange_list_evidence(signals.exchange_list_rows(payloads), requests)
     merged, marked = signals.merge_evidence(held.evidence, facts, held.events)
-    facts_out = cut_lineage(merged)
-    _save_events(signal_path, marked)
-    facts_out.write.mode("overwrite").parquet(f"{signal_path}/evidence")
-    return spark.read.parquet(f"{signal_path}/evidence")
+    store.commit_tables(spark, signal_path, {"events": marked, "evidence": merged}, description="exchange list corroboration")
+    return store.load_signal_store(spark, signal_path).evidence
 
 
 def snapshot_signals(spark: SparkSession, network_path: str, signal_path: str, out: str, *, when, dense: bool = True) -> DataFrame:
@@ -337,7 +329,7 @@ def load_fund_evidence(overview: DataFrame, report_index: DataFrame, holdings: D
     }
     written = {name: store.replace_partitions(df, f"{out}/{name}", key, ddl) for name, (df, key, ddl) in replaced.items()}
     once = first_per_key(capital_out.controllers, ["controller_id"], [F.col("source_record_id")])
-    written["controllers"] = store.upsert_table(once, f"{out}/controllers", ["controller_id"], schemas.CONTROLLERS)
+    written["controllers"] = store.upsert_table(once, out, "controllers", ["controller_id"], schemas.CONTROLLERS)
     fetched = products.select("fund_id")
     stored = written["holdings"].join(fetched, "fund_id", "left_semi")
     written["changes"] = store.replace_partitions(funds.holding_changes(stored), f"{out}/changes", "fund_id", schemas.HOLDING_CHANGES)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from chronoweave import schemas
 from chronoweave.functions.latest import upsert
-from chronoweave.session import cut_lineage
 from chronoweave.sources.minutes import _exists
 
 
@@ -79,20 +78,54 @@ def content_hash(df: DataFrame) -> DataFrame:
     )
 
 
-def write_bundle(tables: NetworkTables, path: str, *, source_description: str) -> DataFrame:
-    """Write every table as Parquet and append a manifest row per table."""
-    spark = tables.companies.sparkSession
-    manifest = None
-    for name, df in tables.items():
-        df = cut_lineage(df)  # the bundle may be derived from the tables it replaces
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        row = content_hash(df).select(
-            F.lit(name).alias("table"), "*", F.lit(df.columns).alias("columns"),
-            F.lit(source_description).alias("source_description"), F.current_timestamp().alias("created_at"),
+MANIFEST = "_manifest"
+
+
+def current_versions(spark: SparkSession, root: str) -> dict[str, int]:
+    """Committed version per table name; the manifest holds a few rows per commit."""
+    if not _exists(spark, f"{root}/{MANIFEST}"):
+        return {}
+    rows = spark.read.parquet(f"{root}/{MANIFEST}").groupBy("table").agg(F.max("version").alias("version")).collect()
+    return {row["table"]: row["version"] for row in rows}
+
+
+def commit_tables(spark: SparkSession, root: str, changed: dict[str, DataFrame], *, description: str = "") -> dict[str, int]:
+    """Write new versions of some tables and then, in one step, the manifest rows that make them current.
+
+    Tables are never overwritten, so a table may be derived from the version it replaces, readers
+    keep a consistent set, and a job that dies half-way leaves the old versions current.
+    """
+    version = max(current_versions(spark, root).values(), default=0) + 1
+    rows = None
+    for name, df in changed.items():
+        target = f"{root}/v{version:06d}/{name}"
+        df.write.mode("overwrite").parquet(target)
+        row = content_hash(spark.read.schema(df.schema).parquet(target)).select(
+            F.lit(name).alias("table"), F.lit(version).alias("version"), "*", F.lit(df.columns).alias("columns"),
+            F.lit(description).alias("description"), F.current_timestamp().alias("created_at"),
         )
-        manifest = row if manifest is None else manifest.unionByName(row)
-    manifest.write.mode("append").parquet(f"{path}/_manifest_log")
-    return spark.read.parquet(f"{path}/_manifest_log")
+        rows = row if rows is None else rows.unionByName(row)
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
+    return dict.fromkeys(changed, version)
+
+
+def read_table(spark: SparkSession, root: str, name: str, ddl: str, versions: dict[str, int] | None = None) -> DataFrame:
+    """Current version of a table under its contract; a table that was never committed is empty."""
+    known = current_versions(spark, root) if versions is None else versions
+    if name not in known:
+        return schemas.empty(spark, ddl)
+    return schemas.conform(spark.read.parquet(f"{root}/v{known[name]:06d}/{name}"), ddl)
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{MANIFEST}")
+
+
+def write_bundle(tables: NetworkTables, root: str, *, source_description: str) -> DataFrame:
+    """Commit all ten tables together."""
+    spark = tables.companies.sparkSession
+    commit_tables(spark, root, dict(tables.items()), description=source_description)
+    return manifest(spark, root)
 
 
 def bundle_limits(tables: NetworkTables, *, registry_basis: str) -> DataFrame:
@@ -106,12 +139,10 @@ def bundle_limits(tables: NetworkTables, *, registry_basis: str) -> DataFrame:
     )
 
 
-def read_bundle(spark: SparkSession, path: str) -> NetworkTables:
-    """Read a bundle; absent tables are empty and absent columns null."""
-    given = {
-        name: spark.read.parquet(f"{path}/{name}") for name in schemas.NETWORK if _exists(spark, f"{path}/{name}")
-    }
-    tables = NetworkTables.of(spark, **given)
+def read_bundle(spark: SparkSession, root: str) -> NetworkTables:
+    """Current bundle; absent tables are empty and absent columns null."""
+    versions = current_versions(spark, root)
+    tables = NetworkTables(**{name: read_table(spark, root, name, ddl, versions) for name, ddl in schemas.NETWORK.items()})
     known = F.coalesce("issuer_id_source", F.lit("unknown"))
     return tables.replace(companies=tables.companies.withColumn("issuer_id_source", known))
 
@@ -147,32 +178,29 @@ def default_signal_types(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.struct(schemas.SIGNAL_TYPES))
 
 
-def init_signal_store(spark: SparkSession, path: str, *, overwrite: bool = False) -> SignalStore:
+def init_signal_store(spark: SparkSession, root: str, *, overwrite: bool = False) -> SignalStore:
     """Create the store tables that do not exist yet."""
-    mode = "overwrite" if overwrite else "ignore"
-    for name, ddl in SIGNAL_STORE_TABLES.items():
-        df = default_signal_types(spark) if name == "signal_types" else schemas.empty(spark, ddl)
-        df.write.mode(mode).parquet(f"{path}/{name}")
-    return load_signal_store(spark, path)
-
-
-def load_signal_store(spark: SparkSession, path: str) -> SignalStore:
-    loaded = {
-        name: schemas.conform(spark.read.parquet(f"{path}/{name}"), ddl)
-        if _exists(spark, f"{path}/{name}") else schemas.empty(spark, ddl)
-        for name, ddl in SIGNAL_STORE_TABLES.items()
+    held = {} if overwrite else current_versions(spark, root)
+    fresh = {
+        name: default_signal_types(spark) if name == "signal_types" else schemas.empty(spark, ddl)
+        for name, ddl in SIGNAL_STORE_TABLES.items() if name not in held
     }
-    return SignalStore(**loaded)
+    if fresh:
+        commit_tables(spark, root, fresh, description="initial signal store")
+    return load_signal_store(spark, root)
+
+
+def load_signal_store(spark: SparkSession, root: str) -> SignalStore:
+    versions = current_versions(spark, root)
+    return SignalStore(**{name: read_table(spark, root, name, ddl, versions) for name, ddl in SIGNAL_STORE_TABLES.items()})
 
 
-def upsert_table(incoming: DataFrame, path: str, keys: list[str], ddl: str) -> DataFrame:
-    """Upsert a Parquet table by key; incoming rows win."""
+def upsert_table(incoming: DataFrame, root: str, name: str, keys: list[str], ddl: str) -> DataFrame:
+    """Upsert a table by key; incoming rows win."""
     spark = incoming.sparkSession
-    rows = schemas.conform(incoming, ddl)
-    if _exists(spark, path):
-        rows = upsert(schemas.conform(spark.read.parquet(path), ddl), rows, keys)
-    cut_lineage(rows).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    merged = upsert(read_table(spark, root, name, ddl), schemas.conform(incoming, ddl), keys)
+    commit_tables(spark, root, {name: merged}, description=f"upsert by {', '.join(keys)}")
+    return read_table(spark, root, name, ddl)
 
 
 def replace_partitions(incoming: DataFrame, path: str, partition_col: str, ddl: str) -> DataFrame:
