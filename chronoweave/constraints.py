@@ -42,21 +42,48 @@ def violation_counts(df: DataFrame, name: str = "violations") -> DataFrame:
 
 def enforce(df: DataFrame, table: str, name: str = "violations") -> DataFrame:
     """Raise when any row breaks a rule, else return the rows without the rule column."""
-    counts = {row["rule"]: row["rows"] for row in violation_counts(df, name).limit(100).collect()}
-    if counts:
-        raise ContractError(f"{table} breaks its contract: {counts}")
+    require([broken_rules(df, table, name)])
     return df.drop(name)
 
 
+# Findings are small frames (table, rule, rows). Collecting them in one action checks any
+# number of rules, keys and references of any number of tables in a single job.
+
+def _finding(counts: DataFrame, table: str, rule: str) -> DataFrame:
+    return counts.filter("rows > 0").select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), "rows")
+
+
+def broken_rules(df: DataFrame, table: str, name: str = "violations") -> DataFrame:
+    return violation_counts(df, name).select(F.lit(table).alias("table"), "rule", "rows")
+
+
+def repeated_keys(df: DataFrame, keys: list[str], table: str) -> DataFrame:
+    repeated = duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("rows"))
+    return _finding(repeated, table, f"{', '.join(keys)} must be unique")
+
+
+def unknown_references(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, table: str, *, ignore_blank: bool = True) -> DataFrame:
+    stray = orphans(child, child_col, parent, parent_col, ignore_blank=ignore_blank).agg(F.count(F.lit(1)).alias("rows"))
+    return _finding(stray, table, f"{child_col} references unknown {parent_col}")
+
+
+def require(findings: list[DataFrame]) -> None:
+    """Raise one error with everything that was found."""
+    together = findings[0]
+    for more in findings[1:]:
+        together = together.unionByName(more)
+    found = [(row["table"], row["rule"], row["rows"]) for row in together.collect()]  # at most one row per rule
+    if found:
+        raise ContractError("contract broken: " + "; ".join(f"{table}: {rule} ({rows} rows)" for table, rule, rows in sorted(found)))
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with their row count."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
 
 def require_unique(df: DataFrame, keys: list[str], name: str) -> None:
-    example = duplicate_keys(df, keys).limit(5).collect()
-    if example:
-        raise ContractError(f"{name}: {keys} must be unique, e.g. {[tuple(row) for row in example]}")
+    require([repeated_keys(df, keys, name)])
 
 
 def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, *, ignore_blank: bool = True) -> DataFrame:
@@ -68,10 +95,5 @@ def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str
     return rows.join(known, F.col(child_col) == F.col("_parent_key"), "left_anti")
 
 
-def require_references(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str, name: str) -> None:
-    if not orphans(child, child_col, parent, parent_col).isEmpty():
-        raise ContractError(f"{name}.{child_col} references unknown {parent_col}")
-
-
 def is_blank(col: Column) -> Column:
     return col.isNull() | (F.trim(col.cast("string")) == "")

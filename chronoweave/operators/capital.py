@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
-from chronoweave.constraints import ContractError, enforce, require_columns, require_unique, with_violations
+from chronoweave.constraints import ContractError, broken_rules, repeated_keys, require, require_columns, with_violations
 from chronoweave.functions.times import as_of
 
 # Controlled vocabularies.
@@ -34,18 +34,19 @@ def flow_violations(flows: DataFrame) -> DataFrame:
 
 def check_flows(flows: DataFrame) -> DataFrame:
     require_columns(flows, schemas.columns(schemas.FLOW_EVENTS), "flow events")
-    require_unique(flows, ["flow_event_id"], "flow events")
-    return enforce(flow_violations(flows), "flow events")
+    require([repeated_keys(flows, ["flow_event_id"], "flow events"), broken_rules(flow_violations(flows), "flow events")])
+    return flows
 
 
 def check_relations(relations: DataFrame) -> DataFrame:
     require_columns(relations, schemas.columns(schemas.CONTROL_RELATIONS), "control relations")
-    require_unique(relations, ["relation_id"], "control relations")
     share = F.col("control_share").cast("string").try_cast("double")
-    return enforce(with_violations(relations, {
+    checked = with_violations(relations, {
         "control_role": _outside(F.col("control_role"), CONTROL_ROLES),
         "control_share_range": (share < 0) | (share > 1),
-    }), "control relations")
+    })
+    require([repeated_keys(relations, ["relation_id"], "control relations"), broken_rules(checked, "control relations")])
+    return relations
 
 
 def distribution_violations(rows: DataFrame) -> DataFrame:
@@ -67,12 +68,13 @@ def wrong_sums(rows: DataFrame, *, event: str = "flow_event_id", probability: st
 
 def check_distribution(rows: DataFrame, *, tolerance: float = 1e-9) -> DataFrame:
     require_columns(rows, schemas.columns(schemas.DISTRIBUTION), "controller distribution")
-    require_unique(rows, ["distribution_id"], "controller distribution")
-    sound = enforce(distribution_violations(rows), "controller distribution")
-    bad = wrong_sums(rows, tolerance=tolerance).limit(5).collect()
-    if bad:
-        raise ContractError(f"probabilities must sum to one: {[(r[0], r[1]) for r in bad]}")
-    return sound
+    name = "controller distribution"
+    off = wrong_sums(rows, tolerance=tolerance).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 0")
+    require([
+        repeated_keys(rows, ["distribution_id"], name), broken_rules(distribution_violations(rows), name),
+        off.select(F.lit(name).alias("table"), F.lit("probabilities must sum to one per flow event").alias("rule"), "rows"),
+    ])
+    return rows
 
 
 def signed(side: Column) -> Column:

@@ -42,7 +42,7 @@ def events_behind(states: DataFrame, events: DataFrame, when) -> DataFrame:
     live = as_of(typed, when).filter((F.col("effective_time") <= cut) & (F.col("expires_time").isNull() | (F.col("expires_time") > cut)))
     renamed = live.select(
         F.col("emitter_object_type").alias("object_type"), F.col("emitter_object_id").alias("object_id"), "signal_type",
-        "signal_event_id", "available_time", "source", "source_record_id", "evidence_kind", "initial_strength", "unit")
+        "signal_event_id", "available_time", "source", "source_record_id", "evidence_kind", "initial_strength", F.col("unit").alias("event_unit"))
     return states.join(renamed, ["object_type", "object_id", "signal_type"], "left")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
-from chronoweave.constraints import ContractError, orphans, require_columns, require_unique
+from chronoweave.constraints import repeated_keys, require, require_columns, unknown_references
 from chronoweave.functions.ids import stable_id
 from chronoweave.functions.ordered import in_blocks
 from chronoweave.functions.times import as_of, instant_literal, with_instants
@@ -51,13 +51,17 @@ def target_status(event_type: Column) -> Column:
 
 
 def known_events(events: DataFrame, when) -> DataFrame:
-    """Events known at ``when`` with typed times; an event without a usable time is an error."""
+    """Events known at ``when`` with typed times.
+
+    An event without a usable time is an error. It is raised while the rows are read,
+    so it needs no pass of its own.
+    """
     require_columns(events, ["event_id", "listing_id", "event_type", *TIMES], "lifecycle events")
     typed = with_instants(events, TIMES)
-    gap = typed.filter(F.greatest(*[F.col(t).isNull().cast("int") for t in TIMES]) == 1).limit(3).collect()
-    if gap:
-        raise ContractError(f"life-cycle event times must be valid: {[row['event_id'] for row in gap]}")
-    return as_of(typed, when)
+    gap = F.col("event_time").isNull() | F.col("available_time").isNull() | F.col("effective_time").isNull()
+    message = F.concat(F.lit("life-cycle event times must be valid: "), F.coalesce("event_id", F.lit("?")))
+    checked = F.when(gap, F.raise_error(message).cast("timestamp")).otherwise(F.col("available_time"))
+    return as_of(typed.withColumn("available_time", checked), when)
 
 
 def pending_events(events: DataFrame, when) -> DataFrame:
@@ -94,16 +98,16 @@ def listing_status(listings: DataFrame, events: DataFrame, when, *, strict: bool
     of an unknown listing and on an illegal step.
     """
     require_columns(listings, ["listing_id", "initial_status"], "listings")
-    require_unique(listings, ["listing_id"], "listings")
     known = known_events(events, when)
     effective = known.filter(F.col("effective_time") <= instant_literal(when))
     if strict:
-        stray = orphans(effective, "listing_id", listings, "listing_id", ignore_blank=False).limit(3).collect()
-        if stray:
-            raise ContractError(f"life-cycle events of unknown listings: {[row['listing_id'] for row in stray]}")
-        wrong = illegal_steps(listings, events, when, bucket=bucket).limit(3).collect()
-        if wrong:
-            raise ContractError(f"illegal life-cycle steps: {[(r['listing_id'], r['event_type']) for r in wrong]}")
+        name = "lifecycle events"
+        wrong = illegal_steps(listings, events, when, bucket=bucket).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 0")
+        require([
+            repeated_keys(listings, ["listing_id"], "listings"),
+            unknown_references(effective, "listing_id", listings, "listing_id", name, ignore_blank=False),
+            wrong.select(F.lit(name).alias("table"), F.lit("illegal step out of delisted").alias("rule"), "rows"),
+        ])
     rank = F.struct(*ORDER)
     step = F.struct(target_status(F.col("event_type")).alias("status"), "event_id", "effective_time")
     mapped = target_status(F.col("event_type")).isNotNull()
@@ -135,7 +139,6 @@ def impact_rows(events: DataFrame, listings: DataFrame, when, *, include_unknown
     known = as_of(with_instants(events, TIMES), when)
     if not include_unknown_availability:
         known = known.filter(F.coalesce("availability_quality", F.lit("")) != "historical_availability_unknown")
-    require_unique(listings, ["listing_id", "company_id"], "listings")
     kind, value = F.col("event_type"), F.col("free_float_market_value")
     effective = F.col("effective_time") <= instant_literal(when)
     entry, exit_ = effective & kind.isin("listed", "relisted"), effective & (kind == "delisted")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from chronoweave import schemas
 from chronoweave.constraints import (
-    ContractError, enforce, is_blank, orphans, require_columns, require_references, require_unique, with_violations,
+    ContractError, broken_rules, enforce, is_blank, orphans, repeated_keys, require, require_columns, require_unique,
+    unknown_references, with_violations,
 )
 from chronoweave.functions.times import as_of, instant, instant_literal, valid_at
 from chronoweave.session import cut_lineage
@@ -72,26 +73,27 @@ def validate(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Keys, references, the single acyclic tree, declared scopes, and no invented quantities."""
     for name, ddl in schemas.NEED_TABLES.items():
         require_columns(tables[name], schemas.columns(ddl), name)
-    for name, key in NODE_KEYS.items():
-        require_unique(tables[name], [key], name)
-        enforce(with_violations(tables[name], {"id_blank": is_blank(F.col(key))}), name)
-    for child, column, parent, key in REFERENCES:
-        require_references(tables[child], column, tables[parent], key, child)
     needs = tables["needs"]
+    unmarked = is_blank(F.col("quantity"))
+    rules = {name: {"id_blank": is_blank(F.col(key))} for name, key in NODE_KEYS.items()}
+    rules["needs"] |= {
+        "population_scope_blank": is_blank(F.col("population_scope")),
+        "biological_basis_blank": ~is_blank(F.col("parent_need_id")) & is_blank(F.col("biological_basis")),
+    }
+    rules["satisfaction_functions"]["own_parent"] = F.col("function_id") == F.col("parent_function_id")
+    rules["process_resource_dependencies"] = {
+        "quantity_missing_unmarked": unmarked & ~F.coalesce(F.col("source_status").isin(CANDIDATE, "not_yet_observed"), F.lit(False))}
+    rules["resource_endowment_observations"] = {
+        "quantity_missing_unmarked": unmarked & ~F.coalesce(F.col("quality_status").isin("not_yet_observed", "not_reported"), F.lit(False))}
+    rules["process_carrier_mappings"] = {"carrier_is_need": F.col("carrier_type").isin("need", "satisfaction_function")}
+    require([
+        *[repeated_keys(tables[name], [key], name) for name, key in NODE_KEYS.items()],
+        *[broken_rules(with_violations(tables[name], of_table), name) for name, of_table in rules.items()],
+        *[unknown_references(tables[child], column, tables[parent], key, child) for child, column, parent, key in REFERENCES],
+    ])
     report = tree_report(needs, key="need_id", parent="parent_need_id").first()
     if report["roots"] != 1 or report["self_parents"] or report["unreached"]:
         raise ContractError(f"needs must form one acyclic tree: {report.asDict()}")
-    enforce(with_violations(tables["satisfaction_functions"], {"own_parent": F.col("function_id") == F.col("parent_function_id")}), "satisfaction_functions")
-    enforce(with_violations(needs, {
-        "population_scope_blank": is_blank(F.col("population_scope")),
-        "biological_basis_blank": ~is_blank(F.col("parent_need_id")) & is_blank(F.col("biological_basis")),
-    }), "needs")
-    unmarked = is_blank(F.col("quantity"))
-    enforce(with_violations(tables["process_resource_dependencies"], {
-        "quantity_missing_unmarked": unmarked & ~F.coalesce(F.col("source_status").isin(CANDIDATE, "not_yet_observed"), F.lit(False))}), "dependencies")
-    enforce(with_violations(tables["resource_endowment_observations"], {
-        "quantity_missing_unmarked": unmarked & ~F.coalesce(F.col("quality_status").isin("not_yet_observed", "not_reported"), F.lit(False))}), "observations")
-    enforce(with_violations(tables["process_carrier_mappings"], {"carrier_is_need": F.col("carrier_type").isin("need", "satisfaction_function")}), "carriers")
     return tables
 
 
@@ -105,16 +107,16 @@ def snapshot(tables: dict[str, DataFrame], when, *, include_candidates: bool = F
     """The network as known at ``when``; candidate dependencies and carriers only on request."""
     if checked:
         validate(tables)
-    out = {}
-    for name, df in tables.items():
-        known = known_strict(df, when, name)
-        if name in TEMPORAL:
-            enforce(with_violations(known, {"valid_from_unreadable": instant(known, "valid_from").isNull()}), name)
-            known = valid_at(known, when, time_col=None, null_from_ok=False)
-        if name in ("process_resource_dependencies", "process_carrier_mappings") and not include_candidates:
-            known = known.filter(F.col("review_status").isin(*VERIFIED))
-        out[name] = known
-    return out
+    known = {name: as_of(df, when) for name, df in tables.items()}
+    unreadable = {name: with_violations(df, {"available_time_unreadable": instant(df, "available_time").isNull()}) for name, df in tables.items()}
+    unstarted = {name: with_violations(known[name], {"valid_from_unreadable": instant(known[name], "valid_from").isNull()}) for name in TEMPORAL}
+    require([broken_rules(df, name) for group in (unreadable, unstarted) for name, df in group.items()])
+    for name in TEMPORAL:
+        known[name] = valid_at(known[name], when, time_col=None, null_from_ok=False)
+    if not include_candidates:
+        for name in ("process_resource_dependencies", "process_carrier_mappings"):
+            known[name] = known[name].filter(F.col("review_status").isin(*VERIFIED))
+    return known
 
 
 def graph_nodes(snap: dict[str, DataFrame]) -> DataFrame:
@@ -150,11 +152,11 @@ def graph_edges(snap: dict[str, DataFrame]) -> DataFrame:
 
 def check_registry(registry: DataFrame, resources: DataFrame | None = None) -> None:
     require_columns(registry, schemas.columns(schemas.SOURCE_REGISTRY), "source registry")
-    require_unique(registry, ["source_id"], "source registry")
+    urls = with_violations(registry, {"admitted_without_url": F.col("source_status").isin(*ADMITTED_SOURCES) & is_blank(F.col("official_url"))})
+    found = [repeated_keys(registry, ["source_id"], "source registry"), broken_rules(urls, "source registry")]
     if resources is not None:
-        require_references(registry, "intended_resource_id", resources, "resource_id", "source registry")
-    enforce(with_violations(registry, {
-        "admitted_without_url": F.col("source_status").isin(*ADMITTED_SOURCES) & is_blank(F.col("official_url"))}), "source registry")
+        found.append(unknown_references(registry, "intended_resource_id", resources, "resource_id", "source registry"))
+    require(found)
 
 
 def import_observations(rows: DataFrame, registry: DataFrame, resources: DataFrame, when) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
-from chronoweave.constraints import is_blank, require_columns, require_references, require_unique
+from chronoweave.constraints import is_blank, repeated_keys, require, require_columns, require_unique, unknown_references
 from chronoweave.functions.ids import board_of, decimal_text, exchange_of, stable_id, symbol_from_prefixed, zero_padded
 from chronoweave.functions.latest import first_per_key, last_per_key, upsert
 from chronoweave.functions.times import as_of, instant, iso_utc, utc_datetime, valid_at
@@ -52,10 +52,9 @@ def validate(tables: NetworkTables) -> NetworkTables:
     for name, df in tables.items():
         require_columns(df, schemas.columns(schemas.NETWORK[name]), name)
     by_name = dict(tables.items())
-    for name in UNIQUE_TABLES:
-        require_unique(by_name[name], [PRIMARY_KEYS[name]], name)
-    for child, column, parent in REFERENCES:
-        require_references(by_name[child], column, by_name[parent], PRIMARY_KEYS[parent], child)
+    keys = [repeated_keys(by_name[name], [PRIMARY_KEYS[name]], name) for name in UNIQUE_TABLES]
+    links = [unknown_references(by_name[child], column, by_name[parent], PRIMARY_KEYS[parent], child) for child, column, parent in REFERENCES]
+    require([*keys, *links])
     return tables
 
 

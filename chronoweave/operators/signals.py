@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
-from chronoweave.constraints import ContractError, enforce, is_blank, require_columns, require_references, require_unique, with_violations
+from chronoweave.constraints import (
+    ContractError, broken_rules, enforce, is_blank, repeated_keys, require, require_columns, unknown_references, with_violations,
+)
 from chronoweave.functions.ids import digest
 from chronoweave.functions.latest import upsert
 from chronoweave.functions.rows import row_array
@@ -36,10 +38,10 @@ def _bad_object(kind: str, key: str) -> Column:
     return ~F.coalesce(F.col(kind).isin(*OBJECT_TYPES), F.lit(False)) | is_blank(F.col(key))
 
 
-def check_types(types: DataFrame) -> None:
+def type_findings(types: DataFrame) -> list[DataFrame]:
     require_columns(types, schemas.columns(schemas.SIGNAL_TYPES), "signal types")
-    require_unique(types, ["signal_type"], "signal types")
-    enforce(with_violations(types, {"signal_type_blank": is_blank(F.col("signal_type"))}), "signal types")
+    blank = with_violations(types, {"signal_type_blank": is_blank(F.col("signal_type"))})
+    return [repeated_keys(types, ["signal_type"], "signal types"), broken_rules(blank, "signal types")]
 
 
 def event_violations(events: DataFrame, types: DataFrame | None = None) -> DataFrame:
@@ -103,28 +105,42 @@ def evidence_violations(evidence: DataFrame) -> DataFrame:
     })
 
 
+def event_findings(events: DataFrame, types: DataFrame | None = None) -> list[DataFrame]:
+    return [repeated_keys(events, ["signal_event_id"], "signal events"), broken_rules(event_violations(events, types), "signal events")]
+
+
+def rule_findings(rules: DataFrame, types: DataFrame | None = None) -> list[DataFrame]:
+    found = [repeated_keys(rules, ["rule_id"], "transmission rules"), broken_rules(rule_violations(rules), "transmission rules")]
+    if types is not None:
+        found.append(unknown_references(rules, "signal_type", types, "signal_type", "transmission rules"))
+    return found
+
+
+def edge_findings(edges: DataFrame) -> list[DataFrame]:
+    return [repeated_keys(edges, ["edge_id"], "network edges"), broken_rules(edge_violations(edges), "network edges")]
+
+
+def evidence_findings(evidence: DataFrame, events: DataFrame | None = None) -> list[DataFrame]:
+    found = [repeated_keys(evidence, ["evidence_id"], "signal evidence"), broken_rules(evidence_violations(evidence), "signal evidence")]
+    if events is not None:
+        found.append(unknown_references(evidence, "signal_event_id", events, "signal_event_id", "signal evidence"))
+    return found
+
+
 def check_events(events: DataFrame, types: DataFrame | None = None) -> None:
-    require_unique(events, ["signal_event_id"], "signal events")
-    enforce(event_violations(events, types), "signal events")
+    require(event_findings(events, types))
 
 
 def check_rules(rules: DataFrame, types: DataFrame | None = None) -> None:
-    require_unique(rules, ["rule_id"], "transmission rules")
-    enforce(rule_violations(rules), "transmission rules")
-    if types is not None:
-        require_references(rules, "signal_type", types, "signal_type", "transmission rules")
+    require(rule_findings(rules, types))
 
 
 def check_edges(edges: DataFrame) -> None:
-    require_unique(edges, ["edge_id"], "network edges")
-    enforce(edge_violations(edges), "network edges")
+    require(edge_findings(edges))
 
 
 def check_evidence(evidence: DataFrame, events: DataFrame | None = None) -> None:
-    require_unique(evidence, ["evidence_id"], "signal evidence")
-    enforce(evidence_violations(evidence), "signal evidence")
-    if events is not None:
-        require_references(evidence, "signal_event_id", events, "signal_event_id", "signal evidence")
+    require(evidence_findings(evidence, events))
 
 
 # --- imports ------------------------------------------------------------------------------------------
@@ -423,10 +439,7 @@ def signal_snapshot(events: DataFrame, rules: DataFrame, edges: DataFrame, *, wh
                     objects: DataFrame | None = None, dense: bool = True, checked: bool = True) -> DataFrame:
     """The field at ``when``. ``dense=False`` gives only objects that carry a signal."""
     if checked:
-        check_types(types)
-        check_events(events, types)
-        check_rules(rules, types)
-        check_edges(edges)
+        require([*type_findings(types), *event_findings(events, types), *rule_findings(rules, types), *edge_findings(edges)])
     live = live_events(events, when)
     paths = propagate(live, rules, edges, when)
     aggregate = concentrate(contributions(live, paths))

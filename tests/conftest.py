@@ -15,7 +15,8 @@ def spark(tmp_path_factory):
     from chronoweave.session import prepare
 
     session = (
-        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "4")
+        SparkSession.builder.master("local[8]").appName("tests").config("spark.sql.shuffle.partitions", "2")
+        .config("spark.sql.codegen.wholeStage", "false").config("spark.sql.codegen.factoryMode", "NO_CODEGEN")  # tiny inputs: compiling costs most
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "6g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse"))).getOrCreate()
