@@ -350,42 +350,51 @@ def transmission_steps(rules: DataFrame, edges: DataFrame, when) -> DataFrame:
 def propagate(live: DataFrame, rules: DataFrame, edges: DataFrame, when) -> DataFrame:
     """Strongest path per event and object: multiplier, hop and arrival.
 
-    Level by level: the paths found in the last round take one step, and per event and
-    object the largest absolute multiplier stays (first found wins; within one round the
-    earlier arrival). A round is one join and one aggregate; its result is written to the
-    checkpoint folder, so the plan stays short and a lost executor costs no rerun. The
-    number of rounds is bounded by the largest ``max_hops``.
+    Level by level: the paths accepted in the last round take one step. Per event and object
+    the largest absolute multiplier of the round stays (among equals the earlier arrival),
+    and it is accepted if no earlier round has one at least as large. Each round joins and
+    aggregates only new paths and writes only accepted ones, so the plan stays short and a
+    lost executor costs no rerun of earlier rounds. ``max_hops`` bounds the rounds.
     """
     cut = instant_literal(when)
+    keys = ["signal_event_id", "object_type", "object_id"]
     start = live.select(
-        "signal_event_id", "signal_type", F.col("emitter_object_type").alias("object_type"), F.col("emitter_object_id").alias("object_id"),
+        "signal_event_id", F.col("emitter_object_type").alias("object_type"), F.col("emitter_object_id").alias("object_id"), "signal_type",
         F.lit(1.0).alias("multiplier"), F.lit(0).alias("hop"), F.col("effective_time").alias("arrival"))
-    known_rules = as_of(rules, when)
-    most = known_rules.agg(F.max(F.col("max_hops").cast("int"))).first()[0]
+    most = as_of(rules, when).agg(F.max(F.col("max_hops").cast("int"))).first()[0]
     if most is None:
         return start
     steps = cut_lineage(transmission_steps(rules, edges, when))
-    best = start
+    levels = [cut_lineage(start)]
+    paths = levels[0]
     for hop in range(1, most + 1):
-        frontier = best.filter(F.col("hop") == hop - 1).withColumnsRenamed({"object_type": "from_type", "object_id": "from_id"})
+        frontier = levels[-1].withColumnsRenamed({"object_type": "from_type", "object_id": "from_id"})
         departure = F.greatest("arrival", "ready")
         reached = (
             frontier.join(steps, ["signal_type", "from_type", "from_id"])
             .filter(F.col("hop") < F.col("max_hops"))
             .withColumn("_at", plus_days(departure, F.col("delay_days")))
             .filter((F.col("_at") <= cut) & (F.col("closes").isNull() | (F.col("_at") <= F.col("closes"))))
-            .select("signal_event_id", "signal_type", F.col("to_type").alias("object_type"), F.col("to_id").alias("object_id"),
-                    (F.col("multiplier") * F.col("attenuation")).alias("multiplier"), F.lit(hop).alias("hop"), F.col("_at").alias("arrival"))
+            .select("signal_event_id", F.col("to_type").alias("object_type"), F.col("to_id").alias("object_id"), "signal_type",
+                    (F.col("multiplier") * F.col("attenuation")).alias("multiplier"), F.col("_at").alias("arrival"))
         )
-        rank = F.struct(F.abs("multiplier"), -F.col("hop"), -F.unix_micros("arrival"))
-        best = cut_lineage(
-            best.unionByName(reached).groupBy("signal_event_id", "signal_type", "object_type", "object_id")
-            .agg(F.max_by(F.struct("multiplier", "hop", "arrival"), rank).alias("_p"))
-            .select("signal_event_id", "signal_type", "object_type", "object_id", "_p.*")
+        rank = F.struct(F.abs("multiplier"), -F.unix_micros("arrival"))
+        strongest = (
+            reached.groupBy(*keys).agg(F.max_by(F.struct("signal_type", "multiplier", "arrival"), rank).alias("_p"))
+            .select(*keys, "_p.signal_type", "_p.multiplier", F.lit(hop).alias("hop"), "_p.arrival")
         )
-        if best.filter(F.col("hop") == hop).isEmpty():
+        earlier = paths.select(*[F.col(key).alias(f"_{key}") for key in keys], F.abs("multiplier").alias("_held"))
+        beaten = (F.abs("multiplier") <= F.col("_held"))
+        for key in keys:
+            beaten = beaten & (F.col(key) == F.col(f"_{key}"))
+        accepted = cut_lineage(strongest.join(earlier, beaten, "left_anti"))
+        if accepted.isEmpty():
             break
-    return best
+        levels.append(accepted)
+        paths = paths.unionByName(accepted)
+    # A later path of the same event and object was only accepted for being stronger.
+    best = paths.groupBy(*keys).agg(F.max_by(F.struct("signal_type", "multiplier", "hop", "arrival"), "hop").alias("_p"))
+    return best.select(*keys, "_p.*")
 
 
 def contributions(live: DataFrame, paths: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from chronoweave.functions.latest import upsert
 from chronoweave.functions.times import as_of, valid_at
 from chronoweave.operators import lifecycle, needs, network, signals
 from chronoweave.constraints import duplicate_keys, orphans
+from chronoweave.session import cut_lineage
 from chronoweave.plans.registry import Tables, query, r6, rounded, sql_stamp, stamp
 from chronoweave.sources.tables import NetworkTables
 
@@ -463,7 +464,8 @@ def field_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]
     rules = schemas.conform(rules.withColumns({"signal_type": F.lit("supply.constraint"), "available_time": F.lit("1995-01-01")}), schemas.SIGNAL_RULES)
     types = t.spark.createDataFrame([("supply.constraint", "signal_unit", "signed", "Supply", "#EF6C00", "halo")],
                                     "signal_type string, default_unit string, polarity string, display_name string, display_color string, display_channel string")
-    return events, rules, edges, schemas.conform(types, schemas.SIGNAL_TYPES)
+    # Edges are read by the checks and by every round of the walk: write the derived table once.
+    return cut_lineage(events), rules, cut_lineage(edges), schemas.conform(types, schemas.SIGNAL_TYPES)
 
 
 @query("signal_field", FIELD_SQL)

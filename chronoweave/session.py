@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,28 +27,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because on a cluster executors could not reach it.
+    Only a local master may fall back to a temporary folder, because on a cluster the
+    executors could not reach it.
     """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="chronoweave-"))
-    else:
+        return shared
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = tempfile.mkdtemp(prefix="chronoweave-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the shared folder and read it back from there.
+
+    The plan starts anew at the table, a lost executor costs no rerun of what led to it,
+    and its real size is known to the optimizer when it picks joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/chronoweave/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def session(app: str = "oracle-check"):
 
     builder = SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").appName(app)
     spark = (
-        builder.config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+        builder.config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
