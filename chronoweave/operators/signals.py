@@ -378,9 +378,12 @@ def propagate(live: DataFrame, rules: DataFrame, edges: DataFrame, when) -> Data
             .select("signal_event_id", F.col("to_type").alias("object_type"), F.col("to_id").alias("object_id"), "signal_type",
                     (F.col("multiplier") * F.col("attenuation")).alias("multiplier"), F.col("_at").alias("arrival"))
         )
+        # Many steps lead to the same object with the same strength: a hash aggregate keeps the
+        # earliest of each before the strongest is picked.
+        earliest = reached.groupBy(*keys, "signal_type", "multiplier").agg(F.min("arrival").alias("arrival"))
         rank = F.struct(F.abs("multiplier"), -F.unix_micros("arrival"))
         strongest = (
-            reached.groupBy(*keys).agg(F.max_by(F.struct("signal_type", "multiplier", "arrival"), rank).alias("_p"))
+            earliest.groupBy(*keys).agg(F.max_by(F.struct("signal_type", "multiplier", "arrival"), rank).alias("_p"))
             .select(*keys, "_p.signal_type", "_p.multiplier", F.lit(hop).alias("hop"), "_p.arrival")
         )
         earlier = paths.select(*[F.col(key).alias(f"_{key}") for key in keys], F.abs("multiplier").alias("_held"))
