@@ -245,7 +245,10 @@ def network_snapshot(t: Tables) -> DataFrame:
     tables = network_tables(t)
     kind = F.col("event_type")
     legal = F.when(kind == "listed", "relisted").when(kind == "delisted", "delisting_announced").otherwise(kind)
-    tables = tables.replace(lifecycle_events=tables.lifecycle_events.withColumn("event_type", legal))
+    # Both derived tables feed several counters.
+    tables = tables.replace(
+        lifecycle_events=tables.lifecycle_events.withColumn("event_type", legal), relations=cut_lineage(tables.relations),
+        activity_product_candidates=cut_lineage(tables.activity_product_candidates))
     snap = network.snapshot(tables, CUT, checked=False)
 
     def count(df: DataFrame, condition: str | None = None):

@@ -35,7 +35,7 @@ def field(rows, spark):
     types = rows(TY, {"signal_type": KIND, "default_unit": "signal_unit", "polarity": "signed"}, {"signal_type": "risk.warning", "default_unit": "signal_unit", "polarity": "nonnegative"})
 
     def run(events, rules, edges, when, **more):
-        snap = signals.signal_snapshot(rows(EV, *events), rows(RU, *rules), rows(ED, *edges), when=when, types=types, **more)
+        snap = signals.signal_snapshot(rows(EV, *events), rows(RU, *rules), rows(ED, *edges), when=when, types=types, checked=False, **more)
         return {r["object_id"]: r for r in snap.filter(F.col("signal_type") == KIND).collect()}
 
     return run
