@@ -58,7 +58,7 @@ def _anchored(texts: DataFrame, text_id: str, anchors: DataFrame, hashes: Column
     return held.join(anchors.select("_anchor").distinct(), "_anchor", "left_semi")
 
 
-def _pairs(texts: DataFrame, text_id: str, needles: DataFrame, needle_id: str, options: DataFrame, hashes: Column) -> DataFrame:
+def _pairs(texts: DataFrame, text_id: str, needle_id: str, options: DataFrame, hashes: Column) -> DataFrame:
     """Candidate pairs through the rarest anchor of each needle.
 
     ``options`` has one row per needle and possible anchor. The held anchors are written
@@ -72,32 +72,35 @@ def _pairs(texts: DataFrame, text_id: str, needles: DataFrame, needle_id: str, o
     return held.join(chosen, "_anchor").select(text_id, needle_id).distinct()
 
 
-def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str) -> DataFrame:
-    """Pairs (text id, needle id) where the text contains the needle exactly. Empty needles match nothing."""
-    texts = spread(texts.select(text_id, text))
+def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, needle_id: str, needle: str, *, scope: str | None = None) -> DataFrame:
+    """Pairs (text id, needle id) where the text contains the needle exactly. Empty needles match nothing.
+
+    With ``scope`` (a column of both tables, e.g. the filing) a needle is looked up only in
+    texts of its own scope. Needle ids must be unique over all scopes.
+    """
+    area = [] if scope is None else [scope]
+    texts = spread(texts.select(text_id, text, *area))
     usable = needles.filter(F.col(needle).isNotNull() & (F.col(needle) != ""))
-    parts = usable.select(needle_id, F.col(needle).alias("_needle"), _inner(_words(F.col(needle))).alias("_inner"))
-    found = []
-    long = parts.filter(F.size("_inner") >= RUN)
-    options = long.select(needle_id, F.explode(_runs(F.col("_inner"), RUN)).alias("_anchor"))
-    found.append(_pairs(texts, text_id, long, needle_id, options, _runs(_words(F.col(text)), RUN)))
-    medium = parts.filter((F.size("_inner") > 0) & (F.size("_inner") < RUN))
+    parts = usable.select(needle_id, *area, F.col(needle).alias("_needle"), _inner(_words(F.col(needle))).alias("_inner"))
+
+    def scoped(hashes: Column) -> Column:
+        return hashes if scope is None else F.transform(hashes, lambda item: F.xxhash64(F.col(scope), item))
+
+    def found(chosen: DataFrame, needle_hashes: Column, text_hashes: Column) -> DataFrame:
+        options = chosen.select(needle_id, F.explode(scoped(needle_hashes)).alias("_anchor"))
+        return _pairs(texts, text_id, needle_id, options, scoped(text_hashes))
+
+    words = _words(F.col(text))
+    inner, size = F.col("_inner"), F.length("_needle")
+    pairs = found(parts.filter(F.size(inner) >= RUN), _runs(inner, RUN), _runs(words, RUN))
+    medium = parts.filter((F.size(inner) > 0) & (F.size(inner) < RUN))
     if not medium.isEmpty():
-        options = medium.select(needle_id, F.explode(_runs(F.col("_inner"), 1)).alias("_anchor"))
-        found.append(_pairs(texts, text_id, medium, needle_id, options, _runs(_words(F.col(text)), 1)))
-    short = parts.filter((F.size("_inner") <= 0) & (F.length("_needle") >= WINDOW))
-    if not short.isEmpty():
-        options = short.select(needle_id, F.explode(_windows(F.col("_needle"), WINDOW)).alias("_anchor"))
-        found.append(_pairs(texts, text_id, short, needle_id, options, _windows(F.col(text), WINDOW)))
-    tiny = parts.filter((F.size("_inner") <= 0) & (F.length("_needle") < WINDOW))
-    lengths = [row[0] for row in tiny.select(F.length("_needle")).distinct().collect()]  # at most WINDOW - 1 values
-    for length in lengths:
-        same = tiny.filter(F.length("_needle") == length)
-        options = same.select(needle_id, F.explode(_windows(F.col("_needle"), length)).alias("_anchor"))
-        found.append(_pairs(texts, text_id, same, needle_id, options, _windows(F.col(text), length)))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
+        pairs = pairs.unionByName(found(medium, _runs(inner, 1), _runs(words, 1)))
+    # Needles without an inner word: windows of up to WINDOW characters; at most WINDOW lengths exist.
+    bare = parts.filter(F.size(inner) <= 0).withColumn("_width", F.least(size, F.lit(WINDOW)))
+    for width in sorted(row[0] for row in bare.select("_width").distinct().collect()):
+        same = bare.filter(F.col("_width") == width)
+        pairs = pairs.unionByName(found(same, _windows(F.col("_needle"), width), _windows(F.col(text), width)))
     checked = pairs.join(usable.select(needle_id, F.col(needle).alias("_needle")), needle_id).join(
         texts.select(text_id, F.col(text).alias("_text")), text_id)
     return checked.filter(F.contains("_text", "_needle")).select(text_id, needle_id)

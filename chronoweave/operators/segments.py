@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.constraints import require_columns
@@ -78,10 +78,10 @@ def add_segments(quotes: DataFrame) -> DataFrame:
 
 
 def share_table(df: DataFrame, column: str) -> DataFrame:
-    """Row count and share per value. The window sees one row per value, not the rows themselves."""
+    """Row count and share per value."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    total = Window.partitionBy(F.lit(0))
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(total))
+    total = counts.agg(F.sum("count").alias("total")).scalar()
+    return counts.withColumn("share", F.col("count") / total)
 
 
 def universe_summary(df: DataFrame) -> DataFrame:

@@ -253,11 +253,11 @@ def eligibility_audit(t: Tables) -> DataFrame:
                            "CASE WHEN quality IS NULL THEN 'high_text_match_unreviewed_claim' WHEN quality = 1 THEN 'human_reviewed_exact_text_match' ELSE 'human_reviewed_rejected' END AS confidence, "
                            "CASE WHEN quality IS NOT NULL THEN '2024-03-01T00:00:00+00:00' END AS reviewed_at FROM documents LEFT JOIN labels USING (doc_id)")
 def review_decisions(t: Tables) -> DataFrame:
-    """Labels as review decisions on the first words of every document; replayed once, which changes nothing."""
+    """Labels as review decisions on the first sentence of every document; replayed once, which changes nothing."""
     key = F.col("doc_id").cast("string")
     activities = t.documents.select(key.alias("activity_id"), F.lit("C").alias("company_id"), F.col("text").alias("activity_text"))
     candidates = schemas.conform(t.documents.select(
-        key.alias("mapping_id"), key.alias("activity_id"), F.substring("text", 1, 20).alias("evidence_quote"), F.lit(evidence.PENDING).alias("review_status"),
+        key.alias("mapping_id"), key.alias("activity_id"), F.substring_index("text", ".", 1).alias("evidence_quote"), F.lit(evidence.PENDING).alias("review_status"),
         F.lit("high_text_match_unreviewed_claim").alias("confidence")), schemas.NETWORK["activity_product_candidates"])
     decisions = t.labels.select(key.alias("mapping_id"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"),
                                 F.lit("reviewer").alias("reviewer"), F.lit("2024-03-01").alias("reviewed_at"), F.lit("").alias("note"))

@@ -139,7 +139,7 @@ def update_archive(
         replaced = touched.join(new.select("entity", "bar_end"), ["entity", "bar_end"], "left_semi").count()
         merged = cut_lineage(upsert(touched.select(*new.columns), new, ["entity", "bar_end"]))
     (
-        merged.repartition("session_date")
+        merged.hint("rebalance", "session_date")  # one file per day unless a day is large
         .sortWithinPartitions("session_date", "entity", "bar_end")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -44,7 +44,7 @@ def upsert_partitions(batch: DataFrame, path: str, keys: list[str], partition: s
     if _exists(spark, path):
         held = spark.read.schema(new.schema).parquet(path).join(new.select(partition).distinct(), partition, "left_semi").select(*new.columns)
         merged = cut_lineage(upsert(held, new, keys))
-    merged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def archive_writer(bars: DataFrame, path: str, checkpoint: str, *, keys: list[str], partition: str, order: list[str]) -> DataStreamWriter:

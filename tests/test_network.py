@@ -86,6 +86,8 @@ def test_status_equals_the_state_machine_on_random_histories(rows):
         events += [event(f"e{i}_{j}", random.choice(kinds), f"2026-0{random.randint(1, 6)}-1{random.randint(0, 3)}", listing=f"L{i}") for j in range(random.randint(0, 9))]
     got = status(rows, listings, events, "2027-01-01", strict=False)
     steps = lifecycle.illegal_steps(rows(N["listings"], *listings), rows(N["lifecycle_events"], *events), "2027-01-01").collect()
+    blocked = lifecycle.illegal_steps(rows(N["listings"], *listings), rows(N["lifecycle_events"], *events), "2027-01-01", block_rows=2).collect()
+    assert sorted(map(tuple, blocked)) == sorted(map(tuple, steps))
     wrong = {}
     for r in steps:
         wrong.setdefault(r["listing_id"], set()).add(r["event_id"])
@@ -111,7 +113,7 @@ def test_impacts(rows):
 def test_close_intervals_is_replayable(rows, spark):
     df = spark.createDataFrame([("o", f"2026-01-{d:02d}", f"s{d}") for d in (5, 1, 3)], "k string, effective_time string, id string")
     once = lifecycle.close_intervals(df, key="k", tie="id")
-    twice = lifecycle.close_intervals(once, key="k", tie="id")
+    twice = lifecycle.close_intervals(once, key="k", tie="id", block_rows=1)
     got = {r["id"]: r["expires_time"] and r["expires_time"].day for r in twice.collect()}
     assert got == {"s1": 3, "s3": 5, "s5": None}
 
