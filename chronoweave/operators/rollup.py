@@ -12,8 +12,12 @@ FIELDS = ["open", "high", "low", "close", "volume"]
 
 
 def ticks_to_bars(ticks: DataFrame, keys: list[Column | str], *, price: str, order: list[str]) -> DataFrame:
-    """First, max, min, last and count of prices per key; ``order`` is total within a key."""
-    rank = F.struct(*order)
+    """First, max, min, last and count of prices per key; ``order`` is total within a key.
+
+    A single order column keeps the whole aggregate in hash tables; a tie column makes it
+    sort-based. Give only the time where it is unique per key.
+    """
+    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return ticks.groupBy(*keys).agg(
         F.min_by(price, rank).alias("open"),
         F.max(price).alias("high"),

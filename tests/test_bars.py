@@ -34,7 +34,7 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, schemas.struct(schemas.DAILY_BARS))
 
 
-def reference_features(pdf):
+def pandas_features(pdf):
     """The formulas of the feature table in pandas, one entity."""
     close, volume = pdf["close"], pdf["volume"].replace(0, float("nan"))
     out = pd.DataFrame({"date": pdf["date"]})
@@ -72,7 +72,7 @@ def same(spark_df, expected, names, key="date"):
 def test_features_match_pandas_in_one_window_and_in_blocks(spark):
     data = walk(2600)
     bars = frame(spark, data)
-    expected = reference_features(pd.DataFrame(data, columns=["entity", "date", "open", "high", "low", "close", "volume"]))
+    expected = pandas_features(pd.DataFrame(data, columns=["entity", "date", "open", "high", "low", "close", "volume"]))
     plain = features.bar_features(bars, entity="entity", time="date", horizon=1)
     blocked = features.bar_features(bars, entity="entity", time="date", horizon=1, bucket=F.date_trunc("quarter", "date"), block_rows=200)
     same(plain, expected, features.FEATURES)
