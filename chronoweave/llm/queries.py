@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chronoweave.llm.bpe import op5_bpe
 from chronoweave.llm.jaccard import op8_ngram_jaccard_join
 from chronoweave.llm.licenses import op1_license_scan
 from chronoweave.llm.quality import OP10_SQL, op10_quality_rules
@@ -9,6 +10,7 @@ from chronoweave.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
