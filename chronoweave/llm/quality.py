@@ -27,7 +27,7 @@ from chronoweave.llm.text import table
 from chronoweave.session import cut_lineage
 
 #: Rows on which costs and rejections of the rules are measured; the rules themselves see every row.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 256
 WINDOW = 8
 
 
@@ -116,7 +116,9 @@ def measured(text: Column, held: Column) -> Callable[[str], Column]:
 
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both measured on at most ``rows`` rows of ``docs``; ties keep the given order."""
-    sample = cut_lineage(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(rows))
+    # taking rows reads partitions only until there are enough; a written limit would read some rows of each of them
+    taken = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).take(rows)
+    sample = cut_lineage(docs.sparkSession.createDataFrame(taken, "t string"))
     worth = {}
     for again in (False, True):  # the first pass compiles code
         for rule in rules:
