@@ -173,7 +173,7 @@ def read_archives(archives: DataFrame, page_id_type: str = "bigint", payload: bo
         names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    spread = archives.select("archive").repartition("archive")
+    spread = archives.select("archive").repartition(max(1, archives.count()), "archive")  # a stated number is not made smaller by adaptive execution
     rows = spread.mapInArrow(read, "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
     return rows.withColumns({name: F.col(name).cast(page_id_type) for name in ("page_id", "refers_to")})
 
