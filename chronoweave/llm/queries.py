@@ -5,13 +5,17 @@ from __future__ import annotations
 from chronoweave.llm.bpe import op5_bpe
 from chronoweave.llm.jaccard import op8_ngram_jaccard_join
 from chronoweave.llm.licenses import op1_license_scan
+from chronoweave.llm.lm import op4_lm_scoring
 from chronoweave.llm.packing import op2_best_fit_packing
 from chronoweave.llm.quality import OP10_SQL, op10_quality_rules
+from chronoweave.llm.toxicity import op3_toxicity
 from chronoweave.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
