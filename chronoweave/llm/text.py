@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 import pyarrow as pa
@@ -13,7 +14,14 @@ from chronoweave.session import prepare, shared_folder
 BATCH_BYTES = "8m"
 
 
+#: Where this library lies; Python workers on machines that have it there import it without further set-up.
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def ready(spark: SparkSession) -> SparkSession:
+    paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
