@@ -2,11 +2,11 @@
 
 Severity grades 0 to 3 follow P(grade > j) = sigmoid(w x - theta_j): one weight vector for all thresholds, which are ordered by
 construction, so the expected severity is the sum of the three probabilities. Features are the words of a text and the
-character runs (four and five letters, with marks for a word's ends) in them, present or not; so inflected and compound
-forms of a word count, too.
+character runs (four and five letters, with marks for a word's ends) in them, by the logarithm of how often they occur; so
+inflected and compound forms of a word count, too, and one chance likeness counts less than several.
 
 The tables label texts as toxic or not, without grades. Grade 0 is a text that is not toxic. Toxic texts are graded 1 to 3 by
-thirds of how densely they hold features that toxic texts hold far more often than others do.
+thirds of how many words they hold with features that toxic texts have far more often than others do.
 
 Training takes at most ``LABELLED`` labelled documents (the smallest hashes of their ids), at most ``FEATURES`` features (the
 highest likelihood-ratio scores, at least ``LEAST_SCORE``), and fits on the driver, whose work does not grow with the corpus.
@@ -59,23 +59,26 @@ class Model:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def expected(self, features: list[int]) -> float:
+    def expected(self, counts: dict[int, int]) -> float:
         if not len(self.thresholds):
             return 0.0
-        return float((1 / (1 + np.exp(self.thresholds - self.weights[features].sum()))).sum())
+        score = self.weights[list(counts)] @ np.log2(1 + np.array(list(counts.values()), float)) if counts else 0.0
+        return float((1 / (1 + np.exp(np.clip(self.thresholds - score, -40, 40)))).sum())
 
 
 EMPTY = Model({}, np.zeros(0), np.zeros(0))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 400, penalty: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int = 500,
+        penalty: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of least penalised loss, by full-batch steps of adaptive size."""
     at, column = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, int)]).astype(int)
+    value = np.concatenate([*values, np.zeros(0)])
     w, base, gaps = np.zeros(n_features), 1.0, np.zeros(GRADES - 2)  # thresholds: base, then each exp(gap) further
     moment, square = np.zeros(n_features + GRADES - 1), np.zeros(n_features + GRADES - 1)
     for step in range(1, steps + 1):
         thresholds = base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        score = np.bincount(at, w[column], len(rows))
+        score = np.bincount(at, w[column] * value, len(rows))
         above = np.hstack([np.ones((len(rows), 1)), 1 / (1 + np.exp(np.clip(thresholds - score[:, None], -40, 40))), np.zeros((len(rows), 1))])
         slope = above * (1 - above)
         likely = np.maximum(np.take_along_axis(above[:, :-1] - above[:, 1:], grades[:, None], 1)[:, 0], 1e-12)
@@ -84,7 +87,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_features: int, steps: int
         np.put_along_axis(rise, grades[:, None] + 1, (np.take_along_axis(slope, grades[:, None] + 1, 1)[:, 0] / likely)[:, None], 1)
         by_threshold = -rise[:, 1:-1].sum(0)
         gradient = np.concatenate([
-            np.bincount(column, rise.sum(1)[at], n_features) / len(rows) + penalty * w, [by_threshold.sum() / len(rows)],
+            np.bincount(column, rise.sum(1)[at] * value, n_features) / len(rows) + penalty * w, [by_threshold.sum() / len(rows)],
             np.exp(gaps) * np.cumsum(by_threshold[::-1])[::-1][1:] / len(rows)])
         moment, square = 0.9 * moment + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
         move = 0.1 * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-9)
@@ -143,28 +146,32 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def featured(batches):
         memo: dict[bytes, tuple[list[int], bool]] = {}
         for batch in batches:
-            lists, density = [], []
+            held, counts, strength = [], [], []
             for blob in blobs(batch, "_text"):
                 words = lower_words(blob)
+                found: Counter = Counter()
                 hits = 0
-                held: set[int] = set()
                 for word in words:
                     if word not in memo:
                         names = word_features(word)
                         memo[word] = [index[n] for n in names if n in index], any(n in strong for n in names)
-                    held.update(memo[word][0])
+                    found.update(memo[word][0])
                     hits += memo[word][1]
-                lists.append(sorted(held))
-                density.append(hits / max(len(words), 1))
+                held.append(list(found))
+                counts.append(list(found.values()))
+                strength.append(hits)
                 if len(memo) > MEMO:
                     memo.clear()
-            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(lists, pa.list_(pa.int32())), pa.array(density)], ["toxic", "held", "density"])
-
-    rows = sample.select("_text", "_toxic").mapInArrow(featured, "toxic boolean, held array<int>, density double").toArrow()  # at most LABELLED rows
-    bad, density = np.array(rows["toxic"].to_pylist()), np.array(rows["density"].to_pylist())
-    cuts = np.quantile(density[bad], [1 / 3, 2 / 3])
-    grades = np.where(bad, 1 + (density[:, None] > cuts).sum(1), 0)
-    weights, thresholds = fit([np.array(held, int) for held in rows["held"].to_pylist()], grades, len(index))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("_toxic"), pa.array(held, kind), pa.array(counts, kind), pa.array(strength, pa.int64())],
+                                             ["toxic", "held", "counts", "strength"])
+
+    rows = sample.select("_text", "_toxic").mapInArrow(featured, "toxic boolean, held array<int>, counts array<int>, strength bigint").toArrow()  # LABELLED rows
+    bad, strength = np.array(rows["toxic"].to_pylist()), np.array(rows["strength"].to_pylist())
+    cuts = np.quantile(strength[bad], [1 / 3, 2 / 3])
+    grades = np.where(bad, 1 + (strength[:, None] > cuts).sum(1), 0)
+    values = [np.log2(1 + np.array(counts, float)) for counts in rows["counts"].to_pylist()]
+    weights, thresholds = fit([np.array(held, int) for held in rows["held"].to_pylist()], values, grades, len(index))
     return Model(index, weights, thresholds)
 
 
@@ -177,14 +184,14 @@ def score(docs: DataFrame, model: Model, text: str = "text", severity: str = "ex
         for batch in batches:
             out = []
             for blob in blobs(batch, text):
-                features: set[int] = set()
-                for word in set(lower_words(blob)):
+                counts: dict[int, int] = {}
+                for word, times in Counter(lower_words(blob)).items():
                     found = memo.get(word)
                     if found is None:
                         found = memo[word] = [held.index[n] for n in word_features(word) if n in held.index]
-                    if found:
-                        features.update(found)
-                out.append(held.expected(sorted(features)))
+                    for feature in found:
+                        counts[feature] = counts.get(feature, 0) + times
+                out.append(held.expected(counts))
                 if len(memo) > MEMO:
                     memo.clear()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, severity])
