@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from chronoweave.llm.bpe import op5_bpe
 from chronoweave.llm.embeddings import OP9_SQL, op9_embedding_near_dedup
+from chronoweave.llm.extraction import OP7_SQL, op7_html_extraction
 from chronoweave.llm.jaccard import op8_ngram_jaccard_join
 from chronoweave.llm.licenses import op1_license_scan
 from chronoweave.llm.lm import op4_lm_scoring
@@ -19,8 +20,9 @@ QUERIES = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_bpe": op5_bpe,
     "op6_warc": op6_warc,
+    "op7_html_extraction": op7_html_extraction,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op6_warc": OP6_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLES = {"op6_warc": OP6_SQL, "op7_html_extraction": OP7_SQL, "op9_embedding_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
