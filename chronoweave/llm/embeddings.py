@@ -101,8 +101,8 @@ def _compare(threshold: float):
 def _packed(batches):
     """Rows of one tile after another, in order, to a row per tile with its vectors as bytes; tiles may come in parts."""
     for batch in batches:
-        tiles = np.array(batch.column("tile").to_pylist(), object)
-        cuts = [0, *(np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist(), len(tiles)]
+        tiles = list(zip(batch.column("grp").to_pylist(), batch.column("tile").to_pylist()))
+        cuts = [0, *(i for i in range(1, len(tiles)) if tiles[i] != tiles[i - 1]), len(tiles)]
         for a, b in zip(cuts, cuts[1:]):
             if a == b:
                 continue
