@@ -34,13 +34,14 @@ ARCHIVE_BYTES = 64 << 20
 CHUNK = 64 << 10
 
 
-def mark_revisits(pages: DataFrame, page_id: str = "page_id", html: str = "html", least: int = 100) -> DataFrame:
-    """Adds ``_payload``, ``_digest`` and ``_first``: the smallest id with the same payload, for pages that revisit it.
+def mark_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100) -> DataFrame:
+    """Page id, url, ``_payload``, ``_digest`` and ``_first``: the smallest id with the same payload, for pages that revisit it.
 
     Only digests that occur twice or more are joined back; a digest of a third of all pages is pre-aggregated on the one
     side and its join partition is split by adaptive execution on the other.
     """
-    marked = pages.withColumn("_payload", F.coalesce(F.encode(html, "UTF-8"), F.lit(b""))).withColumn("_digest", F.sha2("_payload", 256))
+    payload = F.coalesce(F.encode(html, "UTF-8"), F.lit(b""))
+    marked = pages.select(page_id, url, payload.alias("_payload")).withColumn("_digest", F.sha2("_payload", 256))
     firsts = (
         marked.filter(F.octet_length("_payload") >= least).groupBy("_digest").agg(F.min(page_id).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .filter("_n > 1").drop("_n")
