@@ -101,7 +101,7 @@ def board_of(symbol: Column) -> Column:
     code = F.substring_index(symbol, ".", 1)
     suffix = F.upper(F.when(symbol.contains("."), F.regexp_replace(symbol, r"^[^.]*\.", "")).otherwise(""))
     return (
-        F.when(suffix == "BJ", "Beijing Stock Exchange")
+        F.when(suffix == "BJ", "BSE")
         .when((suffix == "SH") & code.startswith("688"), "STAR Market")
         .when((suffix == "SZ") & code.rlike("^30[01]"), "ChiNext")
         .when(suffix.isin("SH", "SZ"), "Main Board or other; requires source verification")

@@ -7,7 +7,6 @@
 * ``in_blocks``: cuts each group into blocks of a fixed number of rows and copies
   the few rows before and after into the block that needs them. The result is the
   same, and no task ever holds more than one block (plus one index bucket).
-* ``sized``: counts the largest group first and picks one of the two.
 """
 
 from __future__ import annotations
@@ -90,20 +89,6 @@ def in_blocks(
     return Ordered(spread, tuple(keys), Window.partitionBy(*keys, "_block").orderBy("_i"), carried=True)
 
 
-def sized(
-    df: DataFrame, keys: list[str], order: list[Column], *, bucket: Column, before: int = 0, after: int = 0, block_rows: int = 50_000
-) -> Ordered:
-    """``by_group`` when the largest group was counted to fit a block, else ``in_blocks``.
-
-    The count reads only the key columns and is combined before its shuffle; it saves the
-    ordinary case the shuffles that blocks need.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest <= block_rows:
-        return by_group(df, keys, order)
-    return in_blocks(df, keys, order, bucket=bucket, before=before, after=after, block_rows=block_rows)
-
-
 def full(n: int, value: Column, stat: Column, frame: WindowSpec) -> Column:
     """``stat`` only where all n values of the frame are present.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import cut_lineage, spread
+from chronoweave.session import cut_lineage
 
 RUN = 3
 WINDOW = 4
@@ -79,7 +79,7 @@ def contained(texts: DataFrame, text_id: str, text: str, needles: DataFrame, nee
     texts of its own scope. Needle ids must be unique over all scopes.
     """
     area = [] if scope is None else [scope]
-    texts = spread(texts.select(text_id, text, *area))
+    texts = texts.select(text_id, text, *area)
     usable = needles.filter(F.col(needle).isNotNull() & (F.col(needle) != ""))
     parts = usable.select(needle_id, *area, F.col(needle).alias("_needle"), _inner(_words(F.col(needle))).alias("_inner"))
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from chronoweave.constraints import with_violations
 from chronoweave.functions.latest import first_per_key, last_per_key
 from chronoweave.functions.rows import row_array
-from chronoweave.operators.containment import contained
 from chronoweave.operators.funds import fund_code
 
 # Phrases of the disclosure section.
@@ -149,17 +148,16 @@ def name_aliases(name: Column) -> Column:
 def holding_matches(holdings: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that mention a holding by name, code, or code without leading zeros.
 
-    Both tables carry doc_id: a holding is looked up only in the pages of its own filing,
-    through character windows, so no filing is searched pair by pair.
+    Both tables carry doc_id, the key of the join: a holding is looked up in the pages of its own
+    filing only. Adaptive execution splits the partition of a filing with very many of both.
     """
     code = F.substring_index("instrument_id", ".", 1)
     bare = F.regexp_replace(code, "^0+", "")
     spellings = F.array_distinct(F.array(compact(F.col("security_name")), code, F.when(bare == "", "0").otherwise(bare)))
-    needles = holdings.select("doc_id", "instrument_id", "security_name", F.explode(spellings).alias("_needle")).distinct()
-    named = needles.withColumn("_holding", F.struct("doc_id", "instrument_id", "security_name", "_needle"))
-    texts = pages.select("doc_id", F.struct("doc_id", "page_no").alias("_place"), compact(F.col("text")).alias("_page"))
-    hits = contained(texts, "_place", "_page", named, "_holding", "_needle", scope="doc_id")
-    return hits.select("_place.doc_id", "_holding.instrument_id", "_holding.security_name", "_place.page_no").distinct()
+    named = holdings.select("doc_id", "instrument_id", "security_name", spellings.alias("_spellings")).distinct()
+    texts = pages.select("doc_id", "page_no", compact(F.col("text")).alias("_page"))
+    hits = named.join(texts, "doc_id").filter(F.exists("_spellings", lambda needle: (needle != "") & F.contains(F.col("_page"), needle)))
+    return hits.select("doc_id", "instrument_id", "security_name", "page_no").distinct()
 
 
 def verify_reports(documents: DataFrame, pages: DataFrame, holdings: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from chronoweave import schemas
 from chronoweave.constraints import repeated_keys, require, require_columns, unknown_references
 from chronoweave.functions.ids import stable_id
-from chronoweave.functions.ordered import sized
+from chronoweave.functions.ordered import in_blocks
 from chronoweave.functions.times import as_of, instant_literal, with_instants
 
 # Event types and the status they lead to.
@@ -72,8 +72,7 @@ def pending_events(events: DataFrame, when) -> DataFrame:
 def illegal_steps(listings: DataFrame, events: DataFrame, when, *, bucket: Column | None = None, block_rows: int = 50_000) -> DataFrame:
     """Effective events that leave ``delisted`` by anything but relisting.
 
-    Needs one row before each event only; listings with more than ``block_rows`` events are
-    read in blocks. ``bucket`` must grow with the effective time; the default is the day.
+    Needs one row before each event only, so listings are read in blocks of ``block_rows`` events. ``bucket`` must grow with the effective time; the default is the day.
     """
     effective = known_events(events, when).filter(F.col("effective_time") <= instant_literal(when))
     structural = effective.withColumn("_target", target_status(F.col("event_type"))).filter(
@@ -82,7 +81,7 @@ def illegal_steps(listings: DataFrame, events: DataFrame, when, *, bucket: Colum
     initial = listings.select("listing_id", F.coalesce("initial_status", F.lit("unknown")).alias("_initial"))
     rows = structural.select("listing_id", "event_id", "event_type", "effective_time", "available_time", "_target").join(initial, "listing_id")
     day = F.to_date("effective_time") if bucket is None else bucket
-    source = sized(rows, ["listing_id"], [F.col(c) for c in ORDER], bucket=day, before=1, block_rows=block_rows)
+    source = in_blocks(rows, ["listing_id"], [F.col(c) for c in ORDER], bucket=day, before=1, block_rows=block_rows)
     # Only the first event of a listing has no event before it.
     held = F.coalesce(F.lag("_target").over(source.window), F.col("_initial"))
     checked = source.with_df(source.df.withColumn("previous_status", held)).finish()
@@ -177,5 +176,5 @@ def close_intervals(states: DataFrame, *, key: str, start: str = "effective_time
     """Close each state at the start of the next state of the same object."""
     typed = with_instants(states, [start])
     day = F.to_date(start) if bucket is None else bucket
-    source = sized(typed, [key], [F.col(start), F.col(tie)], bucket=day, after=1, block_rows=block_rows)
+    source = in_blocks(typed, [key], [F.col(start), F.col(tie)], bucket=day, after=1, block_rows=block_rows)
     return source.with_df(source.df.withColumn(end, F.lead(start).over(source.window))).finish()

@@ -114,19 +114,26 @@ def strategy_returns(scored: DataFrame, *, threshold: float = BUY_THRESHOLD) ->
     return scored.withColumn("strategy_return", F.when(long, F.col("future_return")).otherwise(F.lit(0.0)))
 
 
-def growth_curve(returns: DataFrame, value: str, *, entity: str, time: str, name: str) -> DataFrame:
-    """Growth of 1.0 along the series; a missing return counts as zero.
+def growth_logs(returns: DataFrame, value: str, *, entity: str, time: str, name: str) -> DataFrame:
+    """Growth of 1.0 along the series as ``log_<name>``, the logarithm of its size, and ``<name>_sign``.
 
-    The product runs as a sum of logarithms. Its sign and a total loss (a return of
-    -1 or below) are tracked beside it, so the result is right for those as well.
+    A missing return counts as zero. The sign is 0 from a total loss (a return of -1) on, and
+    turns with every return below -1; on the log scale no curve is too steep for a double.
     """
     factor = 1 + F.coalesce(value, F.lit(0.0))
     upto = Window.partitionBy(entity).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    grown = F.exp(F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(upto))
     lost = F.max(F.when(factor == 0, 1).otherwise(0)).over(upto)
     flips = F.sum(F.when(factor < 0, 1).otherwise(0)).over(upto)
-    signed = F.when(flips % 2 == 1, -grown).otherwise(grown)
-    return returns.withColumn(name, F.when(lost == 1, 0.0).otherwise(signed))
+    return returns.withColumns({
+        f"log_{name}": F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(upto),
+        f"{name}_sign": F.when(lost == 1, 0).when(flips % 2 == 1, -1).otherwise(1),
+    })
+
+
+def growth_curve(returns: DataFrame, value: str, *, entity: str, time: str, name: str) -> DataFrame:
+    """Growth of 1.0 along the series, from ``growth_logs``."""
+    logs = growth_logs(returns, value, entity=entity, time=time, name=name)
+    return logs.withColumn(name, F.col(f"{name}_sign") * F.exp(f"log_{name}")).drop(f"log_{name}", f"{name}_sign")
 
 
 def train_direction_model(rows: DataFrame, *, entity: str, time: str, test_size: float = 0.2, rounds: int = 200,

@@ -34,7 +34,7 @@ CHANNELS = [
     ("proxy.directional_activity_pressure", "directional_activity_pressure", "proxy_index", "proxy",
      "sign(return_1d)*ln(1+volume_ratio_20)"),
 ]
-SCHEMA_VERSION = "stock_motion_event_v2"
+SCHEMA_VERSION = "chronoweave_motion_v1"
 OBSERVED = {channel: column for channel, column, _, kind, _ in CHANNELS if kind == "observation"}
 
 

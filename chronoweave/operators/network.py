@@ -138,24 +138,24 @@ def tables_from_registry(basic: DataFrame, industry: DataFrame, *, fetched_at: s
     require_columns(industry, ["updateDate", "code", "industry", "industryClassification"], "industry feed")
     order = [F.col("ingest_seq")] if "ingest_seq" in basic.columns else [F.monotonically_increasing_id()]
     known = basic.filter(F.col("type").cast("string") == "1").withColumn("symbol", symbol_from_prefixed(F.col("code")))
-    stocks = last_per_key(known.filter(F.col("symbol").isNotNull()).withColumn("_seq", order[0]), ["symbol"], [F.col("_seq")]).select(
+    listed = last_per_key(known.filter(F.col("symbol").isNotNull()).withColumn("_seq", order[0]), ["symbol"], [F.col("_seq")]).select(
         "symbol", _nulled(F.col("code_name")).alias("code_name"), _nulled(F.col("ipoDate")).alias("ipo"),
         _nulled(F.col("outDate")).alias("out"), F.col("status").cast("string").alias("status"),
         temporary_company_id(F.col("symbol")).alias("company_id"), listing_id(F.col("symbol")).alias("listing_id"),
     )
     facts = {"source": F.lit(source), "source_status": F.lit("imported_unverified"), "observed_at": F.lit(fetched_at)}
-    companies = stocks.withColumns({
+    companies = listed.withColumns({
         **facts, "company_name": F.coalesce("code_name", F.lit("unknown")), "identity_basis": F.lit("temporary_symbol_proxy"),
         "issuer_id_source": F.lit("unknown"), "registered_region": F.lit("unknown"),
     })
-    listings = stocks.withColumns({
+    listings = listed.withColumns({
         **facts, "exchange": exchange_of(F.col("symbol")), "board": board_of(F.col("symbol")),
         "security_type": F.lit("A_share_common_equity"), "currency": F.lit("CNY"), "initial_status": F.lit("unknown"),
         "listing_date": F.col("ipo"), "delisting_date": F.col("out"),
     })
     classed = (
         industry.withColumn("symbol", symbol_from_prefixed(F.col("code")))
-        .filter(~is_blank(F.col("industry"))).join(stocks.select("symbol", "company_id"), "symbol")
+        .filter(~is_blank(F.col("industry"))).join(listed.select("symbol", "company_id"), "symbol")
         .withColumn("_code", F.regexp_extract("industry", r"^([A-Z]\d{2})", 1))
         .withColumn("industry_id", stable_id("INDUSTRY", F.col("industryClassification"), F.col("industry")))
     )
@@ -179,12 +179,12 @@ def tables_from_registry(basic: DataFrame, industry: DataFrame, *, fetched_at: s
     unknown = "historical_availability_unknown"
     fetched = F.lit(fetched_at)
     observed = F.when(F.col("status") == "1", "status_observed_active").otherwise("status_observed_delisted")
-    per_stock = F.array_compact(F.array(
+    per_listing = F.array_compact(F.array(
         event(F.col("ipo").isNotNull(), "LISTED", F.lit("listed"), F.col("ipo"), F.lit("registry listing date; historical availability not supplied"), unknown),
         event(F.col("out").isNotNull(), "DELISTED", F.lit("delisted"), F.col("out"), F.lit("registry delisting date; historical availability not supplied"), unknown),
         event(F.lit(True), "STATUS", observed, fetched, F.concat(F.lit("raw status="), F.coalesce("status", F.lit(""))), "observed_at_fetch_time"),
     ))
-    events = stocks.select("listing_id", "company_id", F.inline(per_stock)).withColumns({
+    events = listed.select("listing_id", "company_id", F.inline(per_listing)).withColumns({
         "available_time": fetched, "source": F.lit(source), "evidence_kind": F.lit("observation"), "source_status": F.lit("imported_unverified"),
     })
     return NetworkTables.of(

@@ -255,7 +255,7 @@ def exchange_list_rows(payloads: DataFrame) -> DataFrame:
     )
 
 
-def exchange_list_evidence(rows: DataFrame, requests: DataFrame, *, source: str = "Shenzhen Stock Exchange official A-share list",
+def exchange_list_evidence(rows: DataFrame, requests: DataFrame, *, source: str = "SZSE official list",
                            record_prefix: str = "SZSE_A_SHARE_LIST_1110_") -> DataFrame:
     """Exact-match evidence per request (signal_event_id, symbol, expected_name).
 

@@ -6,7 +6,7 @@ funds, brands are securities, documents are filings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
@@ -49,11 +49,16 @@ def expected_attribution(t: Tables) -> DataFrame:
     return rounded(done.select("flow_event_id", "controller_id", "expected_signed_amount"), ["expected_signed_amount"])
 
 
-@query("prob_sum", f"SELECT CAST(l_orderkey AS VARCHAR) AS flow_event_id, {r6('sum(p)')} AS probability_sum FROM (SELECT * FROM ({_SHARES}) WHERE p < 0.3) GROUP BY l_orderkey HAVING abs(sum(p) - 1) > 1e-9")
+@query("prob_sum", f"SELECT CAST(l_orderkey AS VARCHAR) AS flow_event_id, {r6('CAST(sum(net) AS DOUBLE) / CAST(sum(gross) AS DOUBLE)')} AS probability_sum "
+                   f"FROM (SELECT l_orderkey, {_LINE} AS net, CAST(round(l_extendedprice * 100) AS BIGINT) * 100 AS gross FROM lineitem) GROUP BY l_orderkey "
+                   "HAVING abs(CAST(sum(net) AS DOUBLE) / CAST(sum(gross) AS DOUBLE) - 1) > 1e-9")
 def prob_sum(t: Tables) -> DataFrame:
-    """Orders whose shares no longer add up once the large holders are left out."""
-    small = supplier_shares(t).filter(F.col("probability") < 0.3)
-    return rounded(capital.wrong_sums(small), ["probability_sum"])
+    """Discounted line values as shares of the undiscounted order: the shares of orders with a discount do not add up."""
+    gross = t.lineitem.groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint") * 100).alias("total"))
+    parts = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.sum(line_value()).alias("v")).join(gross, "l_orderkey")
+    shares = parts.select(F.col("l_orderkey").cast("string").alias("flow_event_id"), F.concat(F.lit("SUPPLIER_"), "l_suppkey").alias("controller_id"),
+                          (F.col("v").cast("double") / F.col("total").cast("double")).alias("probability"))
+    return rounded(capital.wrong_sums(shares), ["probability_sum"])
 
 
 @query("unknown_distribution", "SELECT concat('DIST_UNKNOWN_', o_orderkey) AS distribution_id, CAST(o_orderkey AS VARCHAR) AS flow_event_id, 'CONTROLLER_UNKNOWN' AS controller_id, "
@@ -70,8 +75,7 @@ _FUND = f"""
 h0 AS (SELECT c_mktsegment AS fund_id, {_PERIOD} AS period, p_brand AS brand, sum({_LINE}) AS v, sum(CAST(l_quantity AS BIGINT)) AS q
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2, 3),
 h AS (SELECT fund_id, period, brand, CAST(v AS DOUBLE) / 1e6 AS mv, CAST(q AS DOUBLE) AS shares, CAST(v AS DOUBLE) / CAST(sum(v) OVER (PARTITION BY fund_id, period) AS DOUBLE) AS w,
-  concat('FUND_HOLDING_', substr(sha256(concat_ws('|', fund_id, period, brand)), 1, 20)) AS hid FROM h0
-  QUALIFY row_number() OVER (PARTITION BY fund_id, period ORDER BY v DESC, brand) <= 10)"""
+  concat('FUND_HOLDING_', substr(sha256(concat_ws('|', fund_id, period, brand)), 1, 20)) AS hid FROM h0)"""
 _CHANGES = f"""
 WITH {_FUND},
 p AS (SELECT fund_id, period AS a, lead(period) OVER (PARTITION BY fund_id ORDER BY period) AS b FROM (SELECT DISTINCT fund_id, period FROM h)),
@@ -85,10 +89,8 @@ SELECT concat('FUND_HOLDING_CHANGE_', substr(sha256(concat_ws('|', fund_id, a, b
   concat_ws('|', xh, yh) AS source_record_ids, concat(b, 'T23:59:59+08:00') AS available_time FROM j"""
 
 
-def segment_holdings(t: Tables, top: int = 10) -> DataFrame:
-    """Disclosed top holdings: brands by value per market segment and quarter.
-
-    The rank window sees aggregated rows, at most one per brand."""
+def segment_holdings(t: Tables) -> DataFrame:
+    """Disclosed holdings: all brands with their value per market segment and quarter."""
     lines = t.lineitem.select("l_orderkey", "l_partkey", line_value().alias("v"), F.col("l_quantity").cast("bigint").alias("q"))
     period = F.last_day(F.date_trunc("quarter", "o_orderdate") + F.expr("INTERVAL 2 MONTH")).cast("string")
     orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", period.alias("report_period_end"))
@@ -97,11 +99,9 @@ def segment_holdings(t: Tables, top: int = 10) -> DataFrame:
     sums = (
         lines.join(orders, "l_orderkey").join(owners, "o_custkey").join(brands, "l_partkey")
         .groupBy("fund_id", "report_period_end", "instrument_id").agg(F.sum("v").alias("v"), F.sum("q").alias("q")))
-    group = Window.partitionBy("fund_id", "report_period_end")
-    ranked = sums.withColumns({
-        "rank": F.row_number().over(group.orderBy(F.col("v").desc(), "instrument_id")),
-        "portfolio_weight": F.col("v").cast("double") / F.sum("v").over(group).cast("double")})
-    return schemas.conform(ranked.filter(F.col("rank") <= top).withColumns({
+    totals = sums.groupBy("fund_id", "report_period_end").agg(F.sum("v").alias("total"))
+    weighed = sums.join(totals, ["fund_id", "report_period_end"]).withColumn("portfolio_weight", F.col("v").cast("double") / F.col("total").cast("double"))
+    return schemas.conform(weighed.withColumns({
         "holding_id": ids.stable_id("FUND_HOLDING", F.col("fund_id"), F.col("report_period_end"), F.col("instrument_id")), "fund_code": F.lit("0"),
         "shares": F.col("q").cast("double"), "market_value": F.col("v").cast("double") / 1e6,
         "available_time": F.concat("report_period_end", F.lit("T23:59:59+08:00"))}), schemas.FUND_HOLDINGS)
@@ -253,11 +253,11 @@ def eligibility_audit(t: Tables) -> DataFrame:
                            "CASE WHEN quality IS NULL THEN 'high_text_match_unreviewed_claim' WHEN quality = 1 THEN 'human_reviewed_exact_text_match' ELSE 'human_reviewed_rejected' END AS confidence, "
                            "CASE WHEN quality IS NOT NULL THEN '2024-03-01T00:00:00+00:00' END AS reviewed_at FROM documents LEFT JOIN labels USING (doc_id)")
 def review_decisions(t: Tables) -> DataFrame:
-    """Labels as review decisions on the first sentence of every document; replayed once, which changes nothing."""
+    """Labels as review decisions on every document, quoted whole; replayed once, which changes nothing."""
     key = F.col("doc_id").cast("string")
     activities = t.documents.select(key.alias("activity_id"), F.lit("C").alias("company_id"), F.col("text").alias("activity_text"))
     candidates = schemas.conform(t.documents.select(
-        key.alias("mapping_id"), key.alias("activity_id"), F.substring_index("text", ".", 1).alias("evidence_quote"), F.lit(evidence.PENDING).alias("review_status"),
+        key.alias("mapping_id"), key.alias("activity_id"), F.col("text").alias("evidence_quote"), F.lit(evidence.PENDING).alias("review_status"),
         F.lit("high_text_match_unreviewed_claim").alias("confidence")), schemas.NETWORK["activity_product_candidates"])
     decisions = t.labels.select(key.alias("mapping_id"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("decision"),
                                 F.lit("reviewer").alias("reviewer"), F.lit("2024-03-01").alias("reviewed_at"), F.lit("").alias("note"))
@@ -274,24 +274,27 @@ def quote_containment(t: Tables) -> DataFrame:
 
 
 @query("quote_in_same_conversation", """
-WITH q AS (SELECT conv_id, turn, trim(regexp_replace(split_part(text, '.', 1), '\\s+', ' ', 'g')) AS quote FROM conversations), p AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS page FROM conversations)
-SELECT q.conv_id, q.turn, contains(page, quote) AS found FROM q JOIN p ON p.conv_id = q.conv_id AND p.turn = q.turn""")
+WITH s AS (SELECT conv_id, turn, unnest(string_split(text, '.')) AS s FROM conversations), q AS (SELECT conv_id, turn + d AS turn, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS quote FROM s, (VALUES (0), (1)) AS v(d)),
+p AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS page FROM conversations)
+SELECT q.conv_id, q.turn, quote, coalesce(contains(page, quote), FALSE) AS found FROM q LEFT JOIN p ON p.conv_id = q.conv_id AND p.turn = q.turn WHERE quote <> ''""")
 def quote_in_same_conversation(t: Tables) -> DataFrame:
-    """The first sentence of every turn is looked up in the page (turn) it claims to come from."""
-    quote = F.trim(F.regexp_replace(F.substring_index("text", ".", 1), r"\s+", " "))
-    quotes = t.conversations.select("conv_id", "turn", quote.alias("evidence_quote"))
-    return containment.quotes_in_pages(quotes, t.conversations, keys=["conv_id", "turn"]).select("conv_id", "turn", "found")
+    """Every sentence of every turn is looked up in its own turn and in the next one, where most are missing."""
+    sentences = t.conversations.select("conv_id", F.explode(F.array("turn", F.col("turn") + 1)).alias("turn"), F.split("text", "[.]").alias("s"))
+    quotes = sentences.select("conv_id", "turn", F.explode("s").alias("s")).select("conv_id", "turn", F.trim(F.regexp_replace("s", r"\s+", " ")).alias("evidence_quote"))
+    found = containment.quotes_in_pages(quotes.filter("evidence_quote <> ''"), t.conversations, keys=["conv_id", "turn"])
+    return found.select("conv_id", "turn", F.col("evidence_quote").alias("quote"), "found")
 
 
 @query("text_numbers", """
-SELECT 'document' AS kind, doc_id AS id, CAST(len(n) AS BIGINT) AS numbers, CAST(coalesce(list_sum(list_transform(n, lambda x: CAST(substr(x, 1, 9) AS BIGINT))), 0) AS BIGINT) AS total
+SELECT 'document' AS kind, doc_id AS id, CAST(len(n) AS BIGINT) AS numbers, CAST(coalesce(list_sum([TRY_CAST(x AS HUGEINT) FOR x IN n]), 0) AS VARCHAR) AS total
 FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS n FROM documents)
-UNION ALL SELECT 'page', page_id, CAST(len(n) AS BIGINT), CAST(coalesce(list_sum(list_transform(n, lambda x: CAST(x AS BIGINT))), 0) AS BIGINT) FROM (SELECT page_id, regexp_extract_all(url, '[?&]page=([0-9]+)', 1) AS n FROM pages)""")
+UNION ALL SELECT 'page', page_id, CAST(len(n) AS BIGINT), CAST(coalesce(list_sum([TRY_CAST(x AS HUGEINT) FOR x IN n]), 0) AS VARCHAR) FROM (SELECT page_id, regexp_extract_all(url, '[?&]page=([0-9]+)', 1) AS n FROM pages)""")
 def text_numbers(t: Tables) -> DataFrame:
-    """Numbers in document texts (the first nine digits of each) and page parameters of URLs."""
+    """Whole numbers in document texts and page parameters of URLs, added up with 38 digits."""
     def summed(found):
-        whole = F.transform(found, lambda x: F.substring(x, 1, 9).cast("bigint"))
-        return F.size(found).cast("bigint").alias("numbers"), F.aggregate(whole, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total")
+        whole = F.transform(found, lambda x: x.try_cast("decimal(38,0)"))
+        total = F.aggregate(whole, F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.coalesce(x, F.lit(0))).cast("decimal(38,0)"))
+        return F.size(found).cast("bigint").alias("numbers"), total.cast("string").alias("total")
 
     documents = t.documents.select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), *summed(F.regexp_extract_all("text", F.lit("([0-9]+)"))))
     pages = t.pages.select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), *summed(F.regexp_extract_all("url", F.lit("[?&]page=([0-9]+)"))))
@@ -299,15 +302,16 @@ def text_numbers(t: Tables) -> DataFrame:
 
 
 @query("name_in_pages", """
-WITH n AS (SELECT DISTINCT conv_id, split_part(trim(text), ' ', 1) AS name FROM conversations WHERE turn = 0)
-SELECT n.conv_id, c.turn FROM n JOIN conversations c ON c.conv_id = n.conv_id
-WHERE contains(replace(replace(regexp_replace(c.text, '\\s+', '', 'g'), '（', '('), '）', ')'), replace(replace(regexp_replace(n.name, '\\s+', '', 'g'), '（', '('), '）', ')')) OR contains(regexp_replace(c.text, '\\s+', '', 'g'), 'HOLDING999')""")
+WITH n AS (SELECT DISTINCT conv_id, unnest(regexp_split_to_array(text, '\\s+')) AS name FROM conversations), m AS (SELECT * FROM n WHERE name <> ''),
+p AS (SELECT DISTINCT conv_id, turn, replace(replace(regexp_replace(text, '\\s+', '', 'g'), '（', '('), '）', ')') AS page FROM conversations)
+SELECT DISTINCT m.conv_id, p.turn, m.name FROM m JOIN p ON p.conv_id = m.conv_id
+WHERE contains(page, replace(replace(m.name, '（', '('), '）', ')')) OR contains(page, lpad(CAST(length(m.name) AS VARCHAR), 6, '0')) OR contains(page, CAST(length(m.name) AS VARCHAR))""")
 def name_in_pages(t: Tables) -> DataFrame:
-    """Holdings against the pages of their own filing: conversations are filings, turns are pages."""
-    name = F.substring_index(F.trim("text"), " ", 1)
-    holdings = t.conversations.filter("turn = 0").select(F.col("conv_id").alias("doc_id"), F.lit("HOLDING999.SZ").alias("instrument_id"), name.alias("security_name")).distinct()
+    """Holdings against the pages of their own filing: conversations are filings, turns are pages, all words are names with their length as code."""
+    words = t.conversations.select(F.col("conv_id").alias("doc_id"), F.explode(F.split("text", r"\s+")).alias("security_name")).filter("security_name <> ''").distinct()
+    holdings = words.withColumn("instrument_id", F.concat(F.lpad(F.length("security_name").cast("string"), 6, "0"), F.lit(".SZ")))
     pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
-    return filings.holding_matches(holdings, pages).select(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"))
+    return filings.holding_matches(holdings, pages).select(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), F.col("security_name").alias("name"))
 
 
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")

@@ -513,28 +513,28 @@ def top_selloffs(t: Tables) -> DataFrame:
 # --- model -----------------------------------------------------------------------------------------
 
 BACKTEST_SQL = f"""
-WITH b AS ({HOURLY}), p AS (SELECT entity, bar_time, close / lag(close) OVER w - 1 AS r, CASE WHEN lead(close) OVER w IS NOT NULL THEN least(greatest(lead(close) OVER w / close - 1, -0.9), 0.9) END AS f
+WITH b AS ({HOURLY}), p AS (SELECT entity, bar_time, close / lag(close) OVER w - 1 AS r, lead(close) OVER w / nullif(close, 0) - 1 AS f
   FROM b WINDOW w AS (PARTITION BY entity ORDER BY bar_time)),
 s AS (SELECT *, CASE WHEN r > 0 THEN coalesce(f, 0) ELSE 0 END AS sr, coalesce(f, 0) AS hr FROM p),
-e AS (SELECT entity, bar_time, sum(ln(1 + sr)) OVER w AS strategy, sum(ln(1 + hr)) OVER w AS hold FROM s
+e AS (SELECT entity, bar_time, sum(CASE WHEN sr <> -1 THEN ln(abs(1 + sr)) ELSE 0 END) OVER w AS strategy, sum(CASE WHEN hr <> -1 THEN ln(abs(1 + hr)) ELSE 0 END) OVER w AS hold,
+  max(CASE WHEN sr = -1 THEN 1 ELSE 0 END) OVER w AS sl, max(CASE WHEN hr = -1 THEN 1 ELSE 0 END) OVER w AS hl,
+  sum(CASE WHEN sr < -1 THEN 1 ELSE 0 END) OVER w AS sf, sum(CASE WHEN hr < -1 THEN 1 ELSE 0 END) OVER w AS hf FROM s
   WINDOW w AS (PARTITION BY entity ORDER BY bar_time ROWS UNBOUNDED PRECEDING))
-SELECT entity, {sql_stamp('bar_time')} AS bar_time, {r6('strategy')} AS log_strategy, {r6('hold')} AS log_hold FROM e"""
+SELECT entity, {sql_stamp('bar_time')} AS bar_time, {r6('strategy')} AS log_strategy, {r6('hold')} AS log_hold,
+  CAST(CASE WHEN sl = 1 THEN 0 WHEN sf % 2 = 1 THEN -1 ELSE 1 END AS INTEGER) AS strategy_sign, CAST(CASE WHEN hl = 1 THEN 0 WHEN hf % 2 = 1 THEN -1 ELSE 1 END AS INTEGER) AS hold_sign FROM e"""
 
 
 @query("backtest_curve", BACKTEST_SQL)
 def backtest_curve(t: Tables) -> DataFrame:
-    """Growth curves of a momentum rule; returns are bounded so that a curve cannot die at once.
-    The output is on the log scale, where rounding means the same along the whole curve."""
+    """Growth curves of a momentum rule, on the log scale, where rounding means the same along the whole curve."""
     source = _source(t)
     labelled = source.df.withColumn("future_return", features.forward_label(source)["future_return"])
-    bounded = labelled.withColumn("future_return", F.when(F.col("future_return").isNotNull(),
-                                  F.least(F.greatest(F.col("future_return"), F.lit(-0.9)), F.lit(0.9))))
-    signal = bounded.withColumn("prob_up", F.when(F.col("ret_1") > 0, 1.0).otherwise(0.0))
+    signal = labelled.withColumn("prob_up", F.when(F.col("ret_1") > 0, 1.0).otherwise(0.0))
     earned = model.strategy_returns(signal)
-    curve = model.growth_curve(earned, "strategy_return", entity="entity", time="bar_time", name="strategy")
-    curve = model.growth_curve(curve, "future_return", entity="entity", time="bar_time", name="hold")
-    logs = curve.withColumns({"log_strategy": F.ln("strategy"), "log_hold": F.ln("hold")})
-    return _bar_output(logs, ["log_strategy", "log_hold"])
+    curve = model.growth_logs(earned, "strategy_return", entity="entity", time="bar_time", name="strategy")
+    curve = model.growth_logs(curve, "future_return", entity="entity", time="bar_time", name="hold")
+    signs = ["strategy_sign", "hold_sign"]
+    return rounded(curve.select("entity", stamp("bar_time").alias("bar_time"), "log_strategy", "log_hold", *signs), ["log_strategy", "log_hold"])
 
 
 @query("holdout_split", f"""

@@ -35,34 +35,34 @@ EXPORT_ALIASES = {
 }
 
 
-def _plain(header: str) -> str:
-    return re.sub(r"[\s_\-（）()]", "", header.strip().lower())
+_NOISE = re.compile(r"[\s_\-（）()]")
 
 
 def resolve_headers(headers: list[str], mapping: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Source header per bar field, from an explicit mapping first and aliases second."""
-    mapping = dict(mapping or {})
-    unknown = sorted(set(mapping) - set(BAR_FIELDS))
-    if unknown:
-        raise ContractError(f"unknown mapping targets: {unknown}")
-    by_plain = {_plain(header): header for header in headers}
-    found: dict[str, str] = {}
-    for field in BAR_FIELDS:
-        if field in mapping:
-            wanted = by_plain.get(_plain(mapping[field]))
-            if wanted is None:
-                raise ContractError(f"mapped header not found: {mapping[field]!r}; headers={headers}")
-            found[field] = wanted
-            continue
-        hits = [by_plain[_plain(alias)] for alias in HEADER_ALIASES[field] if _plain(alias) in by_plain]
-        if hits:
-            found[field] = hits[0]
-    missing = [field for field in BAR_FIELDS if field not in found]
-    if missing:
-        raise ContractError(f"no header for {missing}; headers={headers}")
-    if len(set(found.values())) < len(BAR_FIELDS):
-        raise ContractError(f"one header serves several fields: {found}")
-    return found
+    """Source header per bar field: the mapped spelling where one is given, else the first alias that occurs.
+
+    Every fault of the table is reported at once: fields that do not exist, fields without a
+    header, and headers that would serve more than one field.
+    """
+    given = mapping or {}
+    spellings = {field: [given[field]] if field in given else HEADER_ALIASES[field] for field in BAR_FIELDS}
+    keys = {header: _NOISE.sub("", header.strip().lower()) for header in headers}
+    ranked = sorted(
+        (rank, -place, field, header)
+        for field, wanted in spellings.items()
+        for rank, spelling in enumerate(wanted)
+        for place, (header, key) in enumerate(keys.items()) if key == _NOISE.sub("", spelling.strip().lower())
+    )
+    found = {field: header for _, _, field, header in reversed(ranked)}
+    users = {header: [field for field in BAR_FIELDS if found.get(field) == header] for header in found.values()}
+    faults = [
+        *(f"there is no field {name!r} to map" for name in sorted(set(given) - set(BAR_FIELDS))),
+        *(f"no header for {field!r}, sought {spellings[field]}" for field in BAR_FIELDS if field not in found),
+        *(f"{header!r} would serve {fields}" for header, fields in users.items() if len(fields) > 1),
+    ]
+    if faults:
+        raise ContractError(f"headers {headers}: {'; '.join(faults)}")
+    return {field: found[field] for field in BAR_FIELDS}
 
 
 def _quoted(name: str) -> Column:
