@@ -58,7 +58,7 @@ def resolve_headers(headers: list[str], mapping: Mapping[str, str] | None = None
     faults = [
         *(f"there is no field {name!r} to map" for name in sorted(set(given) - set(BAR_FIELDS))),
         *(f"no header for {field!r}, sought {spellings[field]}" for field in BAR_FIELDS if field not in found),
-        *(f"{header!r} would serve {fields}" for header, fields in users.items() if len(fields) > 1),
+        *(f"{header!r} would serve several fields: {fields}" for header, fields in users.items() if len(fields) > 1),
     ]
     if faults:
         raise ContractError(f"headers {headers}: {'; '.join(faults)}")
