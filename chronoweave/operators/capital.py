@@ -38,14 +38,17 @@ def check_flows(flows: DataFrame) -> DataFrame:
     return flows
 
 
-def check_relations(relations: DataFrame) -> DataFrame:
-    require_columns(relations, schemas.columns(schemas.CONTROL_RELATIONS), "control relations")
+def relation_violations(relations: DataFrame) -> DataFrame:
     share = F.col("control_share").cast("string").try_cast("double")
-    checked = with_violations(relations, {
+    return with_violations(relations, {
         "control_role": _outside(F.col("control_role"), CONTROL_ROLES),
         "control_share_range": (share < 0) | (share > 1),
     })
-    require([repeated_keys(relations, ["relation_id"], "control relations"), broken_rules(checked, "control relations")])
+
+
+def check_relations(relations: DataFrame) -> DataFrame:
+    require_columns(relations, schemas.columns(schemas.CONTROL_RELATIONS), "control relations")
+    require([repeated_keys(relations, ["relation_id"], "control relations"), broken_rules(relation_violations(relations), "control relations")])
     return relations
 
 

@@ -37,7 +37,7 @@ def holdout_split(rows: DataFrame, *, entity: str, time: str, test_size: float =
     return placed.withColumn("is_test", F.col("_pos") >= enough).drop("_pos", "_n")
 
 
-def fold_bounds(size: Column, fold: int, folds: int = 5) -> tuple[Column, Column]:
+def fold_bounds(size: Column, fold: int | Column, folds: int = 5) -> tuple[Column, Column]:
     """First and end position of the validation part of fold ``1..folds``; everything
     before it trains. The remainder of the division belongs to the first training part."""
     part = F.floor(size / (folds + 1))

@@ -56,7 +56,7 @@ def resolve_headers(headers: list[str], mapping: Mapping[str, str] | None = None
     found = {field: header for _, _, field, header in reversed(ranked)}
     users = {header: [field for field in BAR_FIELDS if found.get(field) == header] for header in found.values()}
     faults = [
-        *(f"there is no field {name!r} to map" for name in sorted(set(given) - set(BAR_FIELDS))),
+        *(f"unknown mapping target {name!r}" for name in sorted(set(given) - set(BAR_FIELDS))),
         *(f"no header for {field!r}, sought {spellings[field]}" for field in BAR_FIELDS if field not in found),
         *(f"{header!r} would serve several fields: {fields}" for header, fields in users.items() if len(fields) > 1),
     ]

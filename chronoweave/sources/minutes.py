@@ -134,8 +134,10 @@ def update_archive(
     if archive_exists:
         archive = read_archive(spark, path)
         previous_rows = archive.count()
+        first, last = new.agg(F.min("session_date"), F.max("session_date")).first()
         days = new.select("session_date").distinct()
-        touched = archive.join(days, "session_date", "left_semi")
+        # literal bounds prune partitions at planning; a semi join alone would read the whole archive
+        touched = archive.filter(F.col("session_date").between(F.lit(first), F.lit(last))).join(days, "session_date", "left_semi")
         replaced = touched.join(new.select("entity", "bar_end"), ["entity", "bar_end"], "left_semi").count()
         merged = cut_lineage(upsert(touched.select(*new.columns), new, ["entity", "bar_end"]))
     (
