@@ -112,11 +112,15 @@ def keep_last_bar(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def load_bars(spark: SparkSession, path: str, *, entity: str | None = None, entity_from_path: bool = False) -> DataFrame:
     """Daily bars from CSV files: lower-case headers, numeric coercion, complete rows only,
-    the last row per entity and date. The entity is given, a column, or the file name."""
+    the last row per entity and date. The entity is given, a column, or the file name. The order
+    of rows is their ``ingest_seq``, else the file's name and the place in the file."""
     raw = spark.read.option("header", True).csv(path)
     names = {name: name.strip().lower() for name in raw.columns}
     bars = raw.select(*[_quoted(name).alias(plain) for name, plain in names.items()],
-                      F.col("_metadata.file_path").alias("_file"))
+                      F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    if "ingest_seq" not in bars.columns:
+        # later files, by name, win over earlier ones, and later rows within a file; Spark's own numbers depend on how files are packed
+        bars = bars.withColumn("ingest_seq", F.struct("_file", "_block", F.monotonically_increasing_id().alias("row")))
     if entity is not None:
         bars = bars.withColumn("entity", F.lit(entity))
     elif entity_from_path:
@@ -262,7 +266,8 @@ def read_exports(spark: SparkSession, path: str, *, encoding: str = "UTF-8", del
     """Terminal exports: a preamble, then a header line with date and close, then rows.
 
     The header position is found per file with an aggregate; cells are then picked by
-    the position the header gives them, so files may order their columns differently.
+    the position the header gives them, so files may order their columns differently. A file
+    without a header, or whose header lacks a field, is an error.
     """
     lines = (
         spark.read.option("header", False).option("encoding", encoding).option("delimiter", "\u0001").option("quote", "")
@@ -281,10 +286,18 @@ def read_exports(spark: SparkSession, path: str, *, encoding: str = "UTF-8", del
     cells = F.split("value", F.lit("\\" + delimiter if delimiter in "|.^$*+?" else delimiter))
     names = F.split("header", F.lit("\\" + delimiter if delimiter in "|.^$*+?" else delimiter))
 
-    def cell(field: str) -> Column:
+    def spot(field: str) -> Column:
         spots = [F.array_position(names, re.sub(r"[ _\-]", "", alias.lower())) for alias in EXPORT_ALIASES[field]]
-        spot = F.coalesce(*[F.when(s > 0, s) for s in spots])
-        return F.trim(F.get(cells, (spot - 1).cast("int")))
+        return F.coalesce(*[F.when(s > 0, s) for s in spots])
+
+    def cell(field: str) -> Column:
+        return F.trim(F.get(cells, (spot(field) - 1).cast("int")))
+
+    lacking = F.array_compact(F.array(*[F.when(spot(field).isNull(), F.lit(field)) for field in BAR_FIELDS]))
+    unread = lines.select("file").distinct().join(headers, "file", "left").select("file", F.when(F.col("header").isNull(), F.array(F.lit("header"))).otherwise(lacking).alias("lacking"))
+    faults = unread.filter(F.size("lacking") > 0).orderBy("file").limit(5).collect()
+    if faults:
+        raise ContractError(f"exports without header or column: {[(row['file'], row['lacking']) for row in faults]}")
 
     rows = lines.join(headers, "file").filter(F.col("line") > F.col("header_line"))
     parsed = rows.select(

@@ -162,6 +162,20 @@ def test_load_bars_and_exports(spark, tmp_path):
     (out / "E2.csv").write_text("date,close,open,high,low,vol\n2026-01-03,1.5,1,2,1,3\n")
     got = {(r["entity"], str(r["date"])): (r["close"], r["volume"]) for r in source.read_exports(spark, str(out)).collect()}
     assert got == {("E1", "2026-01-01"): (1.5, 20000.0), ("E2", "2026-01-03"): (1.5, 3.0)}
+    for text, lacks in (("no header here\n1,2,3\n", "header"), ("date,close\n2026-01-01,1\n", "volume")):
+        (out / "E3.csv").write_text(text)
+        with pytest.raises(ContractError, match=lacks):
+            source.read_exports(spark, str(out))
+
+
+@pytest.mark.parametrize("long", ["a", "b"])
+def test_later_file_wins_whatever_its_size(spark, tmp_path, long):
+    head = "date,open,high,low,close,volume\n"
+    for name, price in (("a", 1.5), ("b", 1.7)):
+        more = "".join(f"2025-01-{d:02d},1,2,1,1.5,10\n" for d in range(1, 29)) * (50 if name == long else 0)
+        (tmp_path / f"{name}.csv").write_text(head + more + f"2026-01-01,1,2,1,{price},10\n")
+    bars = {str(r["date"]): r["close"] for r in source.load_bars(spark, str(tmp_path), entity="X").collect()}
+    assert bars["2026-01-01"] == 1.7
 
 
 def test_quotes(spark):
