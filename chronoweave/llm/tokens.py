@@ -1,23 +1,17 @@
-"""Looks up the token ids of texts by their parts, so that a vocabulary's merges are worked out once per distinct part.
+"""Looks up the token ids of texts word by word, so that a vocabulary's merges are worked out once per distinct word.
 
-Byte-level BPE encodes each match of its pattern ("word") separately. A text is cut at its spaces into units first, which is
-much cheaper than the pattern: a unit is a space with what follows up to the next one. Words never reach over a space that no
-white space stands before, so the words of the units are those of the text; texts with white space before a space are
-cut by the pattern as a whole. Results are kept in two generations, so frequent units stay and memory is bounded.
+Byte-level BPE encodes each match of its pattern ("word") separately. Results are kept in two generations, so frequent words
+stay and memory is bounded; rare ones are worked out anew when they come back.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable
 
 import regex
 
-#: Units, and words, of one generation of a memo.
-MEMO = 250_000
-
-#: White space before a space; a superset of what the patterns mean by white space.
-_SPACED = re.compile(r"\s ")
+#: Words of one generation.
+MEMO = 500_000
 
 
 class Memo(dict):
@@ -33,14 +27,9 @@ class Memo(dict):
             self.older = dict(self)
             self.clear()
             missing = keys
-        new = []
-        for key in missing:
-            held = self.older.get(key)
-            if held is None:
-                new.append(key)
-            else:
-                self[key] = held
-        if new:
+        old = self.older
+        self.update((key, old[key]) for key in missing if key in old)
+        if new := [key for key in missing if key not in self]:
             self.update(zip(new, self.work_out(new)))
 
 
@@ -48,28 +37,15 @@ class Lookup:
     """``encode`` maps words to values that concatenate (str or bytes); ``of`` gives each text's value."""
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], Iterable], empty: str | bytes):
-        # a contraction begins with an apostrophe and a letter run does not, so the frequent letter runs may be tried first
-        self.cut = regex.compile(r" ?\p{L}++|" + pattern) if pattern.startswith("'") else regex.compile(pattern)
-        self.empty = empty
-        self.words = Memo(encode)
-        self.units = Memo(self._units)
+        # alternatives that begin with an apostrophe cannot match where a run of letters does, so the frequent runs are tried first
+        self.cut = regex.compile(rf" ?\p{{L}}++|{pattern}" if pattern.startswith("'") else pattern)
+        self.empty, self.words = empty, Memo(encode)
 
-    def _units(self, units: list[str]) -> Iterable:
-        parts = [self.cut.findall(unit) for unit in units]
+    def of(self, texts: list[str]) -> list:
+        parts = [self.cut.findall(text) for text in texts]
         self.words.learn(set().union(*parts))
         return [self.empty.join(map(self.words.__getitem__, words)) for words in parts]
 
-    def of(self, texts: list[str]) -> list:
-        parts = []
-        for text in texts:
-            if _SPACED.search(text):
-                parts.append(self.cut.findall(text))
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *map(" ".__add__, rest)])
-        self.units.learn(set().union(*parts))
-        return [self.empty.join(map(self.units.__getitem__, units)) for units in parts]
-
 
 def portions(texts: list[str], size: int = 4 << 20) -> Iterable[list[str]]:
     """Runs of texts of about ``size`` characters."""
