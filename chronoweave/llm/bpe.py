@@ -44,6 +44,8 @@ CREATE TABLE merges AS
 """
 #: A row's key is its word's number and its place there, ``BITS`` for the latter, so neighbours follow each other in order.
 BITS = 10
+#: Rank and key of a pair are compared as one number.
+KEY_BITS = 40
 ENCODE = f"""
 WITH RECURSIVE state(key, token, live) AS (
   SELECT (w.word::BIGINT << {BITS}) + p.place, v.id, true
@@ -51,17 +53,20 @@ WITH RECURSIVE state(key, token, live) AS (
   UNION ALL
   (WITH here AS (SELECT key, key >> {BITS} AS word, token, lead(token) OVER o AS following, lead(key) OVER o AS next_key, lag(key) OVER o AS last_key
                  FROM state WHERE live WINDOW o AS (ORDER BY key)),
-        best AS (SELECT h.word, min({{'rank': m.rank, 'key': h.key}}) AS pair
-                 FROM here h JOIN merges m ON m.left_id = h.token AND m.right_id = h.following WHERE h.next_key >> {BITS} = h.word GROUP BY h.word)
-   SELECT h.key, CASE WHEN h.key = b.pair.key THEN b.pair.rank ELSE h.token END, b.word IS NOT NULL
-   FROM here h LEFT JOIN best b USING (word) WHERE b.word IS NULL OR h.last_key IS DISTINCT FROM b.pair.key)
+        least AS (SELECT h.word, min((m.rank::BIGINT << {KEY_BITS}) | h.key) AS pair
+                  FROM here h JOIN merges m ON m.left_id = h.token AND m.right_id = h.following WHERE h.next_key >> {BITS} = h.word GROUP BY h.word),
+        best AS (SELECT word, pair >> {KEY_BITS} AS rank, pair & ((1::BIGINT << {KEY_BITS}) - 1) AS key FROM least)
+   SELECT h.key, CASE WHEN h.key = b.key THEN b.rank::INTEGER ELSE h.token END, b.word IS NOT NULL
+   FROM here h LEFT JOIN best b USING (word) WHERE b.word IS NULL OR h.last_key IS DISTINCT FROM b.key)
 )
 SELECT key >> {BITS} AS word, key, token FROM state WHERE NOT live
 """
 DECODE = """
-SELECT w.word, ' ' || string_agg(t.token::VARCHAR, ' ' ORDER BY t.key) AS ids, string_agg(hex(v.bytes), '' ORDER BY t.key) AS decoded
+SELECT w.word, string_agg(t.token::VARCHAR, ' ' ORDER BY t.key) AS ids, string_agg(hex(v.bytes), '' ORDER BY t.key) AS decoded, any_value(hex(w.bytes)) AS given
 FROM tokens t JOIN vocabulary v ON v.id = t.token JOIN words w USING (word) GROUP BY w.word
 """
+#: Decoded bytes leave the database only where they are not those of the word.
+RESULT = f"SELECT word, ' ' || ids AS ids, CASE WHEN decoded <> given THEN decoded END AS decoded FROM ({DECODE})"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,8 +92,9 @@ class Coder:
             chosen = numbers[start:start + ROUND_WORDS]
             self.base.register("words", pa.table({"word": pa.array(chosen, pa.int32()), "bytes": pa.array([words[i] for i in chosen], pa.binary())}))
             self.base.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {ENCODE}")
-            for word, ids, decoded in self.base.execute(DECODE).fetchall():
-                found[word] = ids, bytes.fromhex(decoded)
+            done = self.base.sql(RESULT).to_arrow_table()
+            for word, ids, decoded in zip(*(done[name].to_pylist() for name in ("word", "ids", "decoded"))):
+                found[word] = ids, words[word] if decoded is None else bytes.fromhex(decoded)
             self.base.unregister("words")
         return found
 
