@@ -9,13 +9,15 @@ fall into bands of ratio 4 with a number of partitions each, and pairs meet in t
 band's end sign for the next one, too. In the first band each shingle is a partition of its own.
 
 A signature that more than ``GROUP`` texts share (a passage or line in many documents) is hot. A set with fewer hot
-signatures than it has to share with a partner is always found by another one, so its hot ones are dropped. What is left in a
-hot group are texts that consist of shared wording almost wholly: each is checked against the group's smallest, and only
-where that leaves parts unconnected, the texts outside the largest part are checked against the others. No link is lost, and
-a group of near copies costs as many checks as it has members.
+signatures than it has to share with a partner is always found by another one, so its hot ones are dropped. The others sign
+again, among themselves and with all their partitions, of which a partner shares two thirds. Texts whose signatures are hot
+even then consist of shared wording for the most part, as members of a large group of near copies do: each is checked against
+the member with most hot signatures, and only where that leaves parts unconnected, the texts outside the largest part are
+checked against the others. No link is lost, and a group of near copies costs as many checks as it has members.
 
 Equal texts count as one node (a 64-bit hash; if two different texts share it, all hashes are salted anew). Candidate pairs
-are checked on the whole texts.
+that counts in bins cannot rule out are checked on the whole texts: one partner of each text first, then the pairs that
+this leaves unconnected.
 
 Defined results: a null text, or one without words, has no shingles, links with nothing and is its own component; a null id
 is never the smallest while there is another one; repeated rows get the same result each; an empty table gives an empty
@@ -37,8 +39,8 @@ from chronoweave.session import cut_lineage
 SHINGLE = 5
 #: A signature shared by more texts is hot.
 GROUP = 16
-#: Spare signatures as a share of those that must be enumerated.
-SPARE = 0.3
+#: Spare signatures as a share of those that must be enumerated; for texts that sign again, more than there are partitions.
+SPARE, ALL = 0.3, 9.0
 #: Largest set of the first band, ratio of bands, and shingles per partition in the largest set of a band.
 FIRST, RATIO, FILL = 256, 4, 1.7
 
@@ -81,12 +83,13 @@ def _band(size: int) -> int:
     return band
 
 
-def signatures(held: np.ndarray) -> tuple[np.ndarray, int]:
+def signatures(held: np.ndarray, spare: float = SPARE) -> tuple[np.ndarray, int]:
     """The signatures of a set of shingles, with the band in their low four bits, and how many of a band a partner must share."""
     size = len(held)
     most = size // 3
-    wanted, order = most + 1 + int(np.ceil(SPARE * most)), mix(held ^ _U(0x5851F42D4C957F2D))
-    made, share = [], size
+    wanted, order = most + 1 + int(np.ceil(spare * most)), mix(held ^ _U(0x5851F42D4C957F2D))
+    # a partner may be smaller by a quarter, go less far down the order and so have fewer spare ones
+    made, share = [], 1 + int(np.ceil(spare * (-(-3 * size // 4) // 3)))
     for band in sorted({_band(size), _band(size * 4 // 3)}):
         if band == 0:
             parts = np.sort(order)[:wanted]
@@ -101,20 +104,58 @@ def signatures(held: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate(made) if made else np.empty(0, _U), share
 
 
-def _signed(batches):
-    """(node, text) to (node, n, share, sigs)."""
+def sketch(held: np.ndarray) -> bytes:
+    """How many shingles fall into each of 64 or more bins, a power of two near half the set's size; at most 255 count.
+
+    The absolute differences between the bins of two sets add up to no more than the number of shingles in which they differ.
+    """
+    bins = max(64, 1 << max(0, len(held) // 2 - 1).bit_length())
+    return np.minimum(np.bincount((held & _U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def differ_at_least(left: bytes, right: bytes) -> int:
+    """A lower bound of the shingles in which two sets differ, from their sketches; the finer one is folded."""
+    x, y = sorted((np.frombuffer(s, np.uint8).astype(np.int64) for s in (left, right)), key=len)
+    if len(x) < len(y):
+        if y.max() == 255 or x.max() == 255:
+            return 0
+        y = y.reshape(-1, len(x)).sum(0)
+    return int(np.abs(x - y).sum())
+
+
+def _sized(batches):
+    """(node, text) to (node, n, share, share_all, sketch): the size, and of how many signatures a partner shares one at least."""
     known = WordHashes()
     for batch in batches:
-        sizes, shares, made = [], [], []
+        columns: list[list] = [[], [], [], []]
         for blob in blobs(batch, "_text"):
             held = shingles(plain_words(blob), known)
-            sigs, share = signatures(held) if len(held) else (held, 0)
-            sizes.append(len(held))
-            shares.append(share)
-            made.append(sigs.view(np.int64))
-        ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made) if made else np.empty(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), lists], ["node", "n", "share", "sigs"])
+            for column, value in zip(columns, (len(held), *(signatures(held, spare)[1] if len(held) else 0 for spare in (SPARE, ALL)), sketch(held))):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["node", "n", "share", "share_all", "sketch"])
+
+
+def _signed(spare: float):
+    """(node, text) to (sig, node), a row per signature."""
+    def run(batches):
+        known = WordHashes()
+        for batch in batches:
+            made = [signatures(held, spare)[0] if len(held) else held for held in (shingles(plain_words(blob), known) for blob in blobs(batch, "_text"))]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(sigs) for sigs in made])
+            sigs = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
+            for start in range(0, len(sigs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[start:start + 100_000]), pa.array(nodes[start:start + 100_000])], ["sig", "node"])
+
+    return run
+
+
+def _plausible(batches):
+    """(a, b, n_a, n_b, sketch_a, sketch_b) to (a, b) that the sketches do not rule out."""
+    for batch in batches:
+        rows = zip(*(batch.column(i).to_pylist() for i in range(2, 6)))
+        chosen = [i for i, (n, m, left, right) in enumerate(rows) if 7 * differ_at_least(left, right) <= n + m]
+        yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(chosen, pa.int64())) for i in (0, 1)], ["a", "b"])
 
 
 def _candidates(batches):
@@ -200,41 +241,65 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     salt, classes = _classes(rows)
     rows = rows.withColumn("node", _node(F.col("_text"), salt))
-    signed = cut_lineage(rows.filter("node IS NOT NULL").select("node", "_text").mapInArrow(_signed, "node bigint, n bigint, share bigint, sigs array<bigint>"))
-    sizes = signed.select("node", "n", "share").distinct()
-
-    spread = signed.select(F.explode("sigs").alias("sig"), "node").repartition("sig").sortWithinPartitions("sig")
-    found = cut_lineage(spread.mapInArrow(_candidates, "a bigint, b bigint, sig bigint"))
-    hot = found.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
-    poor = (
-        hot.groupBy("node", (F.col("sig").bitwiseAND(15)).alias("band")).count().join(sizes, "node").filter("count >= share").select("node", "band")
-    )
-    crowds = cut_lineage(hot.withColumn("band", F.col("sig").bitwiseAND(15)).join(poor, ["node", "band"], "left_semi").select("sig", "node"))
-    leaders = cut_lineage(crowds.groupBy("sig").agg(F.min("node").alias("a")))
-    stars = crowds.join(leaders, "sig").filter("node <> a").select("a", F.col("node").alias("b"))
+    texts = rows.filter("node IS NOT NULL").select("node", "_text")
+    known = texts.mapInArrow(_sized, "node bigint, n bigint, share bigint, share_all bigint, sketch binary")
+    sizes = cut_lineage(known.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "share", "share_all", "sketch"))))
+    band = F.col("sig").bitwiseAND(15).alias("band")
+
+    def candidates(signing: DataFrame, spare: float) -> tuple[DataFrame, DataFrame]:
+        """Pairs of the groups that are not hot, and members of hot ones."""
+        spread = signing.mapInArrow(_signed(spare), "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig")
+        found = cut_lineage(spread.mapInArrow(_candidates, "a bigint, b bigint, sig bigint"))
+        return plausible(found.filter("b IS NOT NULL").select("a", "b")), found.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node"), band).distinct()
+
+    def poor(hot: DataFrame, share: str) -> DataFrame:
+        """Nodes, by band, whose signatures that are not hot may miss a partner, and their number of hot ones."""
+        return hot.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n_hot")).join(sizes.select("node", share), "node").filter(F.col("n_hot") >= F.col(share)).drop(share)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        of = {x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
+        near = pairs.distinct().join(of["a"], "a").join(of["b"], "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
+        return cut_lineage(near.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_plausible, "a bigint, b bigint"))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        size = {x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab"}
-        near = pairs.distinct().join(size["a"], "a").join(size["b"], "b").filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b")
-        near = cut_lineage(near)
-        needed = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct().join(classes, "node")
-        texts = rows.join(needed, (rows["node"] == needed["node"]) & rows["_id"].eqNullSafe(needed["first"]), "left_semi").select("node", "_text").dropDuplicates(["node"])
-        left = near.join(texts.select(F.col("node").alias("a"), F.col("_text").alias("_left")), "a")
-        full = left.join(texts.select(F.col("node").alias("b"), F.col("_text").alias("_right")), "b").select("a", "b", "_left", "_right")
+        left = pairs.join(some.select(F.col("node").alias("a"), F.col("_text").alias("_left")), "a")
+        full = left.join(some.select(F.col("node").alias("b"), F.col("_text").alias("_right")), "b").select("a", "b", "_left", "_right")
         return cut_lineage(full.mapInArrow(_checked, "a bigint, b bigint"))
 
-    links = checked(found.filter("b IS NOT NULL").select("a", "b").unionByName(stars))
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends are not connected yet."""
+        of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab"}
+        return pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").filter("NOT coalesce(part_a, a) <=> coalesce(part_b, b)").select("a", "b")
+
+    pairs, hot = candidates(texts, SPARE)
+    again = cut_lineage(poor(hot, "share").select("node").distinct())
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(again).distinct().join(classes, "node")
+    chosen = rows.join(needed, (rows["node"] == needed["node"]) & rows["_id"].eqNullSafe(needed["first"]), "left_semi")
+    some = cut_lineage(chosen.select("node", "_text").dropDuplicates(["node"]))  # the texts that are looked at again
+    more, hot = candidates(some.join(again, "node", "left_semi"), ALL)
+    crowds = cut_lineage(hot.join(poor(hot, "share_all"), ["node", "band"]).select("sig", "node", "n_hot"))
+    leaders = cut_lineage(crowds.groupBy("sig").agg(F.max_by("node", F.struct("n_hot", "node")).alias("leader")))
+    stars = plausible(crowds.join(leaders, "sig").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+    pairs = pairs.unionByName(more)
+
+    # members against leaders and one partner of each text first, which connects most groups; then only what is still apart
+    links = checked(cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(stars).distinct()))
     labels = components(links)
+    rest = cut_lineage(apart(pairs, labels).distinct())
+    if not rest.isEmpty():
+        links = links.unionByName(checked(rest))
+        labels = components(links)
+
     parts = crowds.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
     largest = parts.groupBy("sig", "part").count().groupBy("sig").agg(
         F.max_by("part", F.struct("count", "part")).alias("largest"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
     open_parts = cut_lineage(parts.join(largest, "sig"))
     if not open_parts.isEmpty():
-        rest = open_parts.filter("part <> largest").select("sig", F.col("node").alias("x"), F.col("part").alias("part_x"))
-        cross = rest.join(open_parts.select("sig", "node", "part"), "sig").filter("part <> part_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        labels = components(links.unionByName(checked(cross)))
+        outer = open_parts.filter("part <> largest").select("sig", F.col("node").alias("x"), F.col("part").alias("part_x"))
+        cross = outer.join(open_parts.select("sig", "node", "part"), "sig").filter("part <> part_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+        labels = components(links.unionByName(checked(plausible(cross))))
 
-    nodes = classes.join(sizes.drop("share"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = classes.join(sizes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = cut_lineage(nodes.groupBy("component").agg(F.min("first").alias("component_id")))
     result = cut_lineage(nodes.join(firsts, "component").select("node", "n", "component_id"))
     return salt, rows.select("_id", "node").join(result, "node", "left").select(
@@ -250,9 +315,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose id is the smallest of their component; of repeated rows, one."""
     salt, similar = _similar(docs, doc_id, text)
-    keep = similar.filter(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id", "node", F.xxhash64("_id", "node").alias("_keep")).distinct()
+    first = similar.filter(F.col("_id").eqNullSafe(F.col("component_id")))
+    keep = first.select(F.col("_id").alias("_cw_id"), F.col("node").alias("_cw_of"), F.xxhash64("_id", "node").alias("_cw_keep")).distinct()
     marked = docs.withColumn("_cw_node", _node(F.col(text), salt)).withColumn("_cw_key", F.xxhash64(doc_id, "_cw_node"))
-    same = (F.col("_cw_key") == F.col("_keep")) & F.col(doc_id).eqNullSafe(F.col("_id")) & F.col("_cw_node").eqNullSafe(F.col("node"))
+    same = (F.col("_cw_key") == F.col("_cw_keep")) & F.col(doc_id).eqNullSafe(F.col("_cw_id")) & F.col("_cw_node").eqNullSafe(F.col("_cw_of"))
     rank = F.row_number().over(Window.partitionBy("_cw_key", doc_id, "_cw_node").orderBy("_cw_key"))
     return marked.join(keep, same, "left_semi").withColumn("_cw_rank", rank).filter("_cw_rank = 1").select(*docs.columns)
 
