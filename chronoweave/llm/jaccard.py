@@ -13,7 +13,7 @@ signatures than it has to share with a partner is always found by another one, s
 again, among themselves and with all their partitions, of which a partner shares two thirds. Texts whose signatures are hot
 even then consist of shared wording for the most part, as members of a large group of near copies do: each is checked against
 the member with most hot signatures, and only where that leaves parts unconnected, the texts outside the largest part are
-checked against the others. No link is lost, and a group of near copies costs as many checks as it has members.
+checked against the others, in as few of their smallest groups as a partner cannot miss. No link is lost, and a group of near copies costs as many checks as it has members.
 
 Equal texts count as one node (a 64-bit hash; if two different texts share it, all hashes are salted anew). Candidate pairs
 that counts in bins cannot rule out are checked on the whole texts: one partner of each text first, then the pairs that
@@ -277,7 +277,8 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
     chosen = rows.join(needed, (rows["node"] == needed["node"]) & rows["_id"].eqNullSafe(needed["first"]), "left_semi")
     some = cut_lineage(chosen.select("node", "_text").dropDuplicates(["node"]))  # the texts that are looked at again
     more, hot = candidates(some.join(again, "node", "left_semi"), ALL)
-    crowds = cut_lineage(hot.join(poor(hot, "share_all"), ["node", "band"]).select("sig", "node", "n_hot"))
+    held = poor(hot, "share_all").join(sizes.select("node", "share_all"), "node")
+    crowds = cut_lineage(hot.join(held, ["node", "band"]).select("sig", "node", "band", "n_hot", (F.col("n_hot") - F.col("share_all") + 1).alias("n_looks")))
     leaders = cut_lineage(crowds.groupBy("sig").agg(F.max_by("node", F.struct("n_hot", "node")).alias("leader")))
     stars = plausible(crowds.join(leaders, "sig").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
     pairs = pairs.unionByName(more)
@@ -290,13 +291,18 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
         links = links.unionByName(checked(rest))
         labels = components(links)
 
-    parts = crowds.join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("part"))
-    largest = parts.groupBy("sig", "part").count().groupBy("sig").agg(
-        F.max_by("part", F.struct("count", "part")).alias("largest"), F.count(F.lit(1)).alias("n_parts")).filter("n_parts > 1")
-    open_parts = cut_lineage(parts.join(largest, "sig"))
-    if not open_parts.isEmpty():
-        outer = open_parts.filter("part <> largest").select("sig", F.col("node").alias("x"), F.col("part").alias("part_x"))
-        cross = outer.join(open_parts.select("sig", "node", "part"), "sig").filter("part <> part_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+    # A partner of a text in a crowd shares share_all of its signatures. If none of those that are not hot found it, it is in one
+    # of any n_hot - share_all + 1 hot groups of the text, so the smallest ones are enough. Of two texts in different parts one
+    # is not in the part with most texts; that one looks for the other.
+    parts = cut_lineage(crowds.join(labels, "node", "left").select("sig", "node", "band", "n_looks", F.coalesce("component", "node").alias("part")))
+    groups = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), (F.min("part") < F.max("part")).alias("mixed"))
+    if not groups.filter("mixed").isEmpty():
+        known_groups = cut_lineage(groups)
+        largest = parts.select("node", "part").distinct().groupBy("part").count().agg(F.max_by("part", F.struct("count", "part")).alias("largest")).first()["largest"]
+        outer = parts.filter(F.col("part") != F.lit(largest)).join(known_groups, "sig")
+        place = F.row_number().over(Window.partitionBy("node", "band").orderBy("members", "sig"))  # a text's own signatures only
+        looks = outer.withColumn("place", place).filter("place <= n_looks AND mixed").select("sig", F.col("node").alias("x"), F.col("part").alias("part_x"))
+        cross = cut_lineage(looks).join(parts.select("sig", "node", "part"), "sig").filter("part <> part_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         labels = components(links.unionByName(checked(plausible(cross))))
 
     nodes = classes.join(sizes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
