@@ -179,5 +179,6 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; the target are those labelled as good and not toxic."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("x")).filter("q = 1 AND x = 0").select("doc_id")
-    target = cut_lineage(docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text"))
+    # the hint keeps one plan at every size: texts are dealt out by id and meet the labels in a hash table
+    target = cut_lineage(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left_semi").select("text"))
     return score(docs, train(docs, target))
