@@ -256,3 +256,36 @@ def test_lm_without_target(spark, frame, folder):
     labels = frame([], ("doc_id", LONG), ("quality", INT), ("toxic", INT))
     assert [row["score"] for row in lm.op4_lm_scoring(spark, folder((1, "a b"), labels=labels)).collect()] == [None]
     assert lm.op4_lm_scoring(spark, folder(labels=labels)).count() == 0
+
+
+def test_lm_counts_every_word_and_bigram(spark, frame, folder, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 5_000)
+    monkeypatch.setattr(lm, "BUCKET", 5_000)
+    many = {i: " ".join(f"w{(i * 7919 + j * 31) % 20_011}" for j in range(300)) for i in range(1, 101)}  # more words than 16,382 may hold
+    texts = {**many, 101: "a b a b c", 102: "a b c rare a", 103: "", 104: None, 105: "a B, a-b"}
+    labels = frame([(101, 1, 0), (105, 1, 0), (105, 1, 0), (5, 1, 0), (102, 0, 0), (7, 1, 1), (None, 1, 0)], ("doc_id", LONG), ("quality", INT), ("toxic", INT))
+    every = [*texts.items(), (None, "a b"), (101, "c c")]
+    rows = lm.op4_lm_scoring(spark, folder(*every, labels=labels)).collect()
+    words = [(i, letter_words((text or "").encode())) for i, text in every]
+    pairs = lambda held: list(zip([None, *held], held))
+    size = len({w for _, held in words for w in held}) + 2
+    assert size > 16_384
+
+    def model(chosen):
+        seen, single, first = (Counter(x) for x in ([p for h in chosen for p in pairs(h)], [w for h in chosen for w in h], [v for h in chosen for v, _ in pairs(h)]))
+        return seen, single, first, sum(single.values())
+
+    target, background = model([h for i, h in words if i in (101, 105, 5)]), model([h for _, h in words])
+
+    def loss(held, scale, seen, single, first, total):
+        prior = lambda w: (single[w] * scale + lm.ALPHA / size) / (total * scale + lm.ALPHA)
+        return np.mean([-np.log((seen[p] * scale + lm.MU * prior(p[1])) / (first[p[0]] * scale + lm.MU)) for p in pairs(held)])
+
+    got = sorted(((r["doc_id"] or 0, r["n_tokens"], r["target_loss"] or 0.0, r["background_loss"] or 0.0, r["score"]) for r in rows), key=lambda r: r[:2])
+    want = []
+    for i, held in words:
+        two = (loss(held, 1.0, *target), loss(held, target[3] / background[3], *background)) if held else (0.0, 0.0)
+        want.append((i or 0, len(held), *two, two[0] - two[1] if held else None))
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want, key=lambda r: r[:2])):
+        assert a[:2] == b[:2] and a[2:4] == pytest.approx(b[2:4]) and a[4] == (None if b[4] is None else pytest.approx(b[4]))
