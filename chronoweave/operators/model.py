@@ -45,6 +45,23 @@ def fold_bounds(size: Column, fold: int | Column, folds: int = 5) -> tuple[Colum
     return start, start + part
 
 
+def fold_parts(split: DataFrame, *, entity: str, time: str, folds: int = 5) -> DataFrame:
+    """Per entity and fold: bounds as positions, rows before them, and rows, up moves and times between them. Folds
+    ``1..folds`` divide the training part of ``holdout_split``; fold 0 is its hold-out part."""
+    train = chronological(split.filter(~F.col("is_test")), entity=entity, time=time)
+    every = chronological(split, entity=entity, time=time)
+    start, end = fold_bounds(F.col("_n"), F.col("fold"), folds)
+    inner = train.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).withColumns({"start_row": start, "end_row": end})
+    held = Window.partitionBy(entity)
+    outer = every.withColumns({"fold": F.lit(0), "start_row": F.count_if(~F.col("is_test")).over(held), "end_row": F.col("_n").cast("long")})
+    valid = (F.col("_pos") >= F.col("start_row")) & (F.col("_pos") < F.col("end_row"))
+    return outer.unionByName(inner).groupBy(entity, "fold", "start_row", "end_row").agg(
+        F.count_if(F.col("_pos") < F.col("start_row")).alias("train_rows"), F.count_if(valid).alias("valid_rows"),
+        F.count_if(valid & (F.col("target") == 1)).alias("valid_up"),
+        F.min(F.when(valid, F.col(time))).alias("valid_start"), F.max(F.when(valid, F.col(time))).alias("valid_end"),
+    )
+
+
 def direction_pipeline(features: list[str] = FEATURES, *, rounds: int = 200, step: float = 0.04, depth: int = 4, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[
         VectorAssembler(inputCols=features, outputCol="_raw"),

@@ -13,6 +13,7 @@ from chronoweave.functions.ordered import by_group
 from chronoweave.functions.times import as_of
 from chronoweave.operators import compare, features, model, motion, rollup, segments
 from chronoweave.plans.registry import Tables, query, r6, rounded, sql_stamp, stamp
+from chronoweave.session import cut_lineage
 from chronoweave.sources import bars as bar_source
 
 BAR_COLUMNS = ["entity", "bar_time", "open", "high", "low", "close", "volume"]
@@ -548,11 +549,38 @@ def holdout_split(t: Tables) -> DataFrame:
         stamp(F.min(F.when(F.col("is_test"), F.col("bar_time")))).alias("test_start"))
 
 
+FOLDS_SQL = f"""
+{LATEST_SQL[:LATEST_SQL.index(",{0}k AS (".format(chr(10)))]},
+l AS (SELECT entity, bar_time, lead(close) OVER (PARTITION BY entity ORDER BY bar_time) / nullif(close, 0) - 1 AS future FROM b),
+m AS (SELECT entity, bar_time, future > 0 AS up, row_number() OVER (PARTITION BY entity ORDER BY bar_time) - 1 AS pos, count(*) OVER (PARTITION BY entity) AS n
+  FROM j JOIN l USING (entity, bar_time) WHERE future IS NOT NULL AND {' AND '.join(f'f_{name} IS NOT NULL' for name in features.FEATURES)}),
+t AS (SELECT *, CAST(floor(n * 0.8) AS BIGINT) AS size FROM m),
+z AS (SELECT t.*, k, CASE WHEN k = 0 THEN size ELSE size - size // 6 * (6 - k) END AS s, CASE WHEN k = 0 THEN n ELSE size - size // 6 * (5 - k) END AS e FROM t, range(0, 6) AS r(k))
+SELECT entity, CAST(k AS INTEGER) AS fold, s AS start_row, e AS end_row, count(*) FILTER (pos < s) AS train_rows, count(*) FILTER (pos >= s AND pos < e) AS valid_rows,
+  count(*) FILTER (pos >= s AND pos < e AND up) AS valid_up, {sql_stamp('min(bar_time) FILTER (pos >= s AND pos < e)')} AS valid_start,
+  {sql_stamp('max(bar_time) FILTER (pos >= s AND pos < e)')} AS valid_end FROM z GROUP BY entity, k, s, e"""
+
+
+def _model_rows(t: Tables) -> DataFrame:
+    return features.model_rows(features.bar_features(hourly_bars(t), entity="entity", time="bar_time"))
+
+
+@query("gbt_folds", FOLDS_SQL)
+def gbt_folds(t: Tables) -> DataFrame:
+    """Bounds, rows and up moves of the parts that ``gbt_eval`` trains and validates on; fold 0 is the hold-out part."""
+    parts = model.fold_parts(model.holdout_split(_model_rows(t), entity="entity", time="bar_time"), entity="entity", time="bar_time")
+    return parts.withColumns({name: stamp(name) for name in ("valid_start", "valid_end")})
+
+
 @query("gbt_eval")
 def gbt_eval(t: Tables) -> DataFrame:
-    """Hold-out scores of the boosted-tree model (20 rounds here; the default is 200)."""
-    rows = features.model_rows(features.bar_features(hourly_bars(t), entity="entity", time="bar_time"))
-    _, scored, scores, _ = model.train_direction_model(rows, entity="entity", time="bar_time", rounds=20, folds=0)
-    return scores.by_class.withColumns({
+    """Scores of the boosted-tree model: per class over the hold-out part (fold 0), and the accuracy of each fold of the cross-validation."""
+    rows = cut_lineage(_model_rows(t))
+    _, _, scores, accuracies = model.train_direction_model(rows, entity="entity", time="bar_time")
+    parts = model.fold_parts(model.holdout_split(rows, entity="entity", time="bar_time"), entity="entity", time="bar_time", folds=len(accuracies))
+    sums = cut_lineage(parts.groupBy("fold").agg(F.sum("train_rows").alias("train_rows"), F.sum("valid_rows").alias("support")))
+    by_class = scores.by_class.join(sums.filter("fold = 0").select("fold", "train_rows")).withColumns({
         "accuracy": F.lit(scores.accuracy), "roc_auc": F.lit(scores.roc_auc).cast("double"),
     })
+    found = F.element_at(F.array(*[F.lit(x).cast("double") for x in accuracies]), F.col("fold"))
+    return by_class.unionByName(sums.filter("fold > 0").withColumn("accuracy", found), allowMissingColumns=True)

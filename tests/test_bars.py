@@ -1,7 +1,9 @@
 """Bars, features, motion stream, audits, model."""
 
 import datetime as dt
+import inspect
 import math
+import os
 import random
 
 import pandas as pd
@@ -239,3 +241,28 @@ def test_model_split_folds_and_curve(spark):
     assert curve == [pytest.approx(1.1), pytest.approx(0.55), pytest.approx(0.55), 0.0, 0.0]
     flips = spark.createDataFrame([("X", i, r) for i, r in enumerate([-3.0, 0.5, -2.0])], "e string, t int, r double")
     assert [r["g"] for r in model.growth_curve(flips, "r", entity="e", time="t", name="g").orderBy("t").collect()] == [pytest.approx(-2), pytest.approx(-3), pytest.approx(3)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+def test_gbt_eval_trains_the_whole_model(spark, monkeypatch):
+    from oracle_check import compare, duck
+
+    from chronoweave.plans import ORACLES, QUERIES
+
+    folder, train, asked = "/root/testdata/sf0.01", model.train_direction_model, []
+
+    def short(*args, **given):
+        bound = inspect.signature(train).bind(*args, **given)
+        bound.apply_defaults()
+        asked.append((bound.arguments["rounds"], bound.arguments["folds"]))
+        return train(*args, **given | {"rounds": 1})
+
+    monkeypatch.setattr(model, "train_direction_model", short)
+    rows = QUERIES["gbt_eval"](spark, folder).collect()
+    assert asked == [(200, 5)]
+    parts = QUERIES["gbt_folds"](spark, folder).groupBy("fold").agg(F.sum("valid_rows").alias("n"), F.sum("valid_up").alias("up"), F.sum("train_rows").alias("t")).collect()
+    parts = {r["fold"]: r for r in parts}
+    assert {(r["fold"], r["class"]): r["support"] for r in rows} == {
+        (0, 0): parts[0]["n"] - parts[0]["up"], (0, 1): parts[0]["up"], **{(k, None): parts[k]["n"] for k in range(1, 6)}}
+    assert all(0 <= r["accuracy"] <= 1 and r["train_rows"] == parts[r["fold"]]["t"] for r in rows)
+    assert compare(spark, duck(folder), folder, QUERIES["gbt_folds"], ORACLES["gbt_folds"]) is None
