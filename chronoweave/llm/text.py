@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoweave.session import prepare, shared_folder
 
@@ -52,3 +54,8 @@ def letter_words(text: bytes) -> list[bytes]:
 def plain_words(text: bytes) -> list[bytes]:
     """Runs of ``[^\\x20\\x09-\\x0D]`` after lower-casing A-Z: what bytes.lower and bytes.split do."""
     return text.lower().split()
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, not once per reference."""
+    return F.transform(F.array(value), use)[0]
