@@ -133,7 +133,7 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step)["n"].cast("long")
 
 
-def shared_spans(docs: DataFrame, items: DataFrame, doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(key, n_words) of all texts, (key, begin, end) of their words within shared spans, and (key, item id) of the items found.
 
     ``key`` is the ``text_key`` of a document's text, null taken as empty.
@@ -150,9 +150,12 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_text: str = "text", item
     wanted = cut_lineage(stretches.select("h", F.lit(True).alias("wanted")).distinct())
     prints = cut_lineage(each.join(wanted, "h", "left").filter("wanted OR p < 0").select("key", "p", "h").distinct())
     sizes = prints.filter("p < 0").select("key", (-1 - F.col("p")).cast("long").alias("n_words"))
-    held = prints.filter("p >= 0").groupBy("key").agg(F.collect_list(F.struct("p", "h")).alias("prints"))  # of one text
-    held = cut_lineage(held)
-    texts = docs.select(text_key(body).alias("key"), body.alias("body")).join(held.select("key"), "key", "left_semi").groupBy("key").agg(F.first("body").alias("body"))
+    held = cut_lineage(prints.filter("p >= 0").groupBy("key").agg(F.collect_list(F.struct("p", "h")).alias("prints")))  # of one text
+    # one document stands for all copies of its text; texts are dealt by key and id, so no group of copies comes together
+    rows = docs.select(text_key(body).alias("key"), F.col(doc_id).alias("id"), body.alias("body"))
+    firsts = cut_lineage(rows.select("key", "id").join(held.select("key"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("first")))
+    one = firsts.withColumnRenamed("key", "of").hint("merge")  # the same plan for few and many such texts
+    texts = rows.join(one, (F.col("key") == F.col("of")) & F.col("id").eqNullSafe(F.col("first")), "left_semi").groupBy("key").agg(F.first("body").alias("body"))
     shown = F.transform("prints", lambda s: F.struct(s["p"].alias("p"), s["h"].alias("h"), _around(F.col("words"), s["p"], "").alias("mine")))
     placed = texts.select("key", exact_words(F.col("body")).alias("words")).join(held, "key").select("key", F.explode(shown).alias("s"))
     hits = cut_lineage(_extended(placed.select("key", "s.*").join(stretches, "h")))
@@ -161,7 +164,7 @@ def shared_spans(docs: DataFrame, items: DataFrame, doc_text: str = "text", item
 
 def contaminated_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc id, n_words, n_hit, items): one row per row of ``docs``; ``items`` are the ids found, sorted as strings."""
-    sizes, spans, found = shared_spans(docs, items, text, item_id, item_text)
+    sizes, spans, found = shared_spans(docs, items, doc_id, text, item_id, item_text)
     words = spans.groupBy("key").agg(_covered(F.collect_list(F.struct("begin", "end"))).alias("n_hit"))
     listed = found.groupBy("key").agg(F.sort_array(F.collect_set(F.col(item_id).cast("string"))).alias("items"))
     result = cut_lineage(sizes.join(words, "key", "left").join(listed, "key", "left"))
