@@ -60,15 +60,16 @@ def land_quotes(raw: DataFrame, out: str, *, fetched_at: str, realtime: bool = F
     return shaped
 
 
-def update_minutes(raw: DataFrame, archive: str, audit: str, *, symbol: str, start: str | None, end: str, fallback_start: str, **contract) -> DataFrame:
-    """Normalise a minute fetch and merge it, starting at the last archived session date."""
+def update_minutes(raw: DataFrame, archive: str, audit: str, *, symbol: str | None, start: str | None, end: str, fallback_start: str, **contract) -> DataFrame:
+    """Normalise a minute fetch and merge it. ``symbol`` is None where the rows name their ``entity``; without ``start``, the
+    fetch is taken to begin at the last archived session date, the earliest one of several symbols."""
     spark = raw.sparkSession
+    new = minutes.normalise_minutes(raw, entity=symbol)
     resumed = None
     if start is None and _exists(spark, archive):
-        row = minutes.resume_dates(minutes.read_archive(spark, archive).filter(F.col("entity") == symbol)).first()
-        resumed = str(row["resume_from"]) if row else None
-    return minutes.update_archive(minutes.normalise_minutes(raw, entity=symbol), archive, audit, symbol=symbol,
-                                  requested_start=start or resumed or fallback_start, requested_end=end, **contract)
+        row = minutes.archive_days(spark, archive).join(new.select("entity").distinct(), "entity", "left_semi").groupBy("entity").agg(F.max("session_date").alias("day")).agg(F.min("day").alias("day")).first()
+        resumed = str(row["day"]) if row["day"] else None
+    return minutes.update_archive(new, archive, audit, requested_start=start or resumed or fallback_start, requested_end=end, **contract)
 
 
 def audit_minutes(minute_bars: DataFrame, daily: DataFrame, out: str, *, zone: str = minutes.MARKET_ZONE, tolerance: float = 1e-8) -> tuple[DataFrame, DataFrame]:

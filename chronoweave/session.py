@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -12,7 +13,11 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # keyed streaming state larger than memory, with timers
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
+#: Where this library lies.
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -27,6 +32,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def workers_find_library(spark: SparkSession) -> SparkSession:
+    """Python workers on machines that have the library at the same place import it without further set-up."""
+    held = spark.sparkContext.environment
+    paths = [path for path in held.get("PYTHONPATH", "").split(os.pathsep) if path]
+    if ROOT not in paths:
+        held["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the cluster.
 

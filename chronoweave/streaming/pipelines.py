@@ -1,7 +1,7 @@
 """Continuous forms of the batch operators.
 
-Every sink is replay-safe: bars are final once the watermark has passed, archive and
-state tables are upserted by key, and events are dropped when their id was seen before.
+Every sink is replay-safe: bars are final once the watermark has passed, archive
+tables are upserted by key, and events are dropped when their id was seen before.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from chronoweave.functions.latest import last_per_key, upsert
-from chronoweave.operators import lifecycle
 from chronoweave.session import cut_lineage
 from chronoweave.sources.minutes import _exists
 
 
-def streaming_bars(ticks: DataFrame, *, entity: str, time: str, price: str, tie: str, size: str, late: str) -> DataFrame:
+def streaming_bars(ticks: DataFrame, *, entity: str, time: str, price: str, tie: str, size: str, late: str | None) -> DataFrame:
     """Bars of fixed size from a tick stream, emitted once no tick up to ``late`` can change them.
 
-    Ticks later than that are dropped here; the archive upsert is the correcting path.
+    Ticks later than that are dropped here; the archive upsert is the correcting path. ``late`` is None where the
+    stream has its watermark already.
     """
     rank = F.struct(time, tie)
     return (
-        ticks.withWatermark(time, late)
+        (ticks if late is None else ticks.withWatermark(time, late))
         .groupBy(F.window(time, size).alias("_w"), entity)
         .agg(
             F.min_by(price, rank).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, rank).alias("close"),
@@ -34,15 +34,20 @@ def streaming_bars(ticks: DataFrame, *, entity: str, time: str, price: str, tie:
 
 
 def upsert_partitions(batch: DataFrame, path: str, keys: list[str], partition: str, order: list[str]) -> None:
-    """Merge a batch into a partitioned Parquet table: only the touched partitions are read and rewritten,
-    the later row per key wins, and the same batch again changes nothing."""
+    """Merge a batch into a partitioned Parquet table: only the touched partitions are listed, read and rewritten,
+    the later row per key wins, and the same batch again changes nothing.
+
+    A key's partition must follow from the key (a bar's day from its end), or its old row would stay in another partition.
+    """
     spark = batch.sparkSession
     new = cut_lineage(last_per_key(batch, keys, [F.col(name) for name in order]))
-    if new.isEmpty():
+    touched = [row[0] for row in new.select(partition).distinct().collect()]  # partitions of one batch
+    if not touched:
         return
     merged = new
     if _exists(spark, path):
-        held = spark.read.schema(new.schema).parquet(path).join(new.select(partition).distinct(), partition, "left_semi").select(*new.columns)
+        # literal values prune partitions at planning; a semi join alone would read the whole table
+        held = spark.read.schema(new.schema).parquet(path).filter(F.col(partition).isin(touched)).select(*new.columns)
         merged = cut_lineage(upsert(held, new, keys))
     merged.hint("rebalance", partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
@@ -56,27 +61,3 @@ def archive_writer(bars: DataFrame, path: str, checkpoint: str, *, keys: list[st
 def distinct_events(events: DataFrame, *, event_id: str, time: str, late: str) -> DataFrame:
     """Each event id once, also when a source sends it again within the watermark."""
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([event_id])
-
-
-def lifecycle_writer(events: DataFrame, listings: DataFrame, store: str, output: str, checkpoint: str, *, as_of) -> DataStreamWriter:
-    """Life-cycle status kept current: each micro-batch is merged into the event store by id, then
-    the status of the listings it touches is computed again from all their events.
-
-    ``as_of`` is called per batch and gives the knowledge time. An illegal step does not stop
-    the stream; it is reported by ``lifecycle.illegal_steps`` on the store.
-    """
-
-    def apply(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = cut_lineage(batch.withColumn("listing_bucket", F.pmod(F.xxhash64("listing_id"), F.lit(64)).cast("int")))
-        if new.isEmpty():
-            return
-        upsert_partitions(new, store, ["event_id"], "listing_bucket", ["available_time"])
-        touched = new.select("listing_id", "listing_bucket").distinct()
-        events_of = spark.read.parquet(store).join(touched, ["listing_id", "listing_bucket"], "left_semi")
-        chosen = listings.join(touched.select("listing_id"), "listing_id", "left_semi")
-        status = lifecycle.listing_status(chosen, events_of, as_of(), strict=False)
-        bucketed = status.withColumn("listing_bucket", F.pmod(F.xxhash64("listing_id"), F.lit(64)).cast("int"))
-        upsert_partitions(bucketed, output, ["listing_id"], "listing_bucket", ["listing_id"])
-
-    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(apply)

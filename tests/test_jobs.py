@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from chronoweave.operators import evidence
 from chronoweave.plans import jobs
 from chronoweave.sources import minutes
 from chronoweave.sources import tables as store
-from chronoweave.streaming import pipelines
+from chronoweave.streaming import pipelines, status
 
 N = schemas.NETWORK
 RAW = "date string, time string, open string, high string, low string, close string, volume string, amount string"
@@ -56,6 +57,27 @@ def test_minute_archive_update(spark, tmp_path):
     assert structure.first()["first_bar_times"] == "09:35:00"
 
 
+def test_archive_of_several_symbols_reads_touched_days_only(spark, tmp_path):
+    archive, audit = str(tmp_path / "a"), str(tmp_path / "audit")
+    schema = RAW + ", entity string"
+
+    def update(rows, **more):
+        done = jobs.update_minutes(spark.createDataFrame(rows, schema), archive, audit, symbol=None, start=None, end="e", fallback_start="2026-01-05", **(CONTRACT | more))
+        return {(r["symbol"], r["frequency"]): r for r in done.collect()}
+
+    update([(*minute("2026-01-05", "0935"), "X"), (*minute("2026-01-06", "0935"), "X"), (*minute("2026-01-07", "0935"), "X")])
+    done = update([(*minute("2026-01-06", "0935", "10.9"), "X"), (*minute("2026-01-06", "0940"), "Y")])
+    assert {k: (r["update_count"], r["output_rows"], r["replaced_rows"], r["trading_days"], r["written_rows"]) for k, r in done.items()} == {("X", "5m"): (2, 3, 1, 3, 2), ("Y", "5m"): (1, 1, 0, 1, 2)}
+    update([(*minute("2026-01-06", "1000"), "X")], frequency_minutes=30, source="elsewhere")  # a bar size of its own
+    assert sorted((r["entity"], r["frequency"], r["close"]) for r in minutes.load_archive(spark, archive).filter("session_date = '2026-01-06'").collect()) == [("X", "30m", 10.5), ("X", "5m", 10.9), ("Y", "5m", 10.5)]
+    with pytest.raises(ContractError, match="Y.*source"):
+        update([(*minute("2026-01-08", "0935"), "Y"), (*minute("2026-01-08", "0935"), "Z")], source="other")
+    plan = minutes.touched_days(spark, archive, [dt.date(2026, 1, 6)], "5m")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "session_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    again = update([(*minute("2026-01-06", "0940"), "Y")])[("Y", "5m")]
+    assert (again["output_rows"], again["replaced_rows"], again["previous_rows"]) == (1, 1, 1)
+
+
 def feed(spark, folder, schema, batches):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
@@ -99,13 +121,49 @@ def test_streaming_archive_dedup_and_lifecycle(spark, rows, tmp_path):
         once.writeStream.format("parquet").option("path", str(tmp_path / "once")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "once")).collect()) == ["a", "b", "c"]
 
-    listings = spark.createDataFrame([("L1", None), ("L2", "active")], "listing_id string, initial_status string")
-    life, where = "event_id string, listing_id string, event_type string, event_time string, available_time string, effective_time string", str(tmp_path / "life")
-    batches = [[("1", "L1", "listed", "2026-01-01", "2026-01-01", "2026-01-01")], [("2", "L1", "trading_suspended", "2026-01-03", "2026-01-03", "2026-01-03"), ("1", "L1", "listed", "2026-01-01", "2026-01-01", "2026-01-01")]]
-    for _ in feed(spark, where, life, batches):
-        pipelines.lifecycle_writer(spark.readStream.schema(life).parquet(where), listings, str(tmp_path / "store"), str(tmp_path / "status"), str(tmp_path / "cp3"), as_of=lambda: "2026-02-01").trigger(availableNow=True).start().awaitTermination()
-    assert {r["listing_id"]: r["lifecycle_status"] for r in spark.read.parquet(str(tmp_path / "status")).collect()} == {"L1": "suspended"}
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+
+LIFE = "event_id string, listing_id string, event_type string, event_time string, available_time string, effective_time string"
+
+
+def keep_status(spark, tmp_path, listings, batches):
+    """Statuses after all batches, and the number of changes written."""
+    where = str(tmp_path / "life")
+    for _ in feed(spark, where, LIFE, batches):
+        status.status_writer(spark.readStream.schema(LIFE).parquet(where), listings, str(tmp_path / "status"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.parquet(str(tmp_path / "status"))
+    return {r["listing_id"]: r["lifecycle_status"] for r in status.current_status(listings, changes).collect()}, changes.count()
+
+
+def test_status_follows_events_in_any_order(spark, tmp_path):
+    from chronoweave.operators import lifecycle
+
+    random.seed(4)
+    listings = spark.createDataFrame([(f"L{i}", "active" if i == 3 else None) for i in range(6)] + [("quiet", None)], "listing_id string, initial_status string")
+    kinds = ["listed", "trading_suspended", "trading_resumed", "delisted", "relisted", "status_observed_active", "status_observed_delisted", "other"]
+    events = []
+    for n in range(60):
+        day = f"2026-01-{random.randint(1, 28):02d}"
+        events.append((f"e{n:02d}", f"L{random.randint(0, 5)}", random.choice(kinds[5:] if n < 8 else kinds), day, day, day))
+    replayed = events[:20]
+    corrected = [(e[0], e[1], "delisted", e[3], "2026-02-01", e[5]) for e in events[5:8]]
+    random.shuffle(events)
+    got, changes = keep_status(spark, tmp_path, listings, [events[:30], events[30:] + replayed, corrected + replayed])
+    final = {e[0]: e for e in events} | {e[0]: e for e in corrected}
+    batch = lifecycle.listing_status(listings, spark.createDataFrame(list(final.values()), LIFE), "2026-06-01", strict=False)
+    assert got == {r["listing_id"]: r["lifecycle_status"] for r in batch.collect()} and got["quiet"] == "unknown"
+    assert changes < 60
+
+
+def test_status_changes_when_an_event_becomes_effective(spark, tmp_path):
+    listings = spark.createDataFrame([("L", None)], "listing_id string, initial_status string")
+    due = dt.datetime.now(dt.timezone.utc) + dt.timedelta(seconds=25)
+    at = "2026-01-0"
+    today = [("1", "L", "listed", *[f"{at}1"] * 3), ("2", "L", "trading_suspended", f"{at}2", f"{at}2", due.isoformat()), ("3", "L", "delisted", f"{at}2", f"{at}2", "2999-01-01")]
+    assert keep_status(spark, tmp_path, listings, [today])[0] == {"L": "active"}
+    time.sleep(max(0.0, (due - dt.datetime.now(dt.timezone.utc)).total_seconds()) + 1)
+    # a batch of another listing lets the timer fire
+    second, changes = keep_status(spark, tmp_path, listings, [[("9", "other", "listed", "2026-01-01", "2026-01-01", "2026-01-01")]])
+    assert second == {"L": "suspended"} and changes == 3
 
 
 def test_bar_jobs(spark, tmp_path):
@@ -169,7 +227,7 @@ def test_network_and_signal_jobs(spark, rows, tmp_path):
 
     other = bundle.companies.filter(F.col("company_id") != company).first()["company_id"]
     record = rows(schemas.NAMED_EVIDENCE, RECORD | {"reporting_company_id": company, "counterparty_company_id": other, "reporting_identity_evidence_page": "2"})
-    proof = spark.createDataFrame([("77", 1, RECORD["evidence_quote"]), ("77", 2, RECORD["reporting_identity_evidence_quote"])], schemas.struct(schemas.REPORT_PAGES))
+    proof = spark.createDataFrame([(RECORD["source_record_id"], 1, RECORD["evidence_quote"]), (RECORD["source_record_id"], 2, RECORD["reporting_identity_evidence_quote"])], schemas.struct(schemas.REPORT_PAGES))
     _, relations = jobs.import_named_relations(spark, net, record, proof, when="2026-06-01")
     assert relations.count() == 1 and store.read_bundle(spark, net).relations.count() == 1
     with pytest.raises(ContractError, match="page"):
