@@ -1,9 +1,10 @@
 """Exact medians that never hold a group in one task.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here a bounded sketch gives two values that bracket the median, rows outside the
-bracket are only counted, and the few values inside are counted per value and
-summed up in order.
+Here a bounded sketch gives two values that bracket the median and rows outside the
+bracket are only counted. The values inside are counted per value and dealt to
+``RANGES`` ranges of neighbouring values; sums over the ranges' counts tell which one
+or two of them hold the middle ranks, and only those are put in order, each by itself.
 """
 
 from __future__ import annotations
@@ -11,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.session import cut_lineage
+
 ACCURACY = 100_000
 _MARGIN = 4.0 / ACCURACY
+#: Ranges of the values inside a bracket.
+RANGES = 64
 
 
 def exact_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
@@ -29,23 +34,29 @@ def exact_medians(df: DataFrame, keys: list[str], values: dict[str, Column]) ->
     )
     near = long.join(bracket, group)
     low, high = F.col("_q")[0], F.col("_q")[1]
-    below = near.filter(F.col("_v") < low).groupBy(*group).agg(F.count(F.lit(1)).alias("_below"))
-    inside = (
-        near.filter((F.col("_v") >= low) & (F.col("_v") <= high))
-        .groupBy(*group, "_n", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(below, group, "left")
-    )
-    upto = Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_hi", F.sum("_c").over(upto) + F.coalesce("_below", F.lit(0))).withColumn(
-        "_lo", F.col("_hi") - F.col("_c")
-    )
+    # one pass over the rows: values inside the bracket are counted each, all smaller ones together under null
+    value = F.when((F.col("_v") >= low) & (F.col("_v") <= high), F.col("_v"))
+    counted = cut_lineage(near.filter(F.col("_v") <= high).groupBy(*group, "_n", value.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = counted.groupBy(*group).agg(F.percentile_approx("_v", steps, ACCURACY).alias("_cuts"))
+    # a value's range is the number of cuts below it; null, for what is smaller than all, comes before the first
+    at_range = F.when(F.col("_v").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda cut: cut < F.col("_v"))))
+    dealt = counted.join(cuts, group).withColumn("_r", at_range).drop("_cuts")
+    sizes = dealt.groupBy(*group, "_n", "_r").agg(F.sum("_c").alias("_size"))
+    listed = sizes.groupBy(*group, "_n").agg(F.sort_array(F.collect_list(F.struct("_r", "_size"))).alias("_sizes"))  # RANGES entries at most
+    first, second = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
+    offset = lambda i: F.aggregate(F.slice("_sizes", F.lit(1), i), F.lit(0).cast("long"), lambda total, s: total + s["_size"])
+    placed = F.transform("_sizes", lambda s, i: F.struct(s["_r"].alias("_r"), offset(i).alias("_offset"), s["_size"].alias("_size")))
+    spread = listed.select(*group, F.inline(placed))
+    holds = lambda rank: (F.col("_offset") < rank) & (rank <= F.col("_offset") + F.col("_size"))
+    chosen = spread.join(bracket.select(*group, "_n"), group).filter(holds(first) | holds(second)).drop("_n", "_size")
+    inside = dealt.join(chosen, [*group, "_r"])
+    upto = Window.partitionBy(*group, "_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = inside.withColumn("_hi", F.sum("_c").over(upto) + F.col("_offset")).withColumn("_lo", F.col("_hi") - F.col("_c"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_lo") < rank) & (rank <= F.col("_hi")), F.col("_v")))
 
-    first = F.floor((F.col("_n") + 1) / 2)
-    second = F.floor(F.col("_n") / 2) + 1
     found = ranked.groupBy(*group).agg(at(first).alias("_a"), at(second).alias("_b"))
     checked = found.withColumn(
         "_median",

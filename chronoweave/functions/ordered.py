@@ -58,6 +58,29 @@ def dense_index(df: DataFrame, keys: list[str], order: list[Column], bucket: Col
     )
 
 
+def time_bucket(df: DataFrame, time: str) -> Column:
+    """A bucket that never falls along ``time``: the month of a date, instant or ISO text, ten thousand of a number."""
+    kind = df.schema[time].dataType.simpleString()
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.date_trunc("month", time)
+    return F.substring(time, 1, 7) if kind == "string" else F.floor(F.col(time) / 10_000)
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, values: dict[str, Column]) -> DataFrame:
+    """Adds the sum of each value over all rows up to the current one, in two levels.
+
+    ``bucket`` must not fall along ``order``. Values are summed per bucket, the sums are carried from bucket to bucket
+    (few rows per group), and rows are put in order within one bucket at a time, so no task sorts a whole group.
+    """
+    marked = df.withColumn("_bucket", bucket).withColumns({f"_v_{name}": value for name, value in values.items()})
+    sums = marked.groupBy(*keys, "_bucket").agg(*[F.sum(f"_v_{name}").alias(f"_s_{name}") for name in values])
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*keys, "_bucket", *[F.coalesce(F.sum(f"_s_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in values])
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = marked.join(carried, [*keys, "_bucket"]).withColumns({name: F.sum(f"_v_{name}").over(inside) + F.col(f"_o_{name}") for name in values})
+    return found.drop("_bucket", *[f"{part}{name}" for name in values for part in ("_v_", "_o_")])
+
+
 def by_group(df: DataFrame, keys: list[str], order: list[Column]) -> Ordered:
     return Ordered(df, tuple(keys), Window.partitionBy(*keys).orderBy(*order))
 

@@ -9,9 +9,10 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.ordered import dense_index, running_sums, time_bucket
 from chronoweave.operators.features import FEATURES, latest_rows
 
 MIN_ROWS = 120
@@ -19,12 +20,10 @@ BUY_THRESHOLD = 0.55
 
 
 def chronological(rows: DataFrame, *, entity: str, time: str) -> DataFrame:
-    """Position and row count per entity; series are bounded by the calendar."""
-    order = Window.partitionBy(entity).orderBy(time)
-    return rows.withColumns({
-        "_pos": F.row_number().over(order) - 1,
-        "_n": F.count(F.lit(1)).over(Window.partitionBy(entity)),
-    })
+    """Position and row count per entity, counted in blocks, so a series of any length will do."""
+    placed = dense_index(rows, [entity], [F.col(time)], time_bucket(rows, time), "_pos")
+    sizes = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    return placed.join(sizes, entity)
 
 
 def holdout_split(rows: DataFrame, *, entity: str, time: str, test_size: float = 0.2) -> DataFrame:
@@ -52,8 +51,8 @@ def fold_parts(split: DataFrame, *, entity: str, time: str, folds: int = 5) -> D
     every = chronological(split, entity=entity, time=time)
     start, end = fold_bounds(F.col("_n"), F.col("fold"), folds)
     inner = train.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).withColumns({"start_row": start, "end_row": end})
-    held = Window.partitionBy(entity)
-    outer = every.withColumns({"fold": F.lit(0), "start_row": F.count_if(~F.col("is_test")).over(held), "end_row": F.col("_n").cast("long")})
+    kept = split.groupBy(entity).agg(F.count_if(~F.col("is_test")).alias("start_row"))
+    outer = every.join(kept, entity).withColumns({"fold": F.lit(0), "end_row": F.col("_n").cast("long")}).select(*inner.columns)
     valid = (F.col("_pos") >= F.col("start_row")) & (F.col("_pos") < F.col("end_row"))
     return outer.unionByName(inner).groupBy(entity, "fold", "start_row", "end_row").agg(
         F.count_if(F.col("_pos") < F.col("start_row")).alias("train_rows"), F.count_if(valid).alias("valid_rows"),
@@ -138,13 +137,11 @@ def growth_logs(returns: DataFrame, value: str, *, entity: str, time: str, name:
     turns with every return below -1; on the log scale no curve is too steep for a double.
     """
     factor = 1 + F.coalesce(value, F.lit(0.0))
-    upto = Window.partitionBy(entity).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    lost = F.max(F.when(factor == 0, 1).otherwise(0)).over(upto)
-    flips = F.sum(F.when(factor < 0, 1).otherwise(0)).over(upto)
-    return returns.withColumns({
-        f"log_{name}": F.sum(F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0)).over(upto),
-        f"{name}_sign": F.when(lost == 1, 0).when(flips % 2 == 1, -1).otherwise(1),
-    })
+    sums = running_sums(returns, [entity], [F.col(time)], time_bucket(returns, time), {
+        f"log_{name}": F.when(factor != 0, F.ln(F.abs(factor))).otherwise(0.0),
+        "_lost": F.when(factor == 0, 1).otherwise(0), "_flips": F.when(factor < 0, 1).otherwise(0)})
+    sign = F.when(F.col("_lost") > 0, 0).when(F.col("_flips") % 2 == 1, -1).otherwise(1)
+    return sums.withColumn(f"{name}_sign", sign).drop("_lost", "_flips")
 
 
 def growth_curve(returns: DataFrame, value: str, *, entity: str, time: str, name: str) -> DataFrame:

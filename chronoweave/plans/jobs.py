@@ -177,7 +177,7 @@ def enrich_identity(spark: SparkSession, path: str, registry: DataFrame, profile
         business_activities=upsert(resolved.business_activities, activities, ["activity_id"], incoming_wins=False))
     network.validate(enriched)
     store.write_bundle(enriched, path, source_description="network enriched with issuer identity")
-    store.commit_tables(spark, path, {"identity_map": audit}, description="issuer identity map")
+    store.write_tables(spark, path, {"identity_map": audit}, description="issuer identity map")
     return store.read_bundle(spark, path), audit
 
 
@@ -264,7 +264,7 @@ def import_lifecycle_signals(spark: SparkSession, network_path: str, signal_path
     incoming = signals.lifecycle_signals(store.read_bundle(spark, network_path).lifecycle_events, requested=requested)
     merged = signals.merge_lifecycle_signals(held.events, incoming)
     signals.check_events(merged, held.signal_types)
-    store.commit_tables(spark, signal_path, {"events": merged}, description="life-cycle signals")
+    store.write_tables(spark, signal_path, {"events": merged}, description="life-cycle signals")
     return store.load_signal_store(spark, signal_path).events
 
 
@@ -274,7 +274,7 @@ def import_production_signals(spark: SparkSession, network_path: str, signal_pat
     merged = signals.merge_events(held.events, events)
     signals.check_events(merged, held.signal_types)
     merged_facts, marked = signals.merge_evidence(held.evidence, facts, merged)
-    store.commit_tables(spark, signal_path, {"events": marked, "evidence": merged_facts}, description="production signals")
+    store.write_tables(spark, signal_path, {"events": marked, "evidence": merged_facts}, description="production signals")
     return store.load_signal_store(spark, signal_path).events
 
 
@@ -283,7 +283,7 @@ def verify_listing_signals(spark: SparkSession, signal_path: str, payloads: Data
     held = store.load_signal_store(spark, signal_path)
     facts = signals.exchange_list_evidence(signals.exchange_list_rows(payloads), requests)
     merged, marked = signals.merge_evidence(held.evidence, facts, held.events)
-    store.commit_tables(spark, signal_path, {"events": marked, "evidence": merged}, description="exchange list corroboration")
+    store.write_tables(spark, signal_path, {"events": marked, "evidence": merged}, description="exchange list corroboration")
     return store.load_signal_store(spark, signal_path).evidence
 
 

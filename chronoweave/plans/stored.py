@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.plans.graph import _EVENTS, _LINKS, _MADE, network_tables
 from chronoweave.plans.registry import Tables, query, r6, rounded, sql_stamp, stamp
 from chronoweave.session import cut_lineage, shared_folder
 from chronoweave.sources import minutes
+from chronoweave.sources import tables as store
 
 
 def run_folder(t: Tables) -> str:
@@ -56,3 +58,31 @@ def minute_archive(t: Tables) -> DataFrame:
     sums = minutes.load_archive(t.spark, path).groupBy(F.col("entity").alias("symbol")).agg(F.sum("close").alias("close_sum"), F.sum("amount").alias("amount_sum"))
     shown = record.join(sums, "symbol").withColumns({"bar_start": stamp("bar_start"), "bar_stop": stamp("bar_stop")})
     return rounded(shown.select("symbol", "update_count", "previous_rows", "fetched_rows", "replaced_rows", "output_rows", "trading_days", "incomplete_sessions", "bar_start", "bar_stop", "close_sum", "amount_sum"), ["close_sum", "amount_sum"])
+
+
+# --- filed bundles --------------------------------------------------------------------------------------------
+
+_ROWS = {
+    "companies": "SELECT count(*) FROM nation", "listings": "SELECT count(*) FROM customer", "industries": "SELECT count(*) FROM region", "memberships": "SELECT count(*) FROM nation",
+    "relations": f"SELECT count(*) FROM ({_LINKS})", "business_activities": "SELECT 0", "lifecycle_events": f"SELECT count(*) FROM ({_EVENTS})",
+    "products": "SELECT 2 * count(*) FROM part", "activity_product_candidates": f"SELECT count(*) FROM ({_MADE})", "counterparty_concentrations": "SELECT 0",
+}
+
+
+@query("bundle_manifest", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, ({sql})::BIGINT AS rows, ({sql})::BIGINT AS rows_read, {2 if name == 'products' else 1}::BIGINT AS runs, {'true' if sql != 'SELECT 0' else 'false'} AS hashed"
+    for name, sql in _ROWS.items()))
+def bundle_manifest(t: Tables) -> DataFrame:
+    """The network's tables filed, then one of them changed and filed again: observed row counts against rows read back."""
+    root = f"{run_folder(t)}/network"
+    store.write_bundle(network_tables(t), root, source_description="tables")
+    held = store.read_bundle(t.spark, root)
+    twice = held.products.unionByName(held.products.withColumn("product_id", F.concat("product_id", F.lit("x"))))
+    store.write_bundle(held.replace(products=twice), root, source_description="more products")
+    filed = store.manifest(t.spark, root)
+    newest = filed.groupBy("table").agg(F.max_by(F.struct("rows", "xor_hash"), "written_at").alias("m"), F.count(F.lit(1)).alias("runs"))
+    read = None
+    for name, df in store.read_bundle(t.spark, root).items():
+        count = df.agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit(name).alias("table"), "rows_read")
+        read = count if read is None else read.unionByName(count)
+    return newest.join(read, "table").select(F.col("table").alias("table_name"), "m.rows", "rows_read", "runs", (F.col("m.xor_hash") != 0).alias("hashed"))

@@ -1,10 +1,17 @@
-"""Table bundles, keyed upserts, partition replacement, content hashes, archive stamps."""
+"""Filed tables and bundles, keyed upserts, partition replacement, archive stamps.
+
+A run writes the tables it changed as plain Parquet into a folder of its own and then adds their rows to the manifest: where each
+one lies, its columns, its row count and content hashes. These are observed while the table is written, so nothing is read again.
+A table's newest manifest row says where it is; tables that a run leaves alone are not written.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import datetime
+import uuid
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave import schemas
@@ -26,6 +33,8 @@ class NetworkTables:
     products: DataFrame
     activity_product_candidates: DataFrame
     counterparty_concentrations: DataFrame
+    #: The tables as they were read; those that are still the same need not be written.
+    filed: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     @classmethod
     def of(cls, spark: SparkSession, **given: DataFrame) -> "NetworkTables":
@@ -36,10 +45,13 @@ class NetworkTables:
         })
 
     def items(self):
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(name, getattr(self, name)) for name in schemas.NETWORK]
 
     def replace(self, **changed: DataFrame) -> "NetworkTables":
-        return NetworkTables(**{**dict(self.items()), **changed})
+        return NetworkTables(**{**dict(self.items()), **changed}, filed=self.filed)
+
+    def changed(self) -> dict[str, DataFrame]:
+        return {name: df for name, df in self.items() if self.filed.get(name) is not df}
 
 
 @dataclass
@@ -68,64 +80,60 @@ DEFAULT_SIGNAL_TYPES = [
 ]
 
 
-def content_hash(df: DataFrame) -> DataFrame:
-    """Row count and an order-free hash over all rows (the sum keeps duplicates visible)."""
-    row_hash = F.xxhash64(*df.columns)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(row_hash).alias("xor_hash"),
-        F.sum(row_hash.cast("decimal(38,0)")).cast("string").alias("sum_hash"),
-    )
+MANIFEST = "_manifest"
+MANIFEST_ROW = ("table string, location string, rows bigint, xor_hash bigint, sum_hash string, columns array<string>, description string, run string, "
+                "written_at timestamp")
 
 
-MANIFEST = "_manifest"
+def _observed(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its row count and order-free hashes over all rows; the sum keeps duplicates visible."""
+    seen, row_hash = Observation(f"content {uuid.uuid4().hex}"), F.xxhash64(*df.columns)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(row_hash), F.lit(0)).alias("xor_hash"),
+                      F.coalesce(F.sum(row_hash.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hash")), seen
 
 
-def current_versions(spark: SparkSession, root: str) -> dict[str, int]:
-    """Committed version per table name; the manifest holds a few rows per commit."""
+def locations(spark: SparkSession, root: str) -> dict[str, str]:
+    """Folder of each filed table, below ``root``; the manifest holds a few rows per run."""
     if not _exists(spark, f"{root}/{MANIFEST}"):
         return {}
-    rows = spark.read.parquet(f"{root}/{MANIFEST}").groupBy("table").agg(F.max("version").alias("version")).collect()
-    return {row["table"]: row["version"] for row in rows}
+    newest = manifest(spark, root).groupBy("table").agg(F.max_by("location", F.struct("written_at", "run")).alias("location"))
+    return {row["table"]: row["location"] for row in newest.collect()}
 
 
-def commit_tables(spark: SparkSession, root: str, changed: dict[str, DataFrame], *, description: str = "") -> dict[str, int]:
-    """Write new versions of some tables and then, in one step, the manifest rows that make them current.
+def write_tables(spark: SparkSession, root: str, changed: dict[str, DataFrame], *, description: str = "", run: str | None = None) -> DataFrame:
+    """Write tables into the folder of a new run, then their manifest rows, which make them current; returns these rows.
 
-    Tables are never overwritten, so a table may be derived from the version it replaces, readers
-    keep a consistent set, and a job that dies half-way leaves the old versions current.
+    No table is overwritten, so it may be derived from the one it follows; a run that dies leaves the manifest as it was.
     """
-    version = max(current_versions(spark, root).values(), default=0) + 1
-    rows = None
+    now = datetime.datetime.now(datetime.timezone.utc)
+    run = run or f"{now:%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    rows = []
     for name, df in changed.items():
-        target = f"{root}/v{version:06d}/{name}"
-        df.write.mode("overwrite").parquet(target)
-        row = content_hash(spark.read.schema(df.schema).parquet(target)).select(
-            F.lit(name).alias("table"), F.lit(version).alias("version"), "*", F.lit(df.columns).alias("columns"),
-            F.lit(description).alias("description"), F.current_timestamp().alias("created_at"),
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    rows.coalesce(1).write.mode("append").parquet(f"{root}/{MANIFEST}")
-    return dict.fromkeys(changed, version)
-
-
-def read_table(spark: SparkSession, root: str, name: str, ddl: str, versions: dict[str, int] | None = None) -> DataFrame:
-    """Current version of a table under its contract; a table that was never committed is empty."""
-    known = current_versions(spark, root) if versions is None else versions
+        shown, seen = _observed(df)
+        shown.write.parquet(f"{root}/{run}/{name}")
+        found = seen.get
+        rows.append((name, f"{run}/{name}", found["rows"], found["xor_hash"], found["sum_hash"], df.columns, description, run, now))
+    filed = spark.createDataFrame(rows, schemas.struct(MANIFEST_ROW)).coalesce(1)
+    if rows:
+        filed.write.mode("append").parquet(f"{root}/{MANIFEST}")
+    return filed
+
+
+def read_table(spark: SparkSession, root: str, name: str, ddl: str, where: dict[str, str] | None = None) -> DataFrame:
+    """A filed table under its contract; one that was never written is empty."""
+    known = locations(spark, root) if where is None else where
     if name not in known:
         return schemas.empty(spark, ddl)
-    return schemas.conform(spark.read.parquet(f"{root}/v{known[name]:06d}/{name}"), ddl)
+    return schemas.conform(spark.read.parquet(f"{root}/{known[name]}"), ddl)
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{MANIFEST}")
+    return spark.read.schema(schemas.struct(MANIFEST_ROW)).parquet(f"{root}/{MANIFEST}")
 
 
-def write_bundle(tables: NetworkTables, root: str, *, source_description: str) -> DataFrame:
-    """Commit all ten tables together."""
-    spark = tables.companies.sparkSession
-    commit_tables(spark, root, dict(tables.items()), description=source_description)
-    return manifest(spark, root)
+def write_bundle(tables: NetworkTables, root: str, *, source_description: str, run: str | None = None) -> DataFrame:
+    """File the tables that are not as they were read; returns their manifest rows."""
+    return write_tables(tables.companies.sparkSession, root, tables.changed(), description=source_description, run=run)
 
 
 def bundle_limits(tables: NetworkTables, *, registry_basis: str) -> DataFrame:
@@ -141,10 +149,12 @@ def bundle_limits(tables: NetworkTables, *, registry_basis: str) -> DataFrame:
 
 def read_bundle(spark: SparkSession, root: str) -> NetworkTables:
     """Current bundle; absent tables are empty and absent columns null."""
-    versions = current_versions(spark, root)
-    tables = NetworkTables(**{name: read_table(spark, root, name, ddl, versions) for name, ddl in schemas.NETWORK.items()})
+    where = locations(spark, root)
+    tables = NetworkTables(**{name: read_table(spark, root, name, ddl, where) for name, ddl in schemas.NETWORK.items()})
     known = F.coalesce("issuer_id_source", F.lit("unknown"))
-    return tables.replace(companies=tables.companies.withColumn("issuer_id_source", known))
+    read = tables.replace(companies=tables.companies.withColumn("issuer_id_source", known))
+    read.filed = {name: df for name, df in read.items() if name in where}
+    return read
 
 
 def read_bundle_csv(spark: SparkSession, files: dict[str, str]) -> NetworkTables:
@@ -180,26 +190,26 @@ def default_signal_types(spark: SparkSession) -> DataFrame:
 
 def init_signal_store(spark: SparkSession, root: str, *, overwrite: bool = False) -> SignalStore:
     """Create the store tables that do not exist yet."""
-    held = {} if overwrite else current_versions(spark, root)
+    held = {} if overwrite else locations(spark, root)
     fresh = {
         name: default_signal_types(spark) if name == "signal_types" else schemas.empty(spark, ddl)
         for name, ddl in SIGNAL_STORE_TABLES.items() if name not in held
     }
     if fresh:
-        commit_tables(spark, root, fresh, description="initial signal store")
+        write_tables(spark, root, fresh, description="initial signal store")
     return load_signal_store(spark, root)
 
 
 def load_signal_store(spark: SparkSession, root: str) -> SignalStore:
-    versions = current_versions(spark, root)
-    return SignalStore(**{name: read_table(spark, root, name, ddl, versions) for name, ddl in SIGNAL_STORE_TABLES.items()})
+    where = locations(spark, root)
+    return SignalStore(**{name: read_table(spark, root, name, ddl, where) for name, ddl in SIGNAL_STORE_TABLES.items()})
 
 
 def upsert_table(incoming: DataFrame, root: str, name: str, keys: list[str], ddl: str) -> DataFrame:
     """Upsert a table by key; incoming rows win."""
     spark = incoming.sparkSession
     merged = upsert(read_table(spark, root, name, ddl), schemas.conform(incoming, ddl), keys)
-    commit_tables(spark, root, {name: merged}, description=f"upsert by {', '.join(keys)}")
+    write_tables(spark, root, {name: merged}, description=f"upsert by {', '.join(keys)}")
     return read_table(spark, root, name, ddl)
 
 

@@ -233,16 +233,26 @@ def test_objects_and_edges(rows, spark):
     assert got["listing_claim_on_company"][0] == network.ALWAYS and got["supplies"] == ("2026-01-01", "network_evidence") and got["producer"][1] == "approved"
 
 
-def test_bundle_versions(rows, spark, tmp_path):
+def test_runs_write_changed_tables_only(rows, spark, tmp_path):
     root = str(tmp_path / "bundle")
     tables = bundle(rows, spark)
     store.write_bundle(tables, root, source_description="one")
     held = store.read_bundle(spark, root)
     grown = held.replace(products=held.products.unionByName(rows(N["products"], {"product_id": "p2"})))
-    log = store.write_bundle(grown, root, source_description="two")
-    assert store.read_bundle(spark, root).products.count() == 2
-    hashes = {(r["table"], r["version"]): (r["rows"], r["xor_hash"]) for r in log.collect()}
-    assert hashes[("listings", 1)] == hashes[("listings", 2)] and hashes[("products", 1)] != hashes[("products", 2)]
+    log = store.write_bundle(grown, root, source_description="two", run="second")
+    assert [(r["table"], r["location"], r["rows"]) for r in log.collect()] == [("products", "second/products", 2)]
+    assert store.read_bundle(spark, root).products.count() == 2 and store.read_bundle(spark, root).listings.count() == held.listings.count()
+    filed = store.manifest(spark, root)
+    assert filed.count() == 11 and filed.filter("table = 'products'").select("xor_hash", "sum_hash").distinct().count() == 2
+    empty = store.write_tables(spark, str(tmp_path / "other"), {"none": schemas.empty(spark, schemas.CONTROLLERS)}).first()
+    assert (empty["rows"], empty["xor_hash"], empty["sum_hash"]) == (0, 0, "0")
+    assert store.write_bundle(store.read_bundle(spark, root), root, source_description="nothing").isEmpty() and filed.count() == 11
+    # two writers from the same state: both runs are there, no folder is shared
+    for name in ("a", "b"):
+        store.write_bundle(held.replace(industries=rows(N["industries"], {"industry_id": name})), root, source_description=name, run=name)
+    assert store.read_bundle(spark, root).industries.first()["industry_id"] == "b"
+    same = store.write_tables(spark, root, {"x": held.listings.union(held.listings)}).first(), store.write_tables(spark, root, {"x": held.listings}).first()
+    assert same[0]["xor_hash"] == 0 != same[1]["xor_hash"] and same[0]["rows"] == 2 * same[1]["rows"] and same[0]["sum_hash"] != same[1]["sum_hash"]
     limits = store.bundle_limits(grown, registry_basis="cninfo_org_id").first()
     assert (limits["companies_without_issuer_id"], limits["relation_rows"], limits["pending"] if "pending" in limits else limits["pending_mappings"]) == (2, 1, 0)
 

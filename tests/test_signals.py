@@ -225,7 +225,7 @@ def test_exchange_list_corroboration_once(rows, spark):
 def test_store_and_dossier(rows, spark, production, tmp_path):
     held = store.init_signal_store(spark, str(tmp_path / "s"))
     assert held.signal_types.count() == 6 and held.events.isEmpty()
-    store.commit_tables(spark, str(tmp_path / "s"), {"events": rows(EV, event())})
+    store.write_tables(spark, str(tmp_path / "s"), {"events": rows(EV, event())})
     assert store.init_signal_store(spark, str(tmp_path / "s")).events.count() == 1  # nothing is overwritten
     n = schemas.NETWORK
     listings = rows(n["listings"], {"listing_id": "L", "company_id": "A", "symbol": "1.SZ", "exchange": "SZSE"}, {"listing_id": "L2", "company_id": "Z", "symbol": "2.SZ"})
