@@ -114,6 +114,13 @@ def measured(text: Column, held: Column) -> Callable[[str], Column]:
     return lambda name: MEASURES[name](text, held)
 
 
+def _needs(rule: Rule) -> set[str]:
+    """The measures that a rule asks for."""
+    asked = set()
+    rule.rejects(lambda name: asked.add(name) or F.lit(0))
+    return asked
+
+
 def rule_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per cost, both measured on at most ``rows`` rows of ``docs``; ties keep the given order."""
     # taking rows reads partitions only until there are enough; a written limit would read some rows of each of them
@@ -146,16 +153,23 @@ def kept_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...]
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All measures of all documents and the cascade's verdict."""
+    """The contract's measures of all documents and the cascade's verdict.
+
+    Measures that are returned are columns anyway, so rules on them cost nothing more and stand first in the cascade; those that
+    only the method's own rules need are worked out within it, for rows that no earlier rule rejects.
+    """
     docs = table(spark, sf_dir, "documents")
     order = rule_order(docs)
     body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t"))
     held = body.withColumn("_w", words(F.col("_t")))
     shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     m = measured(F.col("_t"), F.col("_w"))
-    known = held.select("doc_id", *[m(name).alias(name) for name in MEASURES])
+    known = held.select("doc_id", "_t", *[m(name).alias(name) for name in shown])
+    free = [rule for rule in order if _needs(rule) <= set(shown)]
+    ranked = free + [rule for rule in order if rule not in free]
+    verdict = cascade(lambda name: F.col(name) if name in shown else MEASURES[name](F.col("_t"), F.array()), ranked)
     base = F.coalesce(BASE[0].rejects(F.col) | BASE[1].rejects(F.col), F.lit(False))
-    return known.select("doc_id", *shown, base.alias("base_failed"), (~base & cascade(F.col, order).isNull()).alias("kept"))
+    return known.select("doc_id", *shown, base.alias("base_failed"), (~base & verdict.isNull()).alias("kept"))
 
 
 OP10_SQL = r"""
