@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.ordered import dense_index, running_sums, time_bucket
+from chronoweave.operators import boosting
 from chronoweave.operators.features import FEATURES, latest_rows
+from chronoweave.session import cut_lineage
 
 MIN_ROWS = 120
 BUY_THRESHOLD = 0.55
@@ -61,20 +59,9 @@ def fold_parts(split: DataFrame, *, entity: str, time: str, folds: int = 5) -> D
     )
 
 
-def direction_pipeline(features: list[str] = FEATURES, *, rounds: int = 200, step: float = 0.04, depth: int = 4, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=features, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True, withStd=True),
-        GBTClassifier(featuresCol="_scaled", labelCol="target", maxIter=rounds, stepSize=step, maxDepth=depth, seed=seed),
-    ])
-
-
-def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def score(model: boosting.Boosted, rows: DataFrame) -> DataFrame:
     """Probability of an up move and the prediction at one half."""
-    scored = model.transform(rows).withColumn("prob_up", vector_to_array("probability")[1])
-    return scored.drop("_raw", "_scaled", "rawPrediction", "probability", "prediction").withColumn(
-        "prediction", (F.col("prob_up") >= 0.5).cast("double")
-    )
+    return boosting.with_probability(rows, model).withColumn("prediction", (F.col("prob_up") >= 0.5).cast("double"))
 
 
 @dataclass
@@ -110,17 +97,13 @@ def evaluate(scored: DataFrame) -> Scores:
     return Scores(accuracy, auc, class_report(labelled))
 
 
-def cross_validate(train: DataFrame, pipeline: Pipeline, *, entity: str, time: str, folds: int = 5) -> list[float]:
-    """Accuracy per expanding-window fold; each fold trains only on earlier rows."""
-    placed = chronological(train, entity=entity, time=time).cache()
+def fold_accuracies(placed: DataFrame, models: list[boosting.Boosted]) -> list[float]:
+    """Accuracy of each fold's model on the fold's validation part; ``placed`` has ``_pos`` and ``_train``."""
     accuracies = []
-    for fold in range(1, folds + 1):
-        start, end = fold_bounds(F.col("_n"), fold, folds)
-        model = pipeline.fit(placed.filter(F.col("_pos") < start))
-        scored = score(model, placed.filter((F.col("_pos") >= start) & (F.col("_pos") < end)))
-        hits = scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0]
-        accuracies.append(hits)
-    placed.unpersist()
+    for fold, model in enumerate(models, 1):
+        start, end = fold_bounds(F.col("_train"), fold, len(models))
+        scored = score(model, placed.filter(~F.col("is_test") & (F.col("_pos") >= start) & (F.col("_pos") < end)))
+        accuracies.append(scored.agg(F.avg((F.col("prediction") == F.col("target")).cast("double"))).first()[0])
     return accuracies
 
 
@@ -151,17 +134,22 @@ def growth_curve(returns: DataFrame, value: str, *, entity: str, time: str, name
 
 
 def train_direction_model(rows: DataFrame, *, entity: str, time: str, test_size: float = 0.2, rounds: int = 200,
-                          folds: int = 5, seed: int = 42) -> tuple[PipelineModel, DataFrame, Scores, list[float]]:
-    """Hold-out split, cross-validation on the training part, fit, scored hold-out rows."""
-    split = holdout_split(rows, entity=entity, time=time, test_size=test_size).cache()
-    train, test = split.filter(~F.col("is_test")), split.filter("is_test")
-    pipeline = direction_pipeline(rounds=rounds, seed=seed)
-    accuracies = cross_validate(train, pipeline, entity=entity, time=time, folds=folds) if folds else []
-    model = pipeline.fit(train)
-    scored = strategy_returns(score(model, test))
-    return model, scored, evaluate(scored), accuracies
-
-
-def score_latest(model: PipelineModel, features: DataFrame, *, entity: str, time: str) -> DataFrame:
+                          folds: int = 5, step: float = 0.04) -> tuple[boosting.Boosted, DataFrame, Scores, list[float]]:
+    """Hold-out split, fit, scored hold-out rows, and accuracies of an expanding-window cross-validation.
+
+    The model of the training part and those of the folds, which each train on rows before their validation part only, grow
+    together in the same passes over the rows.
+    """
+    split = holdout_split(rows, entity=entity, time=time, test_size=test_size)
+    sizes = split.groupBy(entity).agg(F.count_if(~F.col("is_test")).alias("_train"))
+    placed = cut_lineage(chronological(split, entity=entity, time=time).join(sizes, entity))
+    train = ~F.col("is_test")
+    parts = [train, *[train & (F.col("_pos") < fold_bounds(F.col("_train"), fold, folds)[0]) for fold in range(1, folds + 1)]]
+    model, *by_fold = boosting.boosted(placed, FEATURES, F.col("target"), parts, rounds=rounds, step=step)
+    scored = strategy_returns(score(model, placed.filter("is_test").drop("_pos", "_n", "_train")))
+    return model, scored, evaluate(scored), fold_accuracies(placed, by_fold)
+
+
+def score_latest(model: boosting.Boosted, features: DataFrame, *, entity: str, time: str) -> DataFrame:
     """Probability of an up move for the newest bar of every entity."""
     return score(model, latest_rows(features, entity=entity, time=time))

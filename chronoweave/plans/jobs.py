@@ -15,7 +15,7 @@ from chronoweave import schemas
 from chronoweave.constraints import ContractError, require_columns
 from chronoweave.functions.latest import first_per_key, upsert
 from chronoweave.operators.containment import quotes_in_pages
-from chronoweave.operators import compare, dossier, evidence, features, filings, funds, model, motion, needs, network, rollup, segments, signals
+from chronoweave.operators import boosting, compare, dossier, evidence, features, filings, funds, model, motion, needs, network, rollup, segments, signals
 from chronoweave.session import cut_lineage
 from chronoweave.sources import bars, minutes, quotes, tables as store
 from chronoweave.sources.minutes import _exists
@@ -130,7 +130,7 @@ def train_model(daily: DataFrame, out: str, *, horizon: int = 1, threshold: floa
     fitted, scored, scores, accuracies = model.train_direction_model(rows, entity="entity", time="date", rounds=rounds, folds=folds)
     curves = model.growth_curve(scored, "strategy_return", entity="entity", time="date", name="strategy_curve")
     curves = model.growth_curve(curves, "future_return", entity="entity", time="date", name="buy_hold_curve")
-    fitted.write().overwrite().save(f"{out}/model")
+    boosting.save_model(daily.sparkSession, fitted, f"{out}/model")
     curves.write.mode("overwrite").parquet(f"{out}/test_predictions")
     return fitted, scores, accuracies
 
