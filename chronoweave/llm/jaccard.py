@@ -3,17 +3,20 @@
 Two sets of sizes a and b with Jaccard similarity of at least 3/4 differ in at most (a + b) / 7 shingles, which is at most
 a / 3 and b / 3. The shingle domain is cut into partitions; of partitions at most k = a / 3 can differ, so among any k + 1
 partitions that set A fills, one is equal in B. A signature is the hash of one such subset: the shingles of a set in one
-partition. Each set enumerates its k + 1 first filled partitions and some spare ones, in one fixed order of partitions; of
+partition. Where each shingle is a partition, k = a / 4 is enough, for only what A has and B lacks counts. Each set enumerates its k + 1 first filled partitions and some spare ones, in one fixed order of partitions; of
 two similar sets, that which gets less far down the order finds at least 1 + spare of its signatures in the other. Sizes
 fall into bands of ratio 4 with a number of partitions each, and pairs meet in the band of the larger set, so sets near a
 band's end sign for the next one, too. In the first band each shingle is a partition of its own.
 
 A signature that more than ``GROUP`` texts share (a passage or line in many documents) is hot. A set with fewer hot
 signatures than it has to share with a partner is always found by another one, so its hot ones are dropped. The others sign
-again, among themselves and with all their partitions, of which a partner shares two thirds. Texts whose signatures are hot
-even then consist of shared wording for the most part, as members of a large group of near copies do: each is checked against
-the member with most hot signatures, and only where that leaves parts unconnected, the texts outside the largest part are
-checked against the others, in as few of their smallest groups as a partner cannot miss. No link is lost, and a group of near copies costs as many checks as it has members.
+again, among themselves and with all their shingles. Of two similar sets the one that is not larger shares six sevenths of its
+shingles, so it finds the other through one that is not hot, unless less than a seventh of it is wording of its own: a text's
+rare shingles decide, however common the rest is. Texts with so little of their own, as members of a large group of near
+copies, are checked against the member with most hot signatures, and only where that leaves parts unconnected, each looks for
+larger partners in other parts, in as few of its smallest groups as a partner cannot miss; the largest part does not look
+within itself. There the counts in bins are compared tile by tile inside the tasks, which give out only pairs that these cannot
+rule out. No link is lost, and a group of near copies costs as many checks as it has members.
 
 Equal texts count as one node (a 64-bit hash; if two different texts share it, all hashes are salted anew). Candidate pairs
 that counts in bins cannot rule out are checked on the whole texts: one partner of each text first, then the pairs that
@@ -39,8 +42,10 @@ from chronoweave.session import cut_lineage
 SHINGLE = 5
 #: A signature shared by more texts is hot.
 GROUP = 16
-#: Spare signatures as a share of those that must be enumerated; for texts that sign again, more than there are partitions.
-SPARE, ALL = 0.3, 9.0
+#: Spare signatures as a share of those that must be enumerated.
+SPARE = 0.3
+#: Texts on either side of a tile.
+TILE = 2048
 #: Largest set of the first band, ratio of bands, and shingles per partition in the largest set of a band.
 FIRST, RATIO, FILL = 256, 4, 1.7
 
@@ -83,25 +88,43 @@ def _band(size: int) -> int:
     return band
 
 
-def signatures(held: np.ndarray, spare: float = SPARE) -> tuple[np.ndarray, int]:
+def _enumerated(size: int, band: int) -> tuple[int, int, int]:
+    """How many partitions of a set a partner may lack, how many are enumerated, and how many of those a partner shares.
+
+    A partner may be smaller by a quarter, go less far down the order and so have fewer spare ones.
+    """
+    of = 3 if band else 4
+    most = size // of
+    return most, most + 1 + int(np.ceil(SPARE * most)), 1 + int(np.ceil(SPARE * (-(-3 * size // 4) // of)))
+
+
+def signatures(held: np.ndarray) -> tuple[np.ndarray, int]:
     """The signatures of a set of shingles, with the band in their low four bits, and how many of a band a partner must share."""
     size = len(held)
-    most = size // 3
-    wanted, order = most + 1 + int(np.ceil(spare * most)), mix(held ^ _U(0x5851F42D4C957F2D))
-    # a partner may be smaller by a quarter, go less far down the order and so have fewer spare ones
-    made, share = [], 1 + int(np.ceil(spare * (-(-3 * size // 4) // 3)))
+    order = mix(held ^ _U(0x5851F42D4C957F2D))
+    made, least = [], size
     for band in sorted({_band(size), _band(size * 4 // 3)}):
+        most, wanted, share = _enumerated(size, band)
         if band == 0:
-            parts = np.sort(order)[:wanted]
+            parts = np.partition(order, wanted - 1)[:wanted] if wanted < size else order
             values = parts
         else:
             place = order % _U(int(FIRST * RATIO**band / FILL))
             by = np.argsort(place, kind="stable")
             parts, first = np.unique(place[by], return_index=True)
             parts, values = parts[:wanted], np.add.reduceat(mix(held[by]), first)[:wanted]
-        share = min(share, len(parts) - most)
+        least = min(least, share, len(parts) - most)
         made.append((mix(values + mix(parts + _U(band + 1))) & ~_U(15)) | _U(min(band, 15)))
-    return np.concatenate(made) if made else np.empty(0, _U), share
+    return np.concatenate(made) if made else np.empty(0, _U), least
+
+
+def _share(held: np.ndarray) -> int:
+    """The second result of ``signatures``; sets of the first band alone need no signatures for it."""
+    size = len(held)
+    if size * 4 // 3 > FIRST:
+        return signatures(held)[1]
+    most, wanted, share = _enumerated(size, 0)
+    return min(share, min(wanted, size) - most)
 
 
 def sketch(held: np.ndarray) -> bytes:
@@ -124,24 +147,24 @@ def differ_at_least(left: bytes, right: bytes) -> int:
 
 
 def _sized(batches):
-    """(node, text) to (node, n, share, share_all, sketch): the size, and of how many signatures a partner shares one at least."""
+    """(node, text) to (node, n, share, sketch): the size, and of how many signatures a partner shares one at least."""
     known = WordHashes()
     for batch in batches:
-        columns: list[list] = [[], [], [], []]
+        columns: list[list] = [[], [], []]
         for blob in blobs(batch, "_text"):
             held = shingles(plain_words(blob), known)
-            for column, value in zip(columns, (len(held), *(signatures(held, spare)[1] if len(held) else 0 for spare in (SPARE, ALL)), sketch(held))):
+            for column, value in zip(columns, (len(held), _share(held), sketch(held))):
                 column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["node", "n", "share", "share_all", "sketch"])
+        kinds = [pa.int64(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["node", "n", "share", "sketch"])
 
 
-def _signed(spare: float):
-    """(node, text) to (sig, node), a row per signature."""
+def _signed(sign):
+    """(node, text) to (sig, node), a row per signature that ``sign`` gives for a set of shingles."""
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            made = [signatures(held, spare)[0] if len(held) else held for held in (shingles(plain_words(blob), known) for blob in blobs(batch, "_text"))]
+            made = [sign(shingles(plain_words(blob), known)) for blob in blobs(batch, "_text")]
             nodes = np.repeat(batch.column(0).to_numpy(), [len(sigs) for sigs in made])
             sigs = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
             for start in range(0, len(sigs), 100_000):
@@ -158,6 +181,72 @@ def _plausible(batches):
         yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(chosen, pa.int64())) for i in (0, 1)], ["a", "b"])
 
 
+def _bounds(one: bytes, table: np.ndarray) -> np.ndarray:
+    """``differ_at_least`` of a sketch and each row of a table of sketches."""
+    x, y = np.frombuffer(one, np.uint8).astype(np.int32), table.astype(np.int32)
+    full = (x.max() == 255) | (y.max(1) == 255) if len(x) != y.shape[1] else np.zeros(len(y), bool)
+    if len(x) < y.shape[1]:
+        y = y.reshape(len(y), -1, len(x)).sum(1)
+    elif len(x) > y.shape[1]:
+        x = x.reshape(-1, y.shape[1]).sum(0)
+    return np.where(full, 0, np.abs(y - x).sum(1))
+
+
+class _Side:
+    """Texts on one side of a tile: nodes, sizes, parts, and sketches by their length."""
+
+    def __init__(self, rows: pa.Table):
+        self.node, self.n, self.part = (rows.column(name).to_numpy() for name in ("node", "n", "part"))
+        self.sketch = rows.column("sketch").to_pylist()
+        lengths = np.fromiter(map(len, self.sketch), np.int64, len(self.sketch))
+        self.tables = []
+        for length in np.unique(lengths):
+            at = np.flatnonzero(lengths == length)
+            self.tables.append((at, np.frombuffer(b"".join(self.sketch[i] for i in at), np.uint8).reshape(len(at), length)))
+
+    def partners(self, node: int, n: int, part: int, sketch: bytes) -> list[tuple[int, int]]:
+        """Pairs with the texts here that are in another part, not smaller, and not ruled out."""
+        found = []
+        for at, table in self.tables:
+            fits = np.flatnonzero((self.part[at] != part) & (self.n[at] >= n) & (3 * self.n[at] <= 4 * n))
+            if len(fits):
+                near = fits[7 * _bounds(sketch, table[fits]) <= n + self.n[at[fits]]]
+                found += [(min(node, other), max(node, other)) for other in self.node[at[near]].tolist()]
+        return found
+
+
+def _tiles(largest: int):
+    """(sig, row, column, looks, node, n, part, sketch) sorted by the first three, the tile, to pairs (a, b) of those that look with others.
+
+    A looking text of the part ``largest`` meets only texts outside it.
+    """
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        looks = rows.column("looks").to_numpy()
+        lookers, others = _Side(rows.filter(pa.array(looks))), rows.filter(pa.array(~looks))
+        every, outer = _Side(others), _Side(others.filter(pa.array(others.column("part").to_numpy() != largest)))
+        found = [pair for one in zip(lookers.node.tolist(), lookers.n.tolist(), lookers.part.tolist(), lookers.sketch)
+                 for pair in (outer if one[2] == largest else every).partners(*one)]
+        two = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(two[:, 0]), pa.array(two[:, 1])], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            keys = np.stack([rows.column(i).to_numpy() for i in range(3)])
+            cuts = np.flatnonzero((np.diff(keys) != 0).any(0)) + 1
+            starts = [0, *cuts.tolist()]
+            for start, end in zip(starts, starts[1:]):
+                yield pairs(rows.slice(start, end - start))
+            held = rows.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    return run
+
+
 def _candidates(batches):
     """(sig, node) sorted by sig to pairs (a, b, null) of groups up to GROUP, and members (a, null, sig) of larger ones."""
     pairs, hot, waiting = [], [], 0
@@ -242,19 +331,14 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
     salt, classes = _classes(rows)
     rows = rows.withColumn("node", _node(F.col("_text"), salt))
     texts = rows.filter("node IS NOT NULL").select("node", "_text")
-    known = texts.mapInArrow(_sized, "node bigint, n bigint, share bigint, share_all bigint, sketch binary")
-    sizes = cut_lineage(known.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "share", "share_all", "sketch"))))
-    band = F.col("sig").bitwiseAND(15).alias("band")
+    known = texts.mapInArrow(_sized, "node bigint, n bigint, share bigint, sketch binary")
+    sizes = cut_lineage(known.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "share", "sketch"))))
 
-    def candidates(signing: DataFrame, spare: float) -> tuple[DataFrame, DataFrame]:
+    def candidates(signing: DataFrame, sign) -> tuple[DataFrame, DataFrame]:
         """Pairs of the groups that are not hot, and members of hot ones."""
-        spread = signing.mapInArrow(_signed(spare), "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig")
+        spread = signing.mapInArrow(_signed(sign), "sig bigint, node bigint").repartition("sig").sortWithinPartitions("sig")
         found = cut_lineage(spread.mapInArrow(_candidates, "a bigint, b bigint, sig bigint"))
-        return plausible(found.filter("b IS NOT NULL").select("a", "b")), found.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node"), band).distinct()
-
-    def poor(hot: DataFrame, share: str) -> DataFrame:
-        """Nodes, by band, whose signatures that are not hot may miss a partner, and their number of hot ones."""
-        return hot.groupBy("node", "band").agg(F.count(F.lit(1)).alias("n_hot")).join(sizes.select("node", share), "node").filter(F.col("n_hot") >= F.col(share)).drop(share)
+        return plausible(found.filter("b IS NOT NULL").select("a", "b")), found.filter("sig IS NOT NULL").select("sig", F.col("a").alias("node")).distinct()
 
     def plausible(pairs: DataFrame) -> DataFrame:
         of = {x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"}
@@ -271,14 +355,18 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
         of = {x: labels.select(F.col("node").alias(x), F.col("component").alias(f"part_{x}")) for x in "ab"}
         return pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").filter("NOT coalesce(part_a, a) <=> coalesce(part_b, b)").select("a", "b")
 
-    pairs, hot = candidates(texts, SPARE)
-    again = cut_lineage(poor(hot, "share").select("node").distinct())
+    pairs, hot = candidates(texts, lambda held: signatures(held)[0])
+    n_hot = F.count(F.lit(1)).alias("n_hot")
+    poor = hot.groupBy("node", F.col("sig").bitwiseAND(15).alias("band")).agg(n_hot).join(sizes.select("node", "share"), "node").filter("n_hot >= share")
+    again = cut_lineage(poor.select("node").distinct())
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(again).distinct().join(classes, "node")
     chosen = rows.join(needed, (rows["node"] == needed["node"]) & rows["_id"].eqNullSafe(needed["first"]), "left_semi")
     some = cut_lineage(chosen.select("node", "_text").dropDuplicates(["node"]))  # the texts that are looked at again
-    more, hot = candidates(some.join(again, "node", "left_semi"), ALL)
-    held = poor(hot, "share_all").join(sizes.select("node", "share_all"), "node")
-    crowds = cut_lineage(hot.join(held, ["node", "band"]).select("sig", "node", "band", "n_hot", (F.col("n_hot") - F.col("share_all") + 1).alias("n_looks")))
+    more, hot = candidates(some.join(again, "node", "left_semi"), lambda held: held)
+    hot = cut_lineage(hot.join(sizes.select("node", "n"), "node"))
+    # as the smaller one of a pair, a text shares n - n div 7 of its shingles
+    looks = hot.groupBy("node", "n").agg(n_hot).withColumn("n_looks", F.expr("n_hot - n + n div 7 + 1")).filter("n_looks > 0").drop("n")
+    crowds = cut_lineage(hot.join(looks, "node"))
     leaders = cut_lineage(crowds.groupBy("sig").agg(F.max_by("node", F.struct("n_hot", "node")).alias("leader")))
     stars = plausible(crowds.join(leaders, "sig").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
     pairs = pairs.unionByName(more)
@@ -291,19 +379,25 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
         links = links.unionByName(checked(rest))
         labels = components(links)
 
-    # A partner of a text in a crowd shares share_all of its signatures. If none of those that are not hot found it, it is in one
-    # of any n_hot - share_all + 1 hot groups of the text, so the smallest ones are enough. Of two texts in different parts one
-    # is not in the part with most texts; that one looks for the other.
-    parts = cut_lineage(crowds.join(labels, "node", "left").select("sig", "node", "band", "n_looks", F.coalesce("component", "node").alias("part")))
-    groups = parts.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), (F.min("part") < F.max("part")).alias("mixed"))
+    # If no shingle that is not hot has found a larger partner of a text in a crowd, that partner is in one of any n_looks of its
+    # hot groups, so the smallest ones are enough. Texts of the largest part look among the texts outside it only.
+    parted = cut_lineage(hot.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part")))
+    groups = cut_lineage(parted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), (F.min("part") < F.max("part")).alias("mixed")))
     if not groups.filter("mixed").isEmpty():
-        known_groups = cut_lineage(groups)
-        largest = parts.select("node", "part").distinct().groupBy("part").count().agg(F.max_by("part", F.struct("count", "part")).alias("largest")).first()["largest"]
-        outer = parts.filter(F.col("part") != F.lit(largest)).join(known_groups, "sig")
-        place = F.row_number().over(Window.partitionBy("node", "band").orderBy("members", "sig"))  # a text's own signatures only
-        looks = outer.withColumn("place", place).filter("place <= n_looks AND mixed").select("sig", F.col("node").alias("x"), F.col("part").alias("part_x"))
-        cross = cut_lineage(looks).join(parts.select("sig", "node", "part"), "sig").filter("part <> part_x").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        labels = components(links.unionByName(checked(plausible(cross))))
+        largest = parted.select("node", "part").distinct().groupBy("part").count().agg(F.max_by("part", F.struct("count", "part")).alias("largest")).first()["largest"]
+        place = F.row_number().over(Window.partitionBy("node").orderBy("members", "sig"))  # a text's own shingles only
+        chosen = crowds.select("sig", "node", "n_looks").join(groups, "sig").withColumn("place", place).filter("place <= n_looks AND mixed").select("sig", "node")
+        looking = cut_lineage(chosen.join(parted, ["sig", "node"]))
+        side = lambda count: F.ceil(F.col(count) / TILE).cast("int")
+        met = cut_lineage(looking.groupBy("sig").agg(F.count(F.lit(1)).alias("lookers")).join(groups, "sig").select("sig", side("lookers").alias("rows"), side("members").alias("columns")))
+        own = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
+        every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        shown = [F.col(name) for name in ("node", "n", "part")]
+        tiles = looking.join(met, "sig").select("sig", own("rows").alias("row"), every("columns").alias("column"), F.lit(True).alias("looks"), *shown).unionByName(
+            parted.join(met, "sig").select("sig", every("rows").alias("row"), own("columns").alias("column"), F.lit(False).alias("looks"), *shown))
+        dealt = tiles.join(sizes.select("node", "sketch"), "node").select("sig", "row", "column", "looks", "node", "n", "part", "sketch")
+        dealt = dealt.repartition("sig", "row", "column").sortWithinPartitions("sig", "row", "column")
+        labels = components(links.unionByName(checked(cut_lineage(dealt.mapInArrow(_tiles(largest), "a bigint, b bigint").distinct()))))
 
     nodes = classes.join(sizes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     firsts = cut_lineage(nodes.groupBy("component").agg(F.min("first").alias("component_id")))

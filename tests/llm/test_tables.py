@@ -238,6 +238,47 @@ def test_jaccard_join_equals_all_pairs(spark, documents):
     assert Counter(row["doc_id"] for row in kept.collect()) == Counter(i for i, (_, label) in want.items() if i == label)
 
 
+def test_jaccard_join_of_shared_wording(spark, documents, monkeypatch):
+    """Edits that many members of a group share, so that no shingle is rare, in tiles of a few texts; and a line that texts have in common."""
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    edited = []
+    for _ in range(260):
+        words = list(base)
+        for at in rng.sample(range(2, 58, 4), rng.randint(1, 6)):
+            words[at] = f"x{at}"
+        edited.append(" ".join(words))
+    line = " ".join(f"l{i}" for i in range(15))
+    lines = [f"{line} own{i} other{i} third{i}" for i in range(120)] + [f"{line} tail{i}" for i in range(20)]
+    long = [" ".join(f"w{j}" for j in range(5000)) + f" end{i}" for i in range(3)]
+    texts = edited + lines + long
+    tiles, calls = jaccard._tiles, []
+    monkeypatch.setattr(jaccard, "_tiles", lambda largest: calls.append(largest) or tiles(largest))
+    got = {row["doc_id"]: (row["n_shingles"], row["component_id"]) for row in jaccard.similar_documents(documents(*enumerate(texts))).collect()}
+    assert calls and got == brute_components(dict(enumerate(texts)))
+
+
+def test_jaccard_line_in_common_makes_no_candidates(spark, documents, monkeypatch):
+    """Texts of one common line and three words of their own are all unlike: none is read again, whatever their number."""
+    line = " ".join(f"l{i}" for i in range(15))
+    docs = documents(*((i, f"{line} own{i} other{i} third{i}") for i in range(5000)))
+    written = []
+    real = jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda frame: written.append(real(frame)) or written[-1])
+    assert jaccard.similar_documents(docs).filter("doc_id <> component_id").count() == 0
+    assert all(frame.count() == 0 for frame in written if frame.columns == ["a", "b"])
+
+
+def test_bounds_of_tables_are_those_of_pairs():
+    rng = np.random.default_rng(8)
+    for sizes in ((100, 100), (100, 400), (400, 100), (5000, 5000)):
+        one = jaccard.sketch(rng.integers(0, 2**63, sizes[0]).astype(np.uint64))
+        others = [jaccard.sketch(rng.integers(0, 2**63, sizes[1]).astype(np.uint64)) for _ in range(5)] + [bytes([255]) * len(jaccard.sketch(np.arange(sizes[1], dtype=np.uint64)))]
+        table = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), -1)
+        assert jaccard._bounds(one, table).tolist() == [jaccard.differ_at_least(one, other) for other in others]
+
+
 def test_jaccard_empty_table(spark, documents):
     assert jaccard.similar_documents(documents()).count() == 0 and jaccard.one_of_each(documents()).count() == 0
 
