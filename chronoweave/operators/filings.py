@@ -1,7 +1,7 @@
 """Facts from the page text of filings, report choice and report verification.
 
-Pages are rows (doc_id, page_no, text). A filing is the natural unit of text: only the
-pages of one section, or of one filing, are ever joined into one string.
+Pages are rows (doc_id, page_no, text). Only the few pages of one section are ever joined into one string; phrases
+across page breaks are found in a page with the strip that follows it.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.constraints import with_violations
 from chronoweave.functions.latest import first_per_key, last_per_key
+from chronoweave.functions.ordered import in_blocks, time_bucket
 from chronoweave.functions.rows import row_array
 from chronoweave.operators.funds import fund_code
 
@@ -160,32 +161,61 @@ def holding_matches(holdings: DataFrame, pages: DataFrame) -> DataFrame:
     return hits.select("doc_id", "instrument_id", "security_name", "page_no").distinct()
 
 
+def with_following(pages: DataFrame, width: int) -> DataFrame:
+    """(doc_id, page_no, _look): the compact text of each page that has some, and the first ``width`` - 1 characters that follow it.
+
+    What stands across a page break, or across several short pages, is found in ``_look`` of the page where it begins.
+    Pages are ordered in blocks, so no task holds all pages of a filing, and no cell more than one page.
+    """
+    texts = pages.select("doc_id", "page_no", compact(F.col("text")).alias("_page")).filter("_page <> ''")
+    if width < 2:
+        return texts.withColumnRenamed("_page", "_look")
+    blocks = in_blocks(texts, ["doc_id"], [F.col("page_no"), F.col("_page")], bucket=time_bucket(texts, "page_no"), after=width - 1)
+    heads = F.collect_list(F.substring("_page", 1, width - 1)).over(blocks.window.rowsBetween(1, width - 1))
+    strip = F.substring(F.array_join(heads, ""), 1, width - 1)
+    return blocks.with_df(blocks.df.withColumn("_look", F.concat("_page", strip))).finish().select("doc_id", "page_no", "_look")
+
+
+def page_facts(pages: DataFrame) -> DataFrame:
+    """Per filing its pages, its characters with a line break between pages, and the six-digit codes on them."""
+    filled = F.count("text")
+    sizes = pages.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("page_count"), F.when(filled > 0, F.sum(F.length("text")) + filled - 1).otherwise(0).cast("int").alias("text_character_count"))
+    codes = pages.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{6})(?!\d)")))).alias("code")).distinct()
+    held = codes.groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("six_digit_codes"))
+    return sizes.join(held, "doc_id", "left").withColumn("six_digit_codes", F.coalesce("six_digit_codes", F.array().cast("array<string>")))
+
+
 def verify_reports(documents: DataFrame, pages: DataFrame, holdings: DataFrame) -> DataFrame:
     """Verification record per filing.
 
     ``documents`` has doc_id, fund_code, fund_name, full_name and report_period_end;
     ``holdings`` has doc_id, instrument_id and security_name. Verified means the name,
-    the code and the period occur and at least min(8, n) holdings were found.
+    the code and the period occur and at least min(8, n) holdings were found. Names, codes and periods are looked
+    up page by page with what follows on the next ones, and reduced to flags before they are brought together.
     """
-    body = pages.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("page_count"), F.sum(F.length("text")).alias("_chars"),
-        F.sort_array(F.collect_list(F.struct("page_no", "text"))).alias("_pages"))
-    joined = body.withColumn("_raw", F.array_join(F.col("_pages.text"), "\n")).withColumn("_body", compact(F.col("_raw"))).drop("_pages")
+    named = documents.withColumn("fund_code", fund_code(F.col("fund_code"))).withColumns({
+        "_aliases": F.array_union(name_aliases(F.col("full_name")), name_aliases(F.col("fund_name"))), "_title": quarter_title(F.col("report_period_end"))})
+    sought = ["doc_id", "_aliases", "fund_code", "_title"]
+    longest = F.greatest(F.array_max(F.transform("_aliases", F.length)), F.length("fund_code"), F.length("_title"))
+    width = max([named.agg(F.max(longest)).first()[0] or 0, *map(len, SHARE_CLASS_MARKERS)])  # one number, whatever the pages
+    seen = lambda condition, name: F.coalesce(F.bool_or(condition), F.lit(False)).alias(name)
+    look = F.col("_look")
+    flags = with_following(pages, width).join(named.select(sought).distinct(), "doc_id").groupBy(sought).agg(
+        seen(F.exists("_aliases", lambda alias: F.contains(look, alias)), "identity_name_match"),
+        seen(F.contains(look, F.col("fund_code")), "fund_code_match"),
+        seen(F.contains(look, F.col("_title")), "report_period_match"),
+        seen(F.exists(F.lit(SHARE_CLASS_MARKERS), lambda mark: F.contains(look, mark)), "share_class_table_detected"))
     matches = holding_matches(holdings, pages)
     found = matches.groupBy("doc_id").agg(
         F.count_distinct("instrument_id").alias("matched_holding_rows"), F.sort_array(F.collect_set("page_no")).alias("holding_evidence_pages"))
     expected = holdings.groupBy("doc_id").agg(F.count(F.lit(1)).alias("expected_holding_rows"))
-    rows = documents.withColumn("fund_code", fund_code(F.col("fund_code"))).join(joined, "doc_id", "left").join(expected, "doc_id", "left").join(found, "doc_id", "left")
-    aliases = F.array_union(name_aliases(F.col("full_name")), name_aliases(F.col("fund_name")))
-    no = F.lit(False)
-    checks = rows.fillna(0, ["expected_holding_rows", "matched_holding_rows", "page_count"]).withColumns({
-        "identity_name_match": F.coalesce(F.exists(aliases, lambda alias: F.contains(F.col("_body"), alias)), no),
-        "fund_code_match": F.coalesce(F.contains("_body", "fund_code"), no),
-        "report_period_match": F.coalesce(F.contains("_body", quarter_title(F.col("report_period_end"))), no),
-        "text_character_count": F.length("_raw"),
-        "share_class_table_detected": F.coalesce(F.exists(F.lit(SHARE_CLASS_MARKERS), lambda mark: F.contains(F.col("_body"), mark)), no),
-        "six_digit_codes": F.array_sort(F.array_distinct(F.regexp_extract_all("_raw", F.lit(r"(?<!\d)(\d{6})(?!\d)")))),
-    })
+    same = [F.col(name) == F.col(f"_of{name}") if name == "doc_id" else F.col(name).eqNullSafe(F.col(f"_of{name}")) for name in sought]
+    found_flags = ["identity_name_match", "fund_code_match", "report_period_match", "share_class_table_detected"]
+    keyed = flags.select(*[F.col(name).alias(f"_of{name}") for name in sought], *found_flags)
+    flagged = named.join(keyed, same, "left").drop("_aliases", "_title", *[f"_of{name}" for name in sought])
+    rows = flagged.join(page_facts(pages), "doc_id", "left").join(expected, "doc_id", "left").join(found, "doc_id", "left")
+    checks = rows.fillna(0, ["expected_holding_rows", "matched_holding_rows", "page_count"]).fillna(False, found_flags)
     enough = F.col("matched_holding_rows") >= F.least(F.lit(8), F.col("expected_holding_rows"))
     verified = F.col("identity_name_match") & F.col("fund_code_match") & F.col("report_period_match") & enough
-    return checks.withColumn("quality_status", F.when(verified, VERIFIED).otherwise(INCOMPLETE)).drop("_raw", "_body", "_chars")
+    return checks.withColumn("quality_status", F.when(verified, VERIFIED).otherwise(INCOMPLETE))

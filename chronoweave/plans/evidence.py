@@ -314,6 +314,30 @@ def name_in_pages(t: Tables) -> DataFrame:
     return filings.holding_matches(holdings, pages).select(F.col("doc_id").alias("conv_id"), F.col("page_no").alias("turn"), F.col("security_name").alias("name"))
 
 
+@query("report_verification", """
+WITH p AS (SELECT conv_id, turn, text, replace(replace(regexp_replace(text, '\\s+', '', 'g'), '（', '('), '）', ')') AS page FROM conversations),
+f AS (SELECT a.conv_id, right(a.page, 8) AS tail, left(b.page, 8) AS head, lpad(CAST(length(a.text) AS VARCHAR), 6, '0') AS code FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
+d AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN tail || head ELSE head || tail END AS name, code FROM f),
+b AS (SELECT conv_id, string_agg(page, '' ORDER BY turn) AS body, string_agg(text, chr(10) ORDER BY turn) AS raw, count(*) AS page_count FROM p GROUP BY conv_id)
+SELECT conv_id, page_count, CAST(length(raw) AS BIGINT) AS text_character_count, name <> '' AND (contains(body, name) OR contains(body, regexp_replace(name, '[AC]$', ''))) AS identity_name_match,
+  contains(body, code) AS fund_code_match, CAST(len(list_distinct(regexp_extract_all(raw, '\\b[0-9]{6}\\b'))) AS BIGINT) AS six_digit_codes
+FROM d JOIN b USING (conv_id)""")
+def report_verification(t: Tables) -> DataFrame:
+    """Conversations are filings, turns their pages. A fund's name is the end of the first page and the start of the second,
+    which stands across the page break; every other one has the two the wrong way round. Its code is the length of the first page."""
+    text = filings.compact(F.col("text"))
+    first = t.conversations.filter("turn = 0").select("conv_id", F.right(text, F.lit(8)).alias("tail"), F.length("text").cast("string").alias("fund_code"))
+    second = t.conversations.filter("turn = 1").select("conv_id", F.left(text, F.lit(8)).alias("head"))
+    name = F.when(F.col("conv_id") % 2 == 0, F.concat("tail", "head")).otherwise(F.concat("head", "tail"))
+    funds_ = first.join(second, "conv_id").select(
+        F.col("conv_id").alias("doc_id"), "fund_code", name.alias("fund_name"), F.lit(None).cast("string").alias("full_name"), F.lit("2026-06-30").alias("report_period_end"))
+    pages = t.conversations.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    holdings = pages.select("doc_id", F.lit("000001.SZ").alias("instrument_id"), F.col("text").alias("security_name"))
+    done = filings.verify_reports(funds_, pages, holdings)
+    return done.select(F.col("doc_id").alias("conv_id"), F.col("page_count"), F.col("text_character_count").cast("bigint"), "identity_name_match", "fund_code_match",
+                       F.size("six_digit_codes").cast("bigint").alias("six_digit_codes"))
+
+
 @query("json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def json_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "struct<k:int>")["k"].alias("k"))
