@@ -3,8 +3,10 @@
 A text is cut by the vocabulary's pattern; each distinct match ("word") is encoded once per task. For a batch of new words,
 one recursive query holds a row per word and token position. Each round joins neighbouring rows with the merge table (left
 token, right token, rank, which is also the merged token's id), finds each word's pair of least rank, leftmost among equals,
-contracts it, and ends when no word has a pair left. A second query decodes: ordered aggregation puts the bytes of a word's
-tokens together again. The results of words are looked up to put together those of texts, in order.
+contracts it, and ends when no word has a pair left. A second query decodes: ordered aggregation puts the bytes of the ids of a
+word together again. Both results of a word are looked up to put together the ids and the decoded bytes of texts, in order; the
+text itself takes no part in decoding. Where the library counts a character to another class than the pattern's matcher does, its
+class decides.
 
 The merge table follows from the ranks alone: every way to split a token's bytes into two tokens is a merge with the rank of
 the whole. Words longer than ``LONG`` bytes would cost a round per byte over all their rows; they are contracted pair by
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm.text import blobs, table
-from chronoweave.llm.tokens import Lookup, portions
+from chronoweave.llm.tokens import Lookup, portions, stand_ins
 
 #: Words of more bytes are contracted by a heap.
 LONG = 512
@@ -36,7 +38,7 @@ ROUND_WORDS = 100_000
 DATABASE_MEMORY = "400MB"
 
 SETUP = """
-CREATE TABLE vocabulary AS SELECT unnest($1::BLOB[]) AS bytes, unnest($2::INTEGER[]) AS id;
+CREATE TABLE vocabulary AS SELECT *, hex(bytes) AS digits FROM (SELECT unnest($1::BLOB[]) AS bytes, unnest($2::INTEGER[]) AS id);
 CREATE TABLE merges AS
   SELECT l.id AS left_id, r.id AS right_id, v.id AS rank
   FROM vocabulary v, unnest(range(1, octet_length(v.bytes))) AS cut(pos)
@@ -44,29 +46,29 @@ CREATE TABLE merges AS
 """
 #: A row's key is its word's number and its place there, ``BITS`` for the latter, so neighbours follow each other in order.
 BITS = 10
-#: Rank and key of a pair are compared as one number.
-KEY_BITS = 40
+#: Rank and key of a pair are compared as one number; key and token of a neighbour are read as one.
+KEY_BITS, TOKEN_BITS = 40, 20
 ENCODE = f"""
 WITH RECURSIVE state(key, token, live) AS (
   SELECT (w.word::BIGINT << {BITS}) + p.place, v.id, true
   FROM words w, unnest(range(0, octet_length(w.bytes))) AS p(place) JOIN vocabulary v ON v.bytes = w.bytes[p.place + 1:p.place + 1]
   UNION ALL
-  (WITH here AS (SELECT key, key >> {BITS} AS word, token, lead(token) OVER o AS following, lead(key) OVER o AS next_key, lag(key) OVER o AS last_key
-                 FROM state WHERE live WINDOW o AS (ORDER BY key)),
-        least AS (SELECT h.word, min((m.rank::BIGINT << {KEY_BITS}) | h.key) AS pair
-                  FROM here h JOIN merges m ON m.left_id = h.token AND m.right_id = h.following WHERE h.next_key >> {BITS} = h.word GROUP BY h.word),
-        best AS (SELECT word, pair >> {KEY_BITS} AS rank, pair & ((1::BIGINT << {KEY_BITS}) - 1) AS key FROM least)
+  (WITH here AS (SELECT key, token, lead((key << {TOKEN_BITS}) | token) OVER (ORDER BY key) AS following FROM state WHERE live),
+        pairs AS (SELECT h.key >> {BITS} AS word, (m.rank::BIGINT << {KEY_BITS}) | h.key AS pair, h.following >> {TOKEN_BITS} AS next_key
+                  FROM here h JOIN merges m ON m.left_id = h.token AND m.right_id = (h.following & ((1 << {TOKEN_BITS}) - 1))
+                  WHERE h.following >> {BITS + TOKEN_BITS} = h.key >> {BITS}),
+        best AS (SELECT word, min(pair) >> {KEY_BITS} AS rank, min(pair) & ((1::BIGINT << {KEY_BITS}) - 1) AS key, arg_min(next_key, pair) AS gone
+                 FROM pairs GROUP BY word)
    SELECT h.key, CASE WHEN h.key = b.key THEN b.rank::INTEGER ELSE h.token END, b.word IS NOT NULL
-   FROM here h LEFT JOIN best b USING (word) WHERE b.word IS NULL OR h.last_key IS DISTINCT FROM b.key)
+   FROM here h LEFT JOIN best b ON b.word = h.key >> {BITS} WHERE h.key IS DISTINCT FROM b.gone)
 )
 SELECT key >> {BITS} AS word, key, token FROM state WHERE NOT live
 """
+#: Ids of a word in order, and the bytes that they stand for in the same order.
 DECODE = """
-SELECT w.word, string_agg(t.token::VARCHAR, ' ' ORDER BY t.key) AS ids, string_agg(hex(v.bytes), '' ORDER BY t.key) AS decoded, any_value(hex(w.bytes)) AS given
-FROM tokens t JOIN vocabulary v ON v.id = t.token JOIN words w USING (word) GROUP BY w.word
+SELECT t.word, ' ' || array_to_string(list(t.token ORDER BY t.key), ' ') AS ids, unhex(array_to_string(list(v.digits ORDER BY t.key), '')) AS decoded
+FROM tokens t JOIN vocabulary v ON v.id = t.token GROUP BY t.word
 """
-#: Decoded bytes leave the database only where they are not those of the word.
-RESULT = f"SELECT word, ' ' || ids AS ids, CASE WHEN decoded <> given THEN decoded END AS decoded FROM ({DECODE})"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,9 +94,9 @@ class Coder:
             chosen = numbers[start:start + ROUND_WORDS]
             self.base.register("words", pa.table({"word": pa.array(chosen, pa.int32()), "bytes": pa.array([words[i] for i in chosen], pa.binary())}))
             self.base.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {ENCODE}")
-            done = self.base.sql(RESULT).to_arrow_table()
-            for word, ids, decoded in zip(*(done[name].to_pylist() for name in ("word", "ids", "decoded"))):
-                found[word] = ids, words[word] if decoded is None else bytes.fromhex(decoded)
+            done = self.base.sql(DECODE).to_arrow_table()
+            for word, *both in zip(*(done[name].to_pylist() for name in ("word", "ids", "decoded"))):
+                found[word] = tuple(both)
             self.base.unregister("words")
         return found
 
@@ -119,26 +121,23 @@ class Coder:
         return "".join(f" {i}" for i in ids), b"".join(self.tokens[i] for i in ids)
 
 
-class Lookups:
-    """A coder behind two look-ups by parts of a text: ids as text, and decoded bytes."""
+def _library_matches(kind: str, text: str) -> str:
+    """What the library's own matcher finds; with single bytes as vocabulary, ids are bytes."""
+    import tiktoken
 
-    def __init__(self, ranks: str, pattern: str):
-        self.coder = Coder(ranks)
-        self.ids = Lookup(pattern, self._encode, "")
-        self.odd: dict[str, bytes] = {}
+    probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    return bytes(probe.encode_ordinary(text)).decode()
 
-    def _encode(self, words: list[str]) -> list[str]:
-        coded = self.coder.code([word.encode() for word in words])
-        # decoding gives a word back; were it otherwise, the bytes it gives are what counts
-        self.odd.update((word, decoded) for word, (_, decoded) in zip(words, coded) if decoded != word.encode())
-        return [ids for ids, _ in coded]
 
-    def decoded(self, text: str) -> bytes:
-        return b"".join(self.odd.get(word, word.encode()) for word in self.ids.cut.findall(text)) if self.odd else text.encode()
+#: Look-ups of this Python worker, which Spark uses for many tasks: ids as text and decoded bytes of a word.
+_LOOKUPS: dict[tuple[str, str], Lookup] = {}
 
 
-#: Look-ups of this Python worker, which Spark uses for many tasks.
-_LOOKUPS: dict[tuple[str, str], Lookups] = {}
+def _lookup(ranks: str, pattern: str) -> Lookup:
+    if (ranks, pattern) not in _LOOKUPS:
+        coder = Coder(ranks)
+        _LOOKUPS[ranks, pattern] = Lookup(pattern, lambda words: coder.code([word.encode() for word in words]), odd=stand_ins(_library_matches))
+    return _LOOKUPS[ranks, pattern]
 
 
 def encode_texts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,14 +147,13 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_i
     """
 
     def run(batches):
-        if (ranks, pattern) not in _LOOKUPS:
-            _LOOKUPS[ranks, pattern] = Lookups(ranks, pattern)
-        lookups = _LOOKUPS[ranks, pattern]
+        lookup = _lookup(ranks, pattern)
         for batch in batches:
             ids, decoded = [], []
             for portion in portions([blob.decode() for blob in blobs(batch, "_text")]):
-                ids += [found[1:] for found in lookups.ids.of(portion)]
-                decoded += map(lookups.decoded, portion)
+                for coded in lookup.values(portion):
+                    ids.append("".join([word[0] for word in coded])[1:])
+                    decoded.append(b"".join([word[1] for word in coded]))
             counts = [found.count(" ") + 1 if found else 0 for found in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())],
                                              [doc_id, "n_tokens", "ids", "decoded"])

@@ -14,6 +14,8 @@ most ``capacity`` lengths, so the plan is made on the driver from a histogram of
 The plan says, for a length and a range of ranks, which sequences the pieces take. Ranks come from a window over (length, salt)
 with offsets of the salts, so a length that a third of all pieces has is numbered by many tasks.
 
+The string of a special token in a text gets that token's id, as the tokenizer gives it.
+
 Defined results: a null or empty text is one piece, the end id alone; a null id is kept, and so are repeated rows, each with
 pieces of its own; an empty table gives an empty result; other columns are left alone.
 """
@@ -21,6 +23,7 @@ pieces of its own; an empty table gives an empty result; other columns are left
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.text import blobs, table
-from chronoweave.llm.tokens import Lookup, portions
+from chronoweave.llm.tokens import Lookup, portions, stand_ins
 from chronoweave.session import cut_lineage
 
 CAPACITY = 1024
@@ -218,23 +221,37 @@ def configurations(sizes: list[int], counts: list[int], capacity: int, rounds: i
 
 
 #: Look-ups of this Python worker, which Spark uses for many tasks.
-_LOOKUPS: dict[tuple[str, str], Lookup] = {}
+_LOOKUPS: dict[tuple[str, str], Callable[[list[str]], list[bytes]]] = {}
 
 
-def _lookup(path: str, pattern: str) -> Lookup:
+def _lookup(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     if (path, pattern) not in _LOOKUPS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        special = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
 
         def encode(words: list[str]) -> list[bytes]:
             return [np.array(found.ids, "<u4").tobytes() for found in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        _LOOKUPS[path, pattern] = Lookup(pattern, encode, b"")
+        def matches(kind: str, text: str) -> str:
+            return "".join(part for part, _ in Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(text))
+
+        lookup = Lookup(pattern, encode, b"", stand_ins(matches))
+
+        def ids_of(texts: list[str]) -> list[bytes]:
+            """By words; a text that holds the string of a special token goes to the tokenizer as it is."""
+            whole = {i: text for i, text in enumerate(texts) if any(token in text for token in special)}
+            found = lookup.of(["" if i in whole else text for i, text in enumerate(texts)])
+            for i, text in whole.items():
+                found[i], = encode([text])
+            return found
+
+        _LOOKUPS[path, pattern] = ids_of
     return _LOOKUPS[path, pattern]
 
 
@@ -252,7 +269,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 2, capa
             rows: list[int] = []
             done = 0
             for portion in portions([blob.decode() for blob in blobs(batch, "_text")]):
-                for row, ids in enumerate(lookup.of(portion), done):
+                for row, ids in enumerate(lookup(portion), done):
                     ids += end
                     n = len(ids) // 4
                     first = n % capacity or capacity

@@ -33,18 +33,47 @@ class Memo(dict):
             self.update(zip(new, self.work_out(new)))
 
 
+#: Code points of the planes that hold assigned characters; private and empty planes are left out.
+PLANES = (range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE1000))
+#: The classes that patterns use, each with a character that stands for its members.
+CLASSES = {r"\p{L}": "é", r"\p{N}": "1", r"\s": " "}
+
+
+def stand_ins(matches: Callable[[str, str], str]) -> dict[int, str]:
+    """Characters that a library counts to another class than ``regex`` does, as their Unicode versions differ, and what stands for them.
+
+    ``matches(class, text)`` gives the characters of a text that the library's own expressions find.
+    """
+    every = "".join(map(chr, (c for plane in PLANES for c in plane)))
+    theirs = {name: set(matches(name, every)) for name in CLASSES}
+    odd = set().union(*(theirs[name] ^ set(regex.findall(name, every)) for name in CLASSES))
+    return {ord(c): next((sign for name, sign in CLASSES.items() if c in theirs[name]), "!") for c in odd}
+
+
 class Lookup:
-    """``encode`` maps words to values that concatenate (str or bytes); ``of`` gives each text's value."""
+    """``encode`` maps words to values; ``values`` gives those of each text in order, ``of`` joins them (str or bytes).
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], Iterable], empty: str | bytes):
+    ``odd`` are stand-ins: a text with such characters is cut by their stand-ins' places.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], Iterable], empty: str | bytes = "", odd: dict[int, str] | None = None):
         # alternatives that begin with an apostrophe cannot match where a run of letters does, so the frequent runs are tried first
-        self.cut = regex.compile(rf" ?\p{{L}}++|{pattern}" if pattern.startswith("'") else pattern)
-        self.empty, self.words = empty, Memo(encode)
+        self.pattern = regex.compile(rf" ?\p{{L}}++|{pattern}" if pattern.startswith("'") else pattern)
+        self.empty, self.words, self.odd = empty, Memo(encode), odd or {}
+        self.is_odd = regex.compile(f"[{''.join(map(regex.escape, map(chr, sorted(self.odd))))}]").search if self.odd else lambda text: None
 
-    def of(self, texts: list[str]) -> list:
-        parts = [self.cut.findall(text) for text in texts]
+    def cut(self, text: str) -> list[str]:
+        if text.isascii() or not self.is_odd(text):
+            return self.pattern.findall(text)
+        return [text[slice(*found.span())] for found in self.pattern.finditer(text.translate(self.odd))]
+
+    def values(self, texts: list[str]) -> list[list]:
+        parts = list(map(self.cut, texts))
         self.words.learn(set().union(*parts))
-        return [self.empty.join(map(self.words.__getitem__, words)) for words in parts]
+        return [list(map(self.words.__getitem__, words)) for words in parts]
+
+    def of(self, texts: list[str]) -> list:
+        return list(map(self.empty.join, self.values(texts)))
 
 
 def portions(texts: list[str], size: int = 4 << 20) -> Iterable[list[str]]:

@@ -57,13 +57,18 @@ def test_configurations_stay_within_counts():
     assert all(sum(n * s for n, s in zip(pattern, [700, 500, 300])) <= 1024 for pattern, _ in chosen)
 
 
+def odd_texts(rng, count=60):
+    """Characters that only newer Unicode versions know, odd white space and strings of special tokens."""
+    signs = ["\ua7d2", "\ua7d3", "\u1c89", "\U00010d40", "\u2003", "\x1c", "\x85", "a", "é", "1", " ", "'s", "!", "\n", "<|endoftext|>"]
+    return ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(count)]
+
+
 def test_packing_matches_tokenizer(spark, folder):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rng = random.Random(2)
-    texts = [None, "", "<|endoftext|>", "a  b\n\n c", "é🎉 it's", "one two three " * 900] + [" ".join(rng.choices(["the", "xq", "zu9", "\n"], k=rng.randint(1, 700))) for _ in range(60)]
+    texts = [None, "", "<|endoftext|>", "a <|endoftext|>b <|endoftext|> c", *odd_texts(rng), "a  b\n\n c", "é🎉 it's", "one two three " * 900] + [" ".join(rng.choices(["the", "xq", "zu9", "\n"], k=rng.randint(1, 700))) for _ in range(60)]
     rows = packing.op2_best_fit_packing(spark, folder(*enumerate(texts), (0, None), (None, "x"))).collect()
     ids = {i: tokenizer.encode(text or "", add_special_tokens=False).ids + [2] for i, text in [*enumerate(texts), (None, "x")]}
     want = Counter()

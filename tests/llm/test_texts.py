@@ -127,6 +127,8 @@ def test_bpe_equals_tiktoken(spark, folder):
     rng = random.Random(3)
     texts = [None, "", " ", "a  b\n\n c\t", "It's the IT'S <|endoftext|>", "x" * 3000, "ab" * 400, "日本語 ñandú 🎉🎉", "\x1c\x85　 ", "word " * 20_000]
     texts += ["".join(rng.choice("ab \n\t'sIt12.é中 \r") for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    signs = ["\ua7d2", "\ua7d3", "\u1c89", "\U00010d40", "\u2003", "\x1c", "\x85", "a", "é", "1", " ", "'s", "!", "\n", "<|endoftext|>"]
+    texts += ["".join(rng.choices(signs, k=rng.randint(1, 30))) for _ in range(60)]
     rows = bpe.op5_bpe(spark, folder(*enumerate(texts), (0, None))).collect()
     assert len(rows) == len(texts) + 1
     for row in rows:
@@ -145,6 +147,14 @@ def test_bpe_query_and_heap_agree():
     assert coder.code(words) == [coder._by_heap(word) for word in words]
 
 
+def test_bpe_decodes_from_ids_not_from_the_text():
+    """A wrong id must show in the decoded bytes."""
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    coder = bpe.Coder(path)
+    coder.base.execute("UPDATE vocabulary SET digits = '21' WHERE bytes = 'a'::BLOB")
+    assert coder.code([b"a"]) == [(f" {coder.ranks[b'a']}", b"!")]
+
+
 def test_memo_forgets_without_changing_results():
     from chronoweave.llm.tokens import Lookup
 
