@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter, defaultdict
 from functools import cache
 from html.parser import HTMLParser
 
@@ -30,13 +31,19 @@ from chronoweave.llm.text import blobs, table
 
 PAGES, ROUNDS, DEPTH, RATE, BINS = 400, 40, 4, 0.3, 32
 
-#: Elements without content or whose content is no text of the page.
+#: Elements without content, and those whose content is no text of the page: code, the head, form controls, and frames.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style noscript template svg math iframe object canvas audio video select option textarea button title datalist".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+CONTROLS = set("select option textarea button datalist".split())
+HIDDEN = CONTROLS | set("head script style template iframe title".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup svg time tt u var wbr "
+             "math mfrac mi mn mo mover mroot mrow ms mspace msqrt msub msubsup msup mtext munder munderover semantics annotation".split())
 #: A paragraph ends where one of these begins.
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav "
              "ol p pre section table ul li dd dt".split())
+#: A form control that was not closed ends where one of these begins.
+ENDS_CONTROL = set("article aside blockquote figure footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
+#: Elements that no paragraph reaches out of.
+HOLDS_P = ("div", "article", "section", "td", "th", "li", "main", "aside", "blockquote", "form", "header", "footer", "nav")
 #: An open element of the key's kind ends where such an element begins, up to the nearest of the list that holds them.
 ENDS_LIKE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 TAGS = {tag: i for i, tag in enumerate(
@@ -46,7 +53,13 @@ _TOKEN = re.compile(r"[a-z]+")
 
 
 class Tree(HTMLParser):
-    """Block nodes in page order: parent, tag, attribute tokens, depth; for text nodes the text and its share of links."""
+    """Block nodes in page order: parent, tag, attribute tokens, depth; for text nodes the text and its share of links.
+
+    Every tag costs a bounded number of steps, however deep the page: open blocks are found by the places of their names, and
+    open inline elements are counted per block. Hidden elements end with their end tag, or with the block that they stand in.
+    """
+
+    RCDATA_CONTENT_ELEMENTS = ()  # an unclosed text field or title must not swallow the page
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -54,8 +67,10 @@ class Tree(HTMLParser):
         self.text: dict[int, str] = {}
         self.link_chars: dict[int, int] = {}
         self.tags_below = [0]
-        self.open: list[tuple[str, int]] = [("html", 0)]  # inline elements have the node they stand in
+        self.open: list[tuple[str, int, Counter]] = [("html", 0, Counter())]  # name, node and open inline elements of a block
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.hidden: list[str] = []
+        self.in_hidden: Counter = Counter()
         self.parts: list[str] = []
         self.linked = self.in_link = 0
 
@@ -79,25 +94,33 @@ class Tree(HTMLParser):
 
     def _close_to(self, at: int) -> None:
         self._flush()
-        for tag, _ in self.open[at:]:
-            self.in_link -= tag == "a"
-        del self.open[at:]
-
-    def _last(self, tag: str, stop: tuple[str, ...] | set[str]) -> int:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                return i
-            if self.open[i][0] in stop:
-                return 0
-        return 0
+        while len(self.open) > at:
+            tag, _, inline = self.open.pop()
+            self.places[tag].pop()
+            self.in_link -= inline["a"]
+
+    def _place(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def _last(self, tag: str, stop: tuple[str, ...]) -> int:
+        """Place of the innermost open ``tag``, 0 if there is none within the innermost of ``stop``."""
+        at = self._place(tag)
+        return at if at and at >= max(map(self._place, stop)) else 0
+
+    def _show(self) -> None:
+        self.hidden.clear()
+        self.in_hidden.clear()
 
     def handle_starttag(self, tag, attrs):
-        if self.hidden:
-            if tag in HIDDEN and tag not in VOID:
-                self.hidden.append(tag)
-            return
-        if tag in HIDDEN:
-            self.hidden.append(tag)
+        if self.hidden and tag in ENDS_CONTROL and CONTROLS.issuperset(self.hidden[:1]):
+            self._show()
+        if self.hidden or tag in HIDDEN:
+            if tag in HIDDEN:
+                if tag not in CONTROLS or self.hidden[-1:] != [tag]:  # a control ends an open one of its kind
+                    self.hidden.append(tag)
+            elif tag not in VOID:
+                self.in_hidden[tag] += 1
             return
         self.tags_below[self.open[-1][1]] += 1
         if tag in ("html", "body"):
@@ -106,10 +129,10 @@ class Tree(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             elif tag not in VOID:
-                self.open.append((tag, self.open[-1][1]))
+                self.open[-1][2][tag] += 1
                 self.in_link += tag == "a"
             return
-        if tag in ENDS_P and (at := self._last("p", {"div", "article", "section", "td", "th", "li", "main", "aside", "blockquote", "form", "header", "footer", "nav"})):
+        if tag in ENDS_P and (at := self._last("p", HOLDS_P)):
             self._close_to(at)
         if tag in ENDS_LIKE and (at := self._last(tag, ENDS_LIKE[tag])):
             self._close_to(at)
@@ -121,7 +144,8 @@ class Tree(HTMLParser):
         tokens = tuple(_TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))
         if "hidden" in held or "display:none" in (held.get("style") or "").replace(" ", ""):
             tokens += ("hidden",)
-        self.open.append((tag, self._node(tag, tokens, held.get(LABEL))))
+        self.places[tag].append(len(self.open))
+        self.open.append((tag, self._node(tag, tokens, held.get(LABEL)), Counter()))
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID or tag not in HIDDEN:
@@ -129,21 +153,23 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.hidden:
-            if tag in self.hidden:
-                del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag):]
-            elif tag == "html" or tag == "body":
-                self.hidden.clear()
-            return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                if tag in INLINE:
-                    self.in_link -= tag == "a"
-                    del self.open[i]
-                else:
-                    self._close_to(i)
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+            if tag in HIDDEN:
+                if tag in self.hidden[-8:] or tag == self.hidden[0]:  # deeper ones end with the outermost
+                    while self.hidden.pop() != tag:
+                        pass
+            elif self.in_hidden[tag]:
+                self.in_hidden[tag] -= 1
+            elif tag in ("html", "body") or self._place(tag):
+                self._show()
+            if not self.hidden:
+                self.in_hidden.clear()
+        if not self.hidden:
+            inline = self.open[-1][2]
+            if tag in INLINE and inline[tag]:
+                inline[tag] -= 1
+                self.in_link -= tag == "a"
+            elif at := self._place(tag):
+                self._close_to(at)
 
     def handle_data(self, data):
         if not self.hidden:
@@ -155,6 +181,8 @@ class Tree(HTMLParser):
 def parse(html: str) -> Tree:
     tree = Tree()
     tree.feed(html)
+    if tree.rawdata.startswith("<!--"):  # a comment that is not closed reaches to the end of the page
+        tree.rawdata = ""
     tree.close()
     tree._flush()
     return tree

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -155,6 +156,27 @@ def test_extraction_of_layouts(spark, frame, tmp_path):
     assert texts[3] == texts[4] == texts[None] == ""
 
 
+def test_broken_markup_hides_nothing_else():
+    texts = lambda html: [*extraction.parse(html).text.values()]
+    assert texts("<p>Formula <math><mi>x</mi></math> end</p>") == ["Formula x end"]
+    for control in ("button", "textarea", "select"):
+        assert texts(f"<div><p>one <{control}>Share</p><p>two</p></div>three") == ["one", "two", "three"]
+        assert texts(f"<article><{control}>Share<p>one</p><p>two</p></article>") == ["one", "two"]
+    assert texts("<div>a<button><div>b</div></button>c</div>") == ["a c".replace(" ", "")]
+    assert texts("<template><p>no</p></template><object><p>yes</p></object>") == ["yes"]
+    assert texts("<p>one</p><!-- <p>two</p> three") == ["one"]
+    assert texts("<script>if (a</b>) x</script><p>a<b>b</i>c</b> d") == ["abc d"]
+    assert texts("<div><p>a<a href=x>b</p>c</a></div>") == ["ab", "c"]
+
+
+@pytest.mark.parametrize("opened, closed", [("<div>", "</p>"), ("<b>", "</i>"), ("<ul>", "<p>"), ("<i><b>", "</i>"), ("<button>", "</select>"), ("<p><div><ul>", "<li>")])
+def test_very_long_pages_of_open_tags(opened, closed):
+    n = 1_000_000 // len(opened + closed)
+    start = time.process_time()
+    tree = extraction.parse(opened * n + closed * n + "</button>the end")
+    assert time.process_time() - start < 30 and " ".join(tree.text.values()) == "the end"
+
+
 def test_extraction_on_pages_it_was_not_trained_on():
     model, right = extraction.trained(), 0
     pages = extraction.sample_pages(100, 99)
