@@ -218,42 +218,27 @@ def test_ordinal_fit_shares_weights():
 # language model
 
 
-def test_lm_matches_plain_counts(spark, frame, folder, monkeypatch):
-    monkeypatch.setattr(lm, "VOCABULARY", 5)
-    monkeypatch.setattr(lm, "BIGRAMS", 6)
+def test_lm_matches_plain_counts(spark, frame, folder):
     texts = {1: "a b a b c", 2: "a b c d e f", 3: "b c b c b c", 4: "x y z", 5: "", 6: None, 7: "a B, a-b"}
     labels = frame([(1, 1, 0), (7, 1, 0), (3, 0, 0), (4, 1, 1), (None, 1, 0)], ("doc_id", LONG), ("quality", INT), ("toxic", INT))
     rows = by_id(lm.op4_lm_scoring(spark, folder(*texts.items(), (None, "a b"), labels=labels)))
     words = {i: letter_words((text or "").encode()) for i, text in [*texts.items(), (None, "a b")]}
-    counts = Counter(w for held in words.values() for w in held)
-
-    def least(counter, most):
-        cut = max(counter.values()) + 1
-        for value in sorted(set(counter.values()), reverse=True):
-            if sum(n >= value for n in counter.values()) > most:
-                break
-            cut = value
-        return {key for key, n in counter.items() if n >= cut}
-
-    vocabulary = least(counts, 5)
     pairs = lambda held: list(zip([None, *held], held))
-    known = {i: [w if w in vocabulary else b"?" for w in held] for i, held in words.items()}
-    background, target = Counter(p for held in known.values() for p in pairs(held)), Counter(p for i in (1, 7) for p in pairs(known[i]))
-    kept = least(background, 6)
-    size = len(vocabulary) + 2
+    background, target = Counter(p for held in words.values() for p in pairs(held)), Counter(p for i in (1, 7) for p in pairs(words[i]))
+    size = len({w for held in words.values() for w in held}) + 2
 
     def loss(seen, scale, held):
         single, first = Counter(), Counter()
         for (_, w), n in seen.items():
             single[w] += n
         for (v, w), n in seen.items():
-            first[v] += n if (v, w) in kept else 0
+            first[v] += n
         total = sum(single.values())
         prior = lambda w: (single[w] * scale + lm.ALPHA / size) / (total * scale + lm.ALPHA)
-        return np.mean([-np.log(((seen[p] if p in kept else 0) * scale + lm.MU * prior(p[1])) / (first[p[0]] * scale + lm.MU)) for p in pairs(held)])
+        return np.mean([-np.log((seen[p] * scale + lm.MU * prior(p[1])) / (first[p[0]] * scale + lm.MU)) for p in pairs(held)])
 
     scale = sum(target.values()) / sum(background.values())
-    for i, held in known.items():
+    for i, held in words.items():
         if not held:
             assert rows[i]["n_tokens"] == 0 and rows[i]["score"] is None
             continue
