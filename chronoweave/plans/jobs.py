@@ -33,12 +33,13 @@ def _write_all(bundle, path: str) -> None:
 
 # --- bars -----------------------------------------------------------------------------------------------
 
-def convert_vendor_file(spark: SparkSession, path: str, out: str, audit: str, *, source: str, symbol: str, options: Mapping[str, str] | None = None, **facts) -> DataFrame:
+def convert_vendor_file(spark: SparkSession, path: str, out: str, audit: str, about: bars.Provenance, *, options: Mapping[str, str] | None = None,
+                        mapping: Mapping[str, str] | None = None, date_format: str | None = None, strict: bool = True) -> DataFrame:
     """Vendor CSV to canonical bars, partitioned by entity, plus an audit row."""
     raw = spark.read.options(**{"header": "true", **(options or {})}).csv(path)
     if raw.isEmpty():
         raise ContractError(f"input is empty: {path}")
-    clean, record = bars.convert_bars(raw, source=source, symbol=symbol, **facts)
+    clean, record = bars.convert_bars(raw, about, mapping, date_format=date_format, strict=strict)
     store.replace_partitions(clean, out, "entity", schemas.DAILY_BARS)
     _append(record, audit)
     return clean
@@ -108,7 +109,7 @@ def build_motion(daily: DataFrame, network_tables: NetworkTables, out: str, *, a
     provenance = {}
     rows = daily
     if audit is not None:
-        latest = first_per_key(audit, ["symbol"], [-F.unix_micros("created_at")]).select(
+        latest = first_per_key(audit.select("provenance.*", "converted_at"), ["symbol"], [-F.unix_micros("converted_at")]).select(
             F.col("symbol").alias("entity"), *[F.col(n).alias(f"_{n}") for n in ("source", "market", "adjustment", "volume_unit")])
         rows = daily.join(latest, "entity", "left")
         provenance = {n: F.col(f"_{n}") for n in ("source", "market", "adjustment", "volume_unit")}

@@ -136,12 +136,14 @@ def test_vendor_rows_localised_units_duplicates_and_order(spark):
 def test_strict_clean_up_and_gates(spark):
     raw = spark.createDataFrame([("2026-01-01", "10", "9", "8", "9.5", "1")], "date string, open string, high string, low string, close string, vol string")
     with pytest.raises(ContractError, match="contradict"):
-        source.convert_bars(raw, source="s", symbol="X")
-    bars, audit = source.convert_bars(raw, source="s", symbol="X", strict=False)
-    assert bars.isEmpty() and audit.first()["broken_rows"] == 1
+        source.convert_bars(raw, source.Provenance("s", "X"))
+    bars, audit = source.convert_bars(raw, source.Provenance("s", "X"), strict=False)
+    row = audit.first()
+    assert bars.isEmpty() and row["broken_rows"] == 1 and row["findings"] == [("broken_rows", 1)]
+    assert row["provenance"]["symbol"] == "X" and ("volume", "vol") in row["headers"]
     for bad in ({"frequency": "5m"}, {"source": " "}, {"symbol": ""}):
         with pytest.raises(ContractError):
-            source.convert_bars(raw, **({"source": "s", "symbol": "X"} | bad))
+            source.Provenance(**({"source": "s", "symbol": "X"} | bad))
 
 
 def test_header_resolution():

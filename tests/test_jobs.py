@@ -13,6 +13,7 @@ from chronoweave.operators import evidence
 from chronoweave.plans import jobs
 from chronoweave.sources import minutes
 from chronoweave.sources import tables as store
+from chronoweave.sources.bars import Provenance
 from chronoweave.streaming import pipelines, status
 
 N = schemas.NETWORK
@@ -170,8 +171,8 @@ def test_bar_jobs(spark, tmp_path):
     folder = tmp_path / "vendor.csv"
     folder.write_text("date,open,high,low,close,volume\n" + "".join(f"2026-01-{d:02d},10,11,9,10.{d},1k\n" for d in range(1, 29)))
     out, audit = str(tmp_path / "bars"), str(tmp_path / "audit")
-    jobs.convert_vendor_file(spark, str(folder), out, audit, source="feed", symbol="X", market="m", adjustment="none", volume_unit="lot")
-    jobs.convert_vendor_file(spark, str(folder), out, audit, source="feed", symbol="X", market="m", adjustment="none", volume_unit="lot")
+    jobs.convert_vendor_file(spark, str(folder), out, audit, Provenance("feed", "X", market="m", adjustment="none", volume_unit="lot"))
+    jobs.convert_vendor_file(spark, str(folder), out, audit, Provenance("feed", "X", market="m", adjustment="none", volume_unit="lot"))
     daily = spark.read.parquet(out)
     assert daily.count() == 28 and spark.read.parquet(audit).first()["output_rows"] == 28
     bundle = store.NetworkTables.of(
