@@ -60,10 +60,10 @@ class Lookup:
         # alternatives that begin with an apostrophe cannot match where a run of letters does, so the frequent runs are tried first
         self.pattern = regex.compile(rf" ?\p{{L}}++|{pattern}" if pattern.startswith("'") else pattern)
         self.empty, self.words, self.odd = empty, Memo(encode), odd or {}
-        self.is_odd = regex.compile(f"[{''.join(map(regex.escape, map(chr, sorted(self.odd))))}]").search if self.odd else lambda text: None
+        self.odd_ones = frozenset(map(chr, self.odd))  # thousands; a matcher's class of them is searched one by one
 
     def cut(self, text: str) -> list[str]:
-        if text.isascii() or not self.is_odd(text):
+        if text.isascii() or self.odd_ones.isdisjoint(set(text)):
             return self.pattern.findall(text)
         return [text[slice(*found.span())] for found in self.pattern.finditer(text.translate(self.odd))]
 
