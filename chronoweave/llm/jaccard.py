@@ -14,12 +14,13 @@ again, among themselves and with all their shingles. Of two similar sets the one
 shingles, so it finds the other through one that is not hot, unless less than a seventh of it is wording of its own: a text's
 rare shingles decide, however common the rest is. Texts with so little of their own, as members of a large group of near
 copies, are checked against the member with most hot signatures, and only where that leaves parts unconnected, each looks for
-larger partners in other parts, in as few of its smallest groups as a partner cannot miss; the largest part does not look
-within itself. There the counts in bins are compared tile by tile inside the tasks, which give out only pairs that these cannot
-rule out. No link is lost, and a group of near copies costs as many checks as it has members.
+larger partners in other parts, in as few of its smallest groups as a partner cannot miss, and in one of the groups that have the
+same members; the largest part does not look within itself. There sketches (which bins hold an odd number of shingles) are
+compared tile by tile inside the tasks, which give out only pairs that these cannot rule out. No link is lost, and a group of near
+copies costs as many checks as it has members.
 
 Equal texts count as one node (a 64-bit hash; if two different texts share it, all hashes are salted anew). Candidate pairs
-that counts in bins cannot rule out are checked on the whole texts: one partner of each text first, then the pairs that
+that sketches cannot rule out are checked on the whole texts: one partner of each text first, then the pairs that
 this leaves unconnected.
 
 Defined results: a null text, or one without words, has no shingles, links with nothing and is its own component; a null id
@@ -128,22 +129,18 @@ def _share(held: np.ndarray) -> int:
 
 
 def sketch(held: np.ndarray) -> bytes:
-    """How many shingles fall into each of 64 or more bins, a power of two near half the set's size; at most 255 count.
+    """Whether the shingles that fall into each of 512 or more bins, a power of two four to eight times the set's size, are odd in number.
 
-    The absolute differences between the bins of two sets add up to no more than the number of shingles in which they differ.
+    Two sets differ in no fewer shingles than bins, for what both have adds up to an even number in every bin.
     """
-    bins = max(64, 1 << max(0, len(held) // 2 - 1).bit_length())
-    return np.minimum(np.bincount((held & _U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+    bins = 8 * max(64, 1 << max(0, len(held) // 2 - 1).bit_length())
+    return np.packbits(np.bincount((held & _U(bins - 1)).astype(np.int64), minlength=bins) & 1, bitorder="little").tobytes()
 
 
 def differ_at_least(left: bytes, right: bytes) -> int:
     """A lower bound of the shingles in which two sets differ, from their sketches; the finer one is folded."""
-    x, y = sorted((np.frombuffer(s, np.uint8).astype(np.int64) for s in (left, right)), key=len)
-    if len(x) < len(y):
-        if y.max() == 255 or x.max() == 255:
-            return 0
-        y = y.reshape(-1, len(x)).sum(0)
-    return int(np.abs(x - y).sum())
+    x, y = sorted((np.frombuffer(s, _U) for s in (left, right)), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x))) ^ x).sum())
 
 
 def _sized(batches):
@@ -183,13 +180,10 @@ def _plausible(batches):
 
 def _bounds(one: bytes, table: np.ndarray) -> np.ndarray:
     """``differ_at_least`` of a sketch and each row of a table of sketches."""
-    x, y = np.frombuffer(one, np.uint8).astype(np.int32), table.astype(np.int32)
-    full = (x.max() == 255) | (y.max(1) == 255) if len(x) != y.shape[1] else np.zeros(len(y), bool)
-    if len(x) < y.shape[1]:
-        y = y.reshape(len(y), -1, len(x)).sum(1)
-    elif len(x) > y.shape[1]:
-        x = x.reshape(-1, y.shape[1]).sum(0)
-    return np.where(full, 0, np.abs(y - x).sum(1))
+    x, y = np.frombuffer(one, _U), np.ascontiguousarray(table).view(_U)
+    least = min(len(x), y.shape[1])
+    x, y = np.bitwise_xor.reduce(x.reshape(-1, least)), np.bitwise_xor.reduce(y.reshape(len(y), -1, least), axis=1)
+    return np.bitwise_count(y ^ x).sum(1, dtype=np.int64)
 
 
 class _Side:
@@ -380,13 +374,18 @@ def _similar(docs: DataFrame, doc_id: str, text: str) -> tuple[int, DataFrame]:
         labels = components(links)
 
     # If no shingle that is not hot has found a larger partner of a text in a crowd, that partner is in one of any n_looks of its
-    # hot groups, so the smallest ones are enough. Texts of the largest part look among the texts outside it only.
+    # hot groups, so the cheapest ones are enough. Groups of the same members count as one class, of as many groups: a text looks
+    # into one of them, and pairs do not come out of every shingle of a passage. Texts of the largest part look outside it only.
     parted = cut_lineage(hot.join(labels, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part")))
-    groups = cut_lineage(parted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), (F.min("part") < F.max("part")).alias("mixed")))
+    same = [F.bit_xor(F.xxhash64(F.lit(seed), "node")).alias(f"of_{seed}") for seed in (0, 1)]  # 128 bits that stand for the members
+    alike = parted.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), (F.min("part") < F.max("part")).alias("mixed"), *same)
+    groups = cut_lineage(alike.groupBy("members", "of_0", "of_1").agg(F.min("sig").alias("sig"), F.count(F.lit(1)).alias("weight"), F.first("mixed").alias("mixed")))
     if not groups.filter("mixed").isEmpty():
         largest = parted.select("node", "part").distinct().groupBy("part").count().agg(F.max_by("part", F.struct("count", "part")).alias("largest")).first()["largest"]
-        place = F.row_number().over(Window.partitionBy("node").orderBy("members", "sig"))  # a text's own shingles only
-        chosen = crowds.select("sig", "node", "n_looks").join(groups, "sig").withColumn("place", place).filter("place <= n_looks AND mixed").select("sig", "node")
+        cheapest = Window.partitionBy("node").orderBy(F.expr("members / least(weight, n_looks)"), "sig")  # a text's own shingles only
+        before = F.coalesce(F.sum("weight").over(cheapest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        classes_of = crowds.select("sig", "node", "n_looks").join(groups, "sig").withColumn("before", before)
+        chosen = classes_of.filter("before < n_looks AND mixed").select("sig", "node")
         looking = cut_lineage(chosen.join(parted, ["sig", "node"]))
         side = lambda count: F.ceil(F.col(count) / TILE).cast("int")
         met = cut_lineage(looking.groupBy("sig").agg(F.count(F.lit(1)).alias("lookers")).join(groups, "sig").select("sig", side("lookers").alias("rows"), side("members").alias("columns")))

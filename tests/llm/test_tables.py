@@ -297,6 +297,30 @@ def test_jaccard_line_in_common_makes_no_candidates(spark, documents, monkeypatc
     assert all(frame.count() == 0 for frame in written if frame.columns == ["a", "b"])
 
 
+def test_jaccard_passage_is_looked_into_once(spark, documents, monkeypatch):
+    """All shingles of a passage have the same texts: each text looks for partners under one of them, not under several."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    short = [f"{passage} own{i} other{i} third{i}" for i in range(40)]
+    longer = [" ".join([passage, *(f"l{i}x{j}" for j in range(20))]) for i in range(40)]
+    written = []
+    real = jaccard.cut_lineage
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda frame: written.append(real(frame)) or written[-1])
+    texts = dict(enumerate(short + longer))
+    got = {row["doc_id"]: (row["n_shingles"], row["component_id"]) for row in jaccard.similar_documents(documents(*texts.items())).collect()}
+    assert got == brute_components(texts)
+    parted, looking = (frame for frame in written if frame.columns == ["sig", "node", "n", "part"])
+    assert looking.count() == looking.select("node").distinct().count() == len(short)
+
+
+def test_sketches_rule_out_most_pairs_that_are_not_similar():
+    rng = np.random.default_rng(6)
+    for size in (60, 300, 3000):
+        full = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for differing in (0.22, 0.3, 1):  # of each; a seventh is what similar sets may have
+            other = np.concatenate([full[int(differing * size):], rng.integers(0, 2**63, int(differing * size)).astype(np.uint64)])
+            assert 7 * jaccard.differ_at_least(jaccard.sketch(full), jaccard.sketch(other)) > len(full) + len(other)
+
+
 def test_bounds_of_tables_are_those_of_pairs():
     rng = np.random.default_rng(8)
     for sizes in ((100, 100), (100, 400), (400, 100), (5000, 5000)):
