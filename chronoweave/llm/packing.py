@@ -28,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.llm.text import blobs, table
-from chronoweave.llm.tokens import Lookup, portions, stand_ins
+from chronoweave.llm.tokens import SPACED, Lookup, PartLookup, every_character, portions, stand_ins
 from chronoweave.session import cut_lineage
 
 CAPACITY = 1024
@@ -241,10 +242,27 @@ def _lookup(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
         def matches(kind: str, text: str) -> str:
             return "".join(part for part, _ in Split(Regex(kind + "+"), "removed", invert=True).pre_tokenize_str(text))
 
-        lookup = Lookup(pattern, encode, b"", stand_ins(matches))
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)  # bytes that an id stands for
+        width[list(vocabulary.values())] = list(map(len, vocabulary))
+
+        def cut(parts: list[str], ids: bytes) -> list[bytes] | None:
+            """The ids of each part of a text: those that stand for its bytes."""
+            ends = np.cumsum(pc.binary_length(pa.array(parts, pa.large_string())).to_numpy())
+            reached = np.cumsum(width[np.frombuffer(ids, "<u4")])
+            at = np.searchsorted(reached, ends)
+            if at[-1] >= len(reached) or (reached[at] != ends).any():
+                return None
+            places = [0, *(4 * at + 4).tolist()]
+            return [ids[a:b] for a, b in zip(places, places[1:])]
+
+        if pattern in SPACED and not any(" " in token for token in special):
+            lookup = PartLookup(encode, cut, matches(r"\s", every_character()))
+        else:
+            lookup = Lookup(pattern, encode, b"", stand_ins(matches))
 
         def ids_of(texts: list[str]) -> list[bytes]:
-            """By words; a text that holds the string of a special token goes to the tokenizer as it is."""
+            """By parts or words; a text that holds the string of a special token goes to the tokenizer as it is."""
             whole = {i: text for i, text in enumerate(texts) if any(token in text for token in special)}
             found = lookup.of(["" if i in whole else text for i, text in enumerate(texts)])
             for i, text in whole.items():

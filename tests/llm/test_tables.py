@@ -94,6 +94,29 @@ def test_packing_matches_tokenizer(spark, folder):
 # archives
 
 
+def test_ids_of_parts_are_those_of_whole_texts():
+    """White space of all kinds beside spaces, characters of other classes, and more parts than are kept."""
+    from tokenizers import Tokenizer
+
+    from chronoweave.llm.tokens import PartLookup
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(19)
+    signs = [" "] * 6 + ["\n", "\t", "a", "é", "'s", "'", "1", "!", "中", "x'll", " \n", "  ", "\u0301", "\ua7cb", "\u1c89", "\u180e", "\x1c", "\x85", "\xa0", "\u3000", "b" * 70]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3000)] + ["", " ", "a <|endoftext|> b"]
+    packing._LOOKUPS.clear()
+    held = packing._lookup(path, tokenizers.PATTERN)
+    looked = [cell.cell_contents for cell in held.__closure__ if isinstance(cell.cell_contents, PartLookup)]
+    assert len(looked) == 1
+    looked[0].parts.size = 50
+    whole = [np.array(found.ids, "<u4").tobytes() for found in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    try:
+        for _ in range(2):
+            assert [ids for at in range(0, len(texts), 100) for ids in held(texts[at:at + 100])] == whole
+    finally:
+        packing._LOOKUPS.clear()
+
+
 def pages_of(frame, rows):
     return frame([(*row, "x", 1) for row in rows], ("page_id", LONG), ("url", TEXT), ("html", TEXT), ("_digest", TEXT), ("record_type", INT))
 
