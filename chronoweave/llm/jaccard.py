@@ -30,8 +30,11 @@ result; other columns are left alone. Python tasks hold one batch and the shingl
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +48,8 @@ SHINGLE = 5
 GROUP = 16
 #: Spare signatures as a share of those that must be enumerated.
 SPARE = 0.3
+#: Texts whose words are hashed into shingles at once.
+BLOCK = 64
 #: Texts on either side of a tile.
 TILE = 2048
 #: Largest set of the first band, ratio of bands, and shingles per partition in the largest set of a band.
@@ -79,7 +84,41 @@ def shingles(words: list[bytes], known: WordHashes, length: int = SHINGLE) -> np
     total = np.full(len(words) - length + 1, length, _U)
     for i in range(length):
         total = mix(total * _U(0x9E3779B97F4A7C15) + hashes[i:len(words) - length + 1 + i])
-    return np.unique(total)
+    return distinct(total)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, as np.unique gives them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def sets(texts: list[bytes], known: WordHashes, length: int = SHINGLE) -> Iterable[np.ndarray]:
+    """``shingles`` of the plain words of each text, with a look at ``known`` per distinct word of all texts only."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+    coded = split.values.dictionary_encode()
+    names = pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.view(pa.large_binary()))
+    words = pc.binary_join(names, pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ")
+    every = np.fromiter(map(known.__getitem__, words), _U, len(words))[coded.indices.to_numpy()]
+    real = (pc.binary_length(coded.dictionary).to_numpy() > 0)[coded.indices.to_numpy()]  # white space at an end has an empty word beside it
+    bounds = np.append(0, np.cumsum(real))[split.offsets.to_numpy()].tolist()
+    every = every[real]
+    for start in range(0, len(texts), BLOCK):
+        starts, ends = bounds[start:start + BLOCK], bounds[start + 1:start + 1 + BLOCK]
+        held = every[starts[0]:ends[-1]]
+        total = np.full(max(0, len(held) - length + 1), length, _U)
+        for i in range(length):
+            total = mix(total * _U(0x9E3779B97F4A7C15) + held[i:len(total) + i])
+        for a, b in zip(starts, ends):
+            yield distinct(total[a - starts[0]:b - length + 1 - starts[0]]) if b - a >= length else _short(every[a:b])
+
+
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The set of a text with fewer words than a shingle has."""
+    total = np.full(min(1, len(hashes)), len(hashes), _U)
+    for one in hashes:
+        total = mix(total * _U(0x9E3779B97F4A7C15) + one)
+    return total
 
 
 def _band(size: int) -> int:
@@ -120,12 +159,16 @@ def signatures(held: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _share(held: np.ndarray) -> int:
-    """The second result of ``signatures``; sets of the first band alone need no signatures for it."""
-    size = len(held)
-    if size * 4 // 3 > FIRST:
-        return signatures(held)[1]
-    most, wanted, share = _enumerated(size, 0)
-    return min(share, min(wanted, size) - most)
+    """The second result of ``signatures``, for which the filled partitions need only be counted."""
+    size = least = len(held)
+    for band in sorted({_band(size), _band(size * 4 // 3)}):
+        most, wanted, share = _enumerated(size, band)
+        filled = size
+        if band:
+            place = mix(held ^ _U(0x5851F42D4C957F2D)) % _U(int(FIRST * RATIO**band / FILL))
+            filled = np.count_nonzero(np.bincount(place.astype(np.int64)))
+        least = min(least, share, min(wanted, filled) - most)
+    return least
 
 
 def sketch(held: np.ndarray) -> bytes:
@@ -148,8 +191,7 @@ def _sized(batches):
     known = WordHashes()
     for batch in batches:
         columns: list[list] = [[], [], []]
-        for blob in blobs(batch, "_text"):
-            held = shingles(plain_words(blob), known)
+        for held in sets(blobs(batch, "_text"), known):
             for column, value in zip(columns, (len(held), _share(held), sketch(held))):
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.binary()]
@@ -161,7 +203,7 @@ def _signed(sign):
     def run(batches):
         known = WordHashes()
         for batch in batches:
-            made = [sign(shingles(plain_words(blob), known)) for blob in blobs(batch, "_text")]
+            made = list(map(sign, sets(blobs(batch, "_text"), known)))
             nodes = np.repeat(batch.column(0).to_numpy(), [len(sigs) for sigs in made])
             sigs = np.concatenate(made).view(np.int64) if made else np.empty(0, np.int64)
             for start in range(0, len(sigs), 100_000):

@@ -353,6 +353,31 @@ def test_bounds_of_tables_are_those_of_pairs():
         assert jaccard._bounds(one, table).tolist() == [jaccard.differ_at_least(one, other) for other in others]
 
 
+def test_sets_of_many_texts_are_those_of_each():
+    rng = random.Random(17)
+    signs = ["a", "B", "c", "é", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "x y z ", "\0", "İ"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))).encode() for _ in range(500)] + [b"", b" ", b"\xff A \x80 b c d e"]
+    known = jaccard.WordHashes()
+    found = list(jaccard.sets(texts, known))
+    assert [held.tolist() for held in found] == [jaccard.shingles(text.lower().split(), known).tolist() for text in texts]
+    assert list(jaccard.sets([], known)) == []
+    for size in (0, 1, 5, 200, 256, 300, 1500, 9000):
+        held = np.sort(np.random.default_rng(size).integers(0, 2**63, size).astype(np.uint64))
+        assert jaccard._share(held) == jaccard.signatures(held)[1]
+
+
+def test_words_are_hashed_once_per_distinct_word_of_a_batch():
+    looked = []
+
+    class Counting(jaccard.WordHashes):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    assert [len(held) for held in jaccard.sets([b"a b c d e f " * 500] * 3, Counting())] == [6, 6, 6]
+    assert sorted(looked) == sorted(set(looked)) and set(looked) - {b""} == set(b"a b c d e f".split())
+
+
 def test_jaccard_empty_table(spark, documents):
     assert jaccard.similar_documents(documents()).count() == 0 and jaccard.one_of_each(documents()).count() == 0
 
