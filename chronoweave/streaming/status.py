@@ -37,7 +37,7 @@ CHANGES = "listing_id string, change long, lifecycle_status string, status_event
 #: Groups of listings; a checkpoint holds for this number only. More give more tasks at most, fewer give fuller pages.
 GROUPS = 2048
 #: Most rows of a page, and rows of a group that are worked on at once.
-PAGE, BLOCK = 1024, 100_000
+PAGE, BLOCK = 1024, 250_000
 #: A place is the upper half of the listing's hash, then, for events, the lower half of the event's.
 LISTING_PART = ~0xFFFFFFFF
 NEVER, NO_TIME, LEAST = 2**63 - 1, -(2**63), -(2**63)
@@ -136,6 +136,7 @@ class Pages:
 
     def open(self) -> None:
         self.index = _decoded(self.directory.get()[0], DIRECTORY) if self.directory.exists() else _blank(DIRECTORY, 0)
+        self.stored = self.index
         self.next = int(self.index["page"].max(initial=-1)) + 1
         self.loaded: dict[int, Rows] = {}
         self.changed: set[int] = set()
@@ -189,7 +190,9 @@ class Pages:
         if self.changed:
             for page in sorted(self.changed):
                 self.pages.updateValue((page,), (_encoded(self.loaded[page], self.fields),))
+        if any(not np.array_equal(self.index[name], self.stored[name]) for name in DIRECTORY):
             self.directory.update((_encoded(self.index, DIRECTORY),))
+            self.stored = self.index
         self.loaded, self.changed = {}, set()
 
 
